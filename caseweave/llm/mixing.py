@@ -59,7 +59,7 @@ def _water_level(rows: DataFrame, keys: list[str], weight: str, cap: str, total:
     at = F.when(weights > 0, (total - before).cast("double") / weights)
     rows = rows.withColumn("at", at)
     fits = F.when(F.col("at") <= F.col("ratio"), F.col("at"))
-    return rows.withColumn("level", F.min(fits).over(Window.partitionBy(*keys))).drop("ratio", "at")
+    return rows.withColumn("level", F.max(fits).over(Window.partitionBy(*keys))).drop("ratio", "at")
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -186,7 +186,7 @@ lined AS (
          / CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev
   FROM weighed),
 aims AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * (SELECT min(lev) FROM lined WHERE lev <= ratio)) AS target FROM lined),
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * (SELECT max(lev) FROM lined WHERE lev <= ratio)) AS target FROM lined),
 strata AS (
   SELECT d.source, CAST(floor(log2(size + 1)) AS INTEGER) AS stratum, CAST(sum(size) AS BIGINT) AS words, max(target) AS target
   FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source GROUP BY ALL),
@@ -198,7 +198,7 @@ levels AS (
   FROM pulled WINDOW p AS (PARTITION BY source ORDER BY ratio, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                      f AS (PARTITION BY source ORDER BY ratio, stratum ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 wanted AS (
-  SELECT *, CASE WHEN words > 0 THEN least(3.0::DOUBLE, coalesce(min(CASE WHEN lev <= ratio THEN lev END) OVER (PARTITION BY source) * (stratum + 1), 3.0::DOUBLE)) ELSE 0.0 END AS copies
+  SELECT *, CASE WHEN words > 0 THEN least(3.0::DOUBLE, coalesce(max(CASE WHEN lev <= ratio THEN lev END) OVER (PARTITION BY source) * (stratum + 1), 3.0::DOUBLE)) ELSE 0.0 END AS copies
   FROM levels),
 plan AS (
   SELECT source, stratum, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS p,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from caseweave.llm import decontaminate, mixing
+from caseweave.llm import chat, decontaminate, mixing
 
 QUERIES = {
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_chat_format": chat.query,
 }
 
 ORACLE_SQL = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op9_chat_format": chat.ORACLE,
 }
