@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from caseweave.llm import chat, decontaminate, mixing
+from caseweave.llm import chat, decontaminate, langid, mixing
 
 QUERIES = {
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLE_SQL = {
