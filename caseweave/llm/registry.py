@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from caseweave.llm import chat, decontaminate, langid, mixing
+from caseweave.llm import chat, decontaminate, langid, mixing, pii
 
 QUERIES = {
+    "op5_pii": pii.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
