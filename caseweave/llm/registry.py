@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from caseweave.llm import chat, decontaminate, langid, mixing, pii
+from caseweave.llm import chat, decontaminate, langid, minhash, mixing, pii
 
 QUERIES = {
+    "op3_minhash_dedup": minhash.query,
     "op5_pii": pii.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
