@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from caseweave.llm import chat, decontaminate, langid, minhash, mixing, pii
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
     "op10_language_id": langid.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
