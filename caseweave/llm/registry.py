@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from caseweave.llm import chat, decontaminate, langid, minhash, mixing, pii
+from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii
 
 QUERIES = {
+    "op1_embedding_dedup": neardup_vectors.query,
     "op3_minhash_dedup": minhash.query,
     "op5_pii": pii.query,
     "op7_mix_sources": mixing.query,
