@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii
+from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii, substrings
 
 QUERIES = {
     "op1_embedding_dedup": neardup_vectors.query,
+    "op2_substring_dedup": substrings.query,
     "op3_minhash_dedup": minhash.query,
     "op5_pii": pii.query,
     "op7_mix_sources": mixing.query,
