@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii, substrings
+from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii, substrings, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": neardup_vectors.query,
     "op2_substring_dedup": substrings.query,
     "op3_minhash_dedup": minhash.query,
+    "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
