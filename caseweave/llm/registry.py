@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from caseweave.llm import chat, decontaminate, langid, minhash, mixing, neardup_vectors, pii, substrings, toxicity
+from caseweave.llm import chat, decontaminate, langid, licenses, minhash, mixing, neardup_vectors, pii, substrings, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": neardup_vectors.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_minhash_dedup": minhash.query,
     "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
+    "op6_license_scan": licenses.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_license_scan": licenses.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_chat_format": chat.ORACLE,
