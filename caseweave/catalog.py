@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from caseweave.plans import log_queries
+
+QUERIES = log_queries.QUERIES
+ORACLE_SQL = log_queries.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -39,9 +40,11 @@ def nullif_nan(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-@pandas_udf("string")
-def blake2b_64(text):
+def blake2b_64(text: Column) -> Column:
     """Hex of the 64-bit BLAKE2b digest of a string, for variant ids."""
     import hashlib
 
-    return text.map(lambda s: None if s is None else hashlib.blake2b(s.encode(), digest_size=8).hexdigest())
+    def digests(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
+
+    return pandas_udf(digests, "string")(text)

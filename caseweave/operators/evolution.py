@@ -15,7 +15,7 @@ def _calendar(bounds: DataFrame, grain: str) -> DataFrame:
     """All periods from the first to the last."""
     step = F.expr(f"INTERVAL {GRAINS[grain]}")
     period = F.explode(F.sequence(F.date_trunc(grain, F.col("lo")), F.date_trunc(grain, F.col("hi")), step))
-    return bounds.where(F.col("lo").isNotNull()).select(period.cast("timestamp_ntz").alias("period"))
+    return bounds.where(F.col("lo").isNotNull()).select(period.alias("period")).select(F.col("period").cast("timestamp_ntz").alias("period"))
 
 
 def _period(grain: str, column: str) -> Column:
@@ -93,4 +93,4 @@ def slices_sliding(log: EventLog, window_days: int = 30, step_days: int = 7) ->
     at = F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("start"))
     last = F.floor(at / (day * step_days)).cast("long")
     first = F.greatest(F.floor((at - day * window_days) / (day * step_days)).cast("long") + 1, F.lit(0))
-    return rows.where(first <= last).select("case_id", "start", F.explode(F.sequence(first, last)).cast("int").alias("slice"))
+    return rows.where(first <= last).select("case_id", "start", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("slice"))
