@@ -110,8 +110,9 @@ def overlap_pairs(log: EventLog, ratio: float = 0.9, end: str = "end_timestamp")
 def enabling_event(log: EventLog, end: str = "end_timestamp") -> DataFrame:
     """(case_id, seq, activity, enabled_by, enabled_at): the latest event of the case that ended by an event's start."""
     e = log.events.select("case_id", "seq", "activity", "timestamp", F.col(end).alias("end"))
-    p = e.select("case_id", F.col("seq").alias("p_seq"), F.col("activity").alias("p_activity"), F.col("end").alias("p_end"))
-    met = e.join(p, (e["case_id"] == p["case_id"]) & (p["p_end"] <= e["timestamp"]) & (p["p_seq"] != e["seq"]), "left").drop(p["case_id"])
+    p = e.select(F.col("case_id").alias("p_case"), F.col("seq").alias("p_seq"), F.col("activity").alias("p_activity"), F.col("end").alias("p_end"))
+    earlier = (F.col("case_id") == F.col("p_case")) & (F.col("p_end") <= F.col("timestamp")) & (F.col("p_seq") != F.col("seq"))
+    met = e.join(p, earlier, "left")
     order = F.struct("p_end", "p_seq")
     return met.groupBy("case_id", "seq", "activity").agg(F.max_by("p_activity", order).alias("enabled_by"), F.max("p_end").alias("enabled_at"))
 
