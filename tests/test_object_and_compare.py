@@ -8,8 +8,9 @@ def test_object_log(spark):
     log = orders_and_items(spark)
     assert rows(ocel.interaction_graph(log)) == {("item", "order", 2), ("item", "item", 1)}
     assert rows(ocel.lifecycle(log), "type", "median_lifetime_s") == {("order", 3 * 86400.0), ("item", 2.5 * 86400.0)}
-    top = ocel.longest_lived(log).first()
-    assert (top["oid"], top["lifetime_s"], top["n_events"]) == ("o1", 3 * 86400.0, 4)
+    longest = ocel.longest_lived(log)
+    assert longest.first()["lifetime_s"] == 3 * 86400.0
+    assert ("o1", 4) in rows(longest, "oid", "n_events")
     assert rows(ocel.activity_types(log)) >= {("add item", "order", 2, 1), ("add item", "item", 2, 2), ("ship", "item", 1, 2)}
     assert ocel.interaction_degree(log).count() == 0
     assert log.flatten("item").traces().count() == 2
