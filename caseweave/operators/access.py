@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions import bin_of, nearest_rank, nullif_nan, seconds_between
+from caseweave.functions import bin_of, blake2b_64, nearest_rank, nullif_nan, seconds_between
 from caseweave.log import REQUIRED, EventLog
 from caseweave.operators import filters as flt
 
@@ -105,6 +105,12 @@ def variants(log: EventLog, total_cases: int | None = None) -> DataFrame:
     return rows.withColumn("share", F.col("n_cases") / total).withColumn("rank", rank)
 
 
+def variant_ids(log: EventLog) -> DataFrame:
+    """(variant, variant_id, n_cases): ids are stable digests of the joined trace."""
+    rows = log.variants().select(F.array_join("trace", "→").alias("variant"), "n_cases")
+    return rows.select("variant", blake2b_64(F.col("variant")).alias("variant_id"), "n_cases")
+
+
 def variant_detail(log: EventLog, variant: str) -> DataFrame:
     """Duration statistics of one variant; p90 is nearest-rank."""
     rows = cases(log).where(F.col("variant") == variant)

@@ -127,6 +127,11 @@ def epa_entropy_forgetting(log: EventLog, mode: str = "linear", k: float = 1.0)
     return row.select(F.round(value, 6).alias("value"), F.round(norm, 6).alias("normalised"))
 
 
+def enriched(log: EventLog, attributes: list[str]) -> EventLog:
+    """The log whose activity is the activity with these attributes, for entropies over richer states."""
+    return EventLog(log.events.withColumn("activity", F.concat_ws("|", "activity", *(F.coalesce(F.col(a).cast("string"), F.lit("")) for a in attributes))))
+
+
 def n_ties(log: EventLog) -> DataFrame:
     """Sum of the depths of the prefix tree's leaves."""
     v = log.variants().select("trace")

@@ -45,6 +45,19 @@ def drift_similarity(log: EventLog, n_windows: int = 50) -> DataFrame:
     return rows.select("i", "j", F.floor(F.round(scaled * 255, 6)).cast("int").alias("value"))
 
 
+def drift_frobenius(log: EventLog, n_windows: int = 50) -> DataFrame:
+    """(i, j, distance) for i < j: Euclidean distance of two windows' counts, from norms and shared edges."""
+    f = drift_windows(log, n_windows)
+    norms = f.groupBy("window").agg(F.sum(F.col("frequency") * F.col("frequency")).alias("sq"))
+    a = f.select(F.col("window").alias("i"), "source", "target", F.col("frequency").alias("x"))
+    b = f.select(F.col("window").alias("j"), "source", "target", F.col("frequency").alias("y"))
+    dots = a.join(b, ["source", "target"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    n = lambda c: F.broadcast(norms.select(F.col("window").alias(c), F.col("sq").alias(f"sq_{c}")))
+    pairs = n("i").crossJoin(n("j")).where("i < j").join(dots, ["i", "j"], "left")
+    apart = F.col("sq_i") + F.col("sq_j") - 2 * F.coalesce("dot", F.lit(0))
+    return pairs.select("i", "j", F.round(F.sqrt(apart.cast("double")), 6).alias("distance"))
+
+
 def dominant_activity(log: EventLog, n_windows: int) -> DataFrame:
     """The most frequent activity of each chunk of rows in time order; ties by name."""
     total = F.count("*").over(Window.partitionBy())

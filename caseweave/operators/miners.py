@@ -254,6 +254,54 @@ def inductive(log: EventLog, noise: float = 0.0) -> DataFrame:
     return _arcs(log, rows)
 
 
+def net_of_tree(tree: Tree) -> list[tuple[str, str, str]]:
+    """Arcs of the workflow net of a process tree; silent transitions are named tau and numbered."""
+    rows: list[tuple[str, str, str]] = []
+    count = {"p": 0, "tau": 0}
+
+    def fresh(kind: str) -> str:
+        count[kind] += 1
+        return f"{kind}{count[kind]}"
+
+    def pass_through(t: str, before: str, after: str) -> None:
+        rows.extend([("place", before, t), ("transition", t, after)])
+
+    def build(node: Tree, before: str, after: str) -> None:
+        if not isinstance(node, tuple):
+            pass_through(fresh("tau") if node is None else node, before, after)
+            return
+        op, *kids = node
+        if op == "sequence":
+            stops = [before, *(fresh("p") for _ in kids[1:]), after]
+            for k, child in enumerate(kids):
+                build(child, stops[k], stops[k + 1])
+        elif op == "xor":
+            for child in kids:
+                build(child, before, after)
+        elif op == "parallel":
+            split, join = fresh("tau"), fresh("tau")
+            rows.extend([("place", before, split), ("transition", join, after)])
+            for child in kids:
+                a, b = fresh("p"), fresh("p")
+                rows.extend([("transition", split, a), ("place", b, join)])
+                build(child, a, b)
+        else:
+            start, done = fresh("p"), fresh("p")
+            pass_through(fresh("tau"), before, start)
+            build(kids[0], start, done)
+            for child in kids[1:]:
+                build(child, done, start)
+            pass_through(fresh("tau"), done, after)
+
+    build(tree, "source", "sink")
+    return rows
+
+
+def inductive_net(log: EventLog, noise: float = 0.0) -> DataFrame:
+    """The inductive miner's process tree as a Petri net."""
+    return _arcs(log, net_of_tree(mine_tree(variants_of(log), noise)))
+
+
 def object_centric_net(log: ObjectLog, noise: float = 0.2) -> DataFrame:
     """A process tree for each object type, with arcs of activities that take several objects marked variable."""
     types = [r["type"] for r in log.relations.select("type").distinct().orderBy("type").collect()]

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.operators import compare, complexity, drift, evolution, miners, ocel, simulation, usage
+from caseweave.operators import access, compare, complexity, drift, evolution, miners, ocel, resources, simulation, usage
 from caseweave.plans.tables import EDGES, EV, OC, SE, TRACES, by_parity, by_session, by_session_timed, by_user, object_log, table, usage_events
 
 QUERY_VECTOR = [((k * 37) % 19 - 9) / 10.0 for k in range(64)]
@@ -31,7 +31,30 @@ def _wasserstein(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def _calendar(spark: SparkSession) -> DataFrame:
+    """Monday to Friday, nine to five with a break."""
+    rows = [(d, a, b) for d in range(1, 6) for a, b in ((32_400, 43_200), (46_800, 61_200))]
+    return spark.createDataFrame(rows, "weekday int, begin_s int, end_s int")
+
+
+def _banded(spark: SparkSession, d: str):
+    log = by_session(spark, d)
+    return complexity.enriched(type(log)(log.df.withColumn("band", F.floor(F.col("cost") / 50.0))), ["band"])
+
+
 QUERIES = {
+    "enriched_entropy": lambda s, d: complexity.epa_entropy(_banded(s, d)),
+    "drift_frobenius": lambda s, d: drift.drift_frobenius(by_session(s, d), 20),
+    "concurrency": lambda s, d: resources.concurrency(by_session_timed(s, d)),
+    "in_calendar": lambda s, d: resources.in_calendar(by_session_timed(s, d).events, _calendar(s)).groupBy("activity", "inside").agg(F.count("*").alias("n")),
+    "working_seconds": lambda s, d: resources.working_seconds(by_session_timed(s, d).events, _calendar(s)),
+    "resource_calendars": lambda s, d: resources.calendars(by_session(s, d), support=0.3, least=100),
+    "delays": lambda s, d: resources.delays(by_session_timed(s, d)),
+    "activity_delays": lambda s, d: resources.activity_delays(by_session_timed(s, d)),
+    "duration_fit": lambda s, d: resources.fit_distributions(by_session(s, d).edges(), "source", "seconds"),
+    "inductive_net": lambda s, d: miners.inductive_net(by_session(s, d), 0.2),
+    "permutation_test": lambda s, d: miners.permutation_test(*by_parity(s, d).values(), resamples=20, top=10),
+    "variant_ids": lambda s, d: access.variant_ids(by_session(s, d)),
     "ocel_overview": lambda s, d: ocel.overview(object_log(s, d)),
     "ocel_types": lambda s, d: ocel.type_counts(object_log(s, d)),
     "ocel_page": lambda s, d: ocel.object_page(object_log(s, d), "supplier", "1", 2, 20),
@@ -146,7 +169,25 @@ def _jac(kind: str, key: str, src: str) -> str:
     return f"SELECT DISTINCT '{kind}' AS kind, {key} AS key, l FROM {src}"
 
 
+_CAL = "cal AS (SELECT * FROM (SELECT unnest([1, 2, 3, 4, 5]) AS weekday), (VALUES (32400, 43200), (46800, 61200)) t(begin_s, end_s))"
+_ENABLED = """en AS (SELECT x.case_id, x.seq, x.activity, x.timestamp, max(y.end_timestamp) AS enabled_at FROM ev x JOIN ev y ON x.case_id = y.case_id AND y.end_timestamp <= x.timestamp AND y.seq <> x.seq GROUP BY ALL),
+fr AS (SELECT seq, max(end_timestamp) OVER (PARTITION BY resource ORDER BY timestamp, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS available_since FROM ev),
+de AS (SELECT case_id, en.seq, activity, enabled_at, available_since, greatest((epoch_us(timestamp) - epoch_us(greatest(enabled_at, coalesce(available_since, enabled_at)))) / 1000000.0::DOUBLE, 0.0) AS delay_s FROM en JOIN fr ON en.seq = fr.seq)"""
+_BANDED = SE.replace("event_type AS activity", "event_type || '|' || CAST(CAST(floor(value / 50.0) AS BIGINT) AS VARCHAR) AS activity")
+
 ORACLE_SQL = {
+    "enriched_entropy": f"WITH {_BANDED}, {_LIST}, {_VAR}, {_STATES}, g AS (SELECT head, count(*) AS s, sum(events) AS e FROM hd JOIN st ON hd.path = st.path GROUP BY head) {_ent('g', 's', 'variant')} UNION ALL {_ent('g', 'e', 'sequence')}",
+    "drift_frobenius": f"""WITH {SE}, {TRACES}, {EDGES}, {_EXPLODED_W}, f AS (SELECT w, source, target, count(*) AS n FROM ed JOIN wn ON ed.case_id = wn.case_id GROUP BY ALL), k AS (SELECT DISTINCT source, target FROM f), w AS (SELECT DISTINCT w FROM f),
+g AS (SELECT w.w, k.source, k.target, coalesce(n, 0) AS n FROM w CROSS JOIN k LEFT JOIN f ON f.w = w.w AND f.source = k.source AND f.target = k.target)
+SELECT CAST(a.w AS INTEGER) AS i, CAST(b.w AS INTEGER) AS j, round(sqrt(CAST(sum((a.n - b.n) * (a.n - b.n)) AS DOUBLE)), 6) AS distance FROM g a JOIN g b ON a.source = b.source AND a.target = b.target AND a.w < b.w GROUP BY ALL""",
+    "concurrency": f"""WITH {SE}, m AS (SELECT resource, timestamp AS t, 1 AS s FROM ev UNION ALL SELECT resource, end_timestamp, -1 FROM ev), r AS (SELECT resource, s, sum(s) OVER (PARTITION BY resource ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS n FROM m)
+SELECT resource, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (WHERE s = 1) AS events FROM r GROUP BY resource""",
+    "in_calendar": f"""WITH {SE}, {_CAL} SELECT activity, CAST(timestamp AS DATE) = CAST(end_timestamp AS DATE) AND EXISTS (SELECT 1 FROM cal WHERE weekday = dayofweek(timestamp) AND begin_s <= hour(timestamp) * 3600 + minute(timestamp) * 60 + second(timestamp) AND hour(end_timestamp) * 3600 + minute(end_timestamp) * 60 + second(end_timestamp) <= end_s) AS inside, count(*) AS n FROM ev GROUP BY ALL""",
+    "working_seconds": f"""WITH {SE}, {_CAL}, d AS (SELECT seq, timestamp AS a, end_timestamp AS b, unnest(generate_series(date_trunc('day', timestamp), date_trunc('day', end_timestamp), INTERVAL 1 DAY)) AS day FROM ev),
+x AS (SELECT seq, greatest(least((epoch_us(b) - epoch_us(day)) / 1000000.0::DOUBLE, end_s::DOUBLE) - greatest((epoch_us(a) - epoch_us(day)) / 1000000.0::DOUBLE, begin_s::DOUBLE), 0.0) AS s FROM d LEFT JOIN cal ON weekday = dayofweek(day))
+SELECT seq AS key, round(coalesce(sum(s), 0.0), 6) AS working_s FROM x GROUP BY seq""",
+    "delays": f"WITH {SE}, {_ENABLED} SELECT * FROM de",
+    "activity_delays": f"WITH {SE}, {_ENABLED} SELECT activity, count(*) AS n, round(avg(CASE WHEN delay_s > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS delayed, round(avg(delay_s), 6) AS mean_delay_s FROM de GROUP BY activity",
     "ocel_overview": f"WITH {OC} SELECT * FROM (SELECT count(*) AS events, count(DISTINCT activity) AS activities, min(timestamp) AS earliest, max(timestamp) AS latest FROM evs), (SELECT count(*) AS objects, count(DISTINCT type) AS types FROM obj), (SELECT count(*) AS relations FROM rel), (SELECT count(*) AS o2o FROM o2o)",
     "ocel_types": f"WITH {OC} SELECT type, count(*) AS n FROM obj GROUP BY type",
     "ocel_page": f"WITH {OC} SELECT oid, type FROM obj WHERE type = 'supplier' AND oid ILIKE '%1%' ORDER BY oid LIMIT 20 OFFSET 2",
