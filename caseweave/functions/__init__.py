@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -48,3 +48,18 @@ def blake2b_64(text: Column) -> Column:
         return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
 
     return pandas_udf(digests, "string")(text)
+
+
+def time_ranked(df: DataFrame, time: str, *ties: str, grain: str = "hour") -> DataFrame:
+    """df with rank, the place of each row (from 1) in order of time and ties, and total, the number of rows.
+
+    Rows are only sorted within their hour (or another grain); the counts of the
+    hours before are added from a small table, so no task sorts the whole log.
+    """
+    rows = df.withColumn("cw_hour", F.date_trunc(grain, F.col(time)))
+    per = rows.groupBy("cw_hour").agg(F.count("*").alias("cw_n"))
+    before = F.sum("cw_n").over(Window.orderBy("cw_hour").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("cw_hour", F.coalesce(before, F.lit(0)).alias("cw_before"), F.sum("cw_n").over(Window.partitionBy()).alias("total"))
+    at = F.row_number().over(Window.partitionBy("cw_hour").orderBy(time, *ties))
+    rows = rows.withColumn("cw_at", at).join(per, "cw_hour")
+    return rows.withColumn("rank", F.col("cw_before") + F.col("cw_at")).drop("cw_hour", "cw_at", "cw_before")

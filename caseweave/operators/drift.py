@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.functions import time_ranked
 from caseweave.log import EventLog
 
 
 def trace_windows(log: EventLog, n_windows: int) -> DataFrame:
     """(case_id, window): traces by first event in windows of equal count, the last one takes the rest."""
     t = log.events.groupBy("case_id").agg(F.min("timestamp").alias("start"))
-    total = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy("start", "case_id")) - 1
-    size = F.greatest(F.floor(total / n_windows), F.lit(1))
-    return t.select("case_id", "start", F.least(F.floor(rank / size), F.lit(n_windows - 1)).cast("int").alias("window"))
+    size = F.greatest(F.floor(F.col("total") / n_windows), F.lit(1))
+    at = F.least(F.floor((F.col("rank") - 1) / size), F.lit(n_windows - 1)).cast("int")
+    return time_ranked(t, "start", "case_id").select("case_id", "start", at.alias("window"))
 
 
 def drift_windows(log: EventLog, n_windows: int = 50) -> DataFrame:
@@ -60,10 +60,9 @@ def drift_frobenius(log: EventLog, n_windows: int = 50) -> DataFrame:
 
 def dominant_activity(log: EventLog, n_windows: int) -> DataFrame:
     """The most frequent activity of each chunk of rows in time order; ties by name."""
-    total = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy("timestamp", "seq")) - 1
-    size = F.greatest(F.floor(total / n_windows), F.lit(1))
-    rows = log.events.select("activity", F.least(F.floor(at / size), F.lit(n_windows - 1)).cast("int").alias("window"))
+    size = F.greatest(F.floor(F.col("total") / n_windows), F.lit(1))
+    at = F.least(F.floor((F.col("rank") - 1) / size), F.lit(n_windows - 1)).cast("int")
+    rows = time_ranked(log.events.select("activity", "timestamp", "seq"), "timestamp", "seq").select("activity", at.alias("window"))
     counts = rows.groupBy("window", "activity").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("n"), F.asc("activity")))
     return counts.withColumn("k", place).where("k = 1").select("window", "activity", "n")
@@ -72,8 +71,7 @@ def dominant_activity(log: EventLog, n_windows: int) -> DataFrame:
 def sliding_windows(log: EventLog, size: int = 100, step: int = 50) -> DataFrame:
     """(window, start): first time of sliding windows of traces."""
     t = log.events.groupBy("case_id").agg(F.min("timestamp").alias("start"))
-    rank = F.row_number().over(Window.orderBy("start", "case_id")) - 1
-    t = t.select("start", rank.alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
+    t = time_ranked(t, "start", "case_id").select("start", (F.col("rank") - 1).alias("k"), F.col("total").alias("n"))
     return t.where((F.col("k") % step == 0) & (F.col("k") < F.col("n") - size)).select((F.col("k") / step).cast("int").alias("window"), "start")
 
 

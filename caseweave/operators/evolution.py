@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions import seconds_between
+from caseweave.functions import seconds_between, time_ranked
 from caseweave.log import EventLog
 
 GRAINS = {"day": "1 day", "week": "1 week", "month": "1 month", "quarter": "3 months", "year": "1 year"}
@@ -41,7 +41,7 @@ def activity_mix(log: EventLog, grain: str = "day", top: int = 12) -> DataFrame:
     counts = log.events.groupBy("activity").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("activity")))
     names = counts.select("activity", F.when(rank <= top, F.col("activity")).otherwise("Other").alias("label"))
-    rows = log.events.join(F.broadcast(names), "activity").groupBy(_period(grain, "timestamp").alias("period"), "label").agg(F.count("*").alias("n"))
+    rows = log.events.join(names, "activity").groupBy(_period(grain, "timestamp").alias("period"), "label").agg(F.count("*").alias("n"))
     frame = _calendar(log.events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")), grain)
     grid = frame.crossJoin(F.broadcast(names.select("label").distinct()))
     return grid.join(rows, ["period", "label"], "left").select("period", "label", F.coalesce("n", F.lit(0)).alias("n"))
@@ -50,7 +50,7 @@ def activity_mix(log: EventLog, grain: str = "day", top: int = 12) -> DataFrame:
 def dotted_ranks(log: EventLog) -> DataFrame:
     """(case_id, y): cases numbered from 0 by first event."""
     t = log.events.groupBy("case_id").agg(F.min("timestamp").alias("start"))
-    return t.select("case_id", (F.row_number().over(Window.orderBy("start", "case_id")) - 1).alias("y"))
+    return time_ranked(t, "start", "case_id").select("case_id", (F.col("rank") - 1).alias("y"))
 
 
 def dotted_chart(log: EventLog, max_points: int = 8_000) -> DataFrame:

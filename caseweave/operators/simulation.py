@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions import seconds_between
+from caseweave.functions import seconds_between, time_ranked
 from caseweave.log import EventLog
 
 
 def split_by_time(log: EventLog, test_share: float = 0.2, end: str = "timestamp") -> DataFrame:
     """Events with `part`: train (earliest), test, or cut for cases that lie on both sides."""
-    at = F.row_number().over(Window.orderBy(end, "case_id", "seq"))
-    n = F.count("*").over(Window.partitionBy())
-    side = F.when(at <= F.round(n * (1 - test_share)), "train").otherwise("test")
-    rows = log.events.withColumn("side", side)
+    side = F.when(F.col("rank") <= F.round(F.col("total") * (1 - test_share)), "train").otherwise("test")
+    rows = time_ranked(log.events, end, "case_id", "seq").withColumn("side", side).drop("rank", "total")
     sides = rows.groupBy("case_id").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
     rows = rows.join(sides, "case_id")
     return rows.withColumn("part", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("cut")).drop("side", "lo", "hi")
