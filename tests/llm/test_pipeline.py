@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from caseweave.llm.common import materialize
 from tests.llm.test_models_and_dedup import DOCS, prose
 
 
@@ -21,7 +22,8 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
-        sizes.append(out.count())
+        docs = materialize(out, "stage")
+        sizes.append(docs.count())
     assert sizes == [82, 81, 80, 80]
     mixed = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not {100, 101, 102, 103} & set(mixed)
