@@ -139,6 +139,25 @@ def test_minhash_classes(spark):
     assert minhash.classes(given.limit(0)).count() == 0
 
 
+def test_minhash_chains_in_a_large_group(spark):
+    """Documents unlike the leader of a large group, but like members that are connected through it."""
+    rng = random.Random(11)
+    base = unique(rng, 100).split()
+
+    def changed(words, at):
+        return words[:at] + [f"z{rng.randrange(10**6)}" for _ in range(16)] + words[at + 16 :]
+
+    near = [changed(base, 4) for _ in range(3)] + [changed(base, rng.randrange(0, 84)) for _ in range(27)]
+    far = [changed(words, 60) for words in near[:3]]
+    rows = [(k, " ".join(words)) for k, words in enumerate([base, *near, *far])]
+    words = {i: common.words_of(t) for i, t in rows}
+    edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], 20) is not None]
+    assert not any((0, i) in edges for i in range(31, 34))
+    want = components(edges, list(words))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_substrings(spark):
     rng = random.Random(6)
     passage = unique(rng, 70) + "."
