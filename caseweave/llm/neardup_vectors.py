@@ -13,9 +13,15 @@
 4. Audit: a fixed number of query vectors is compared with all rows in one scan; if
    the graph links fewer than `recall` of their true links to the same component,
    more rounds follow.
-5. Edges at or above the threshold give connected components. Inside each component
-   links are then counted exactly by products of blocks, so a list that is still
-   saturated at `k_max` loses none, and no pair is ever emitted for it.
+5. Edges at or above the threshold give connected components. A list that is still
+   saturated at `k_max` may hold members of its own component only, so vertices with
+   such lists are searched again with their own component left out, and components
+   that turn out to be linked are joined, until a search finds no link that leaves one.
+   A link missing from the lists of both of its ends has two saturated ends, so the
+   others need not take part. The audit then runs over all vectors and over the saturated
+   ones; if it still fails after wider lists and more rounds, an error is raised.
+6. Inside each component links are counted exactly by products of blocks, so a
+   saturated list loses none, and no pair is ever emitted for it.
 
 Everything is keyed by vertex, by chunk or by pair of blocks, each of bounded size;
 the driver sees counts, and the audit's fixed set of queries.
@@ -106,10 +112,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 _EDGES = "id long, nbr long, sim double"
 
 
-def _edges(ids: np.ndarray, sims: np.ndarray, k: int, bar: np.ndarray | None = None) -> pa.RecordBatch:
-    """For each row of sims its k best other columns, as (id, nbr, sim); only above the row's bar."""
+def _edges(ids: np.ndarray, sims: np.ndarray, k: int, bar: np.ndarray | None = None, own: np.ndarray | None = None) -> pa.RecordBatch:
+    """For each row of sims its k best columns of another id, or of another `own`, as (id, nbr, sim); only above the row's bar."""
     n = len(ids)
-    sims = np.where(ids[:, None] == ids[None, :], -np.inf, sims)
+    own = ids if own is None else own
+    sims = np.where(own[:, None] == own[None, :], -np.inf, sims)
     k = min(k, n)
     best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (n, n))
     found = np.take_along_axis(sims, best, axis=1)
@@ -123,7 +130,8 @@ def _edges(ids: np.ndarray, sims: np.ndarray, k: int, bar: np.ndarray | None = N
 
 
 def _local(rows: DataFrame, key: str, k: int, bars: bool) -> DataFrame:
-    """Compare all vectors of a key; rows has key, id, unit and, with bars, each id's bar."""
+    """Compare all vectors of a key; rows has key, id, unit, with bars each id's bar, and own where members of one own are not compared."""
+    apart = "own" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, key):
@@ -131,9 +139,10 @@ def _local(rows: DataFrame, key: str, k: int, bars: bool) -> DataFrame:
                 ids = group.column("id").to_numpy()
                 ids, first = np.unique(ids, return_index=True)
                 x = _matrix(group.column("unit"))[first].astype(np.float64)
-                yield _edges(ids, x @ x.T, k, group.column("bar").to_numpy()[first] if bars else None)
+                of = lambda c: group.column(c).to_numpy()[first]  # noqa: B023, E731
+                yield _edges(ids, x @ x.T, k, of("bar") if bars else None, of("own") if apart else None)
 
-    names = [key, "id", "unit", *(["bar"] if bars else [])]
+    names = [key, "id", "unit", *(["bar"] if bars else []), *(["own"] if apart else [])]
     parts = rows.select(*names).repartition(F.col(key)).sortWithinPartitions(key)
     return parts.mapInArrow(run, _EDGES)
 
@@ -170,37 +179,50 @@ def _blocks(points: DataFrame, total: int, dim_seed: int) -> DataFrame:
             )
 
     hashed = points.select("id", "unit").mapInArrow(run, "id long, unit array<float>, bucket long")
+    own = ["own"] if "own" in points.columns else []
+    if own:
+        hashed = hashed.join(points.select("id", "own"), "id")
     sizes = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
     salt = F.pmod(F.xxhash64("id", F.lit(dim_seed)), F.ceil(F.col("n") / CHUNK))
-    return hashed.join(sizes, "bucket").select("id", "unit", F.xxhash64("bucket", salt, F.lit(dim_seed)).alias("chunk"))
+    return hashed.join(sizes, "bucket").select("id", "unit", *own, F.xxhash64("bucket", salt, F.lit(dim_seed)).alias("chunk"))
 
 
-def descend(points: DataFrame, k: int = K, k_max: int = K_MAX, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The neighbour graph (id, nbr, sim) of points (id, unit array<float>)."""
+def descend(
+    points: DataFrame, k: int = K, k_max: int = K_MAX, rounds: int = ROUNDS, threshold: float = THRESHOLD, paths: DataFrame | None = None, seed: int = 0
+) -> DataFrame:
+    """The neighbour graph (id, nbr, sim) of points (id, unit array<float>).
+
+    Where points has a column own, members of one own are no neighbours; paths (id, nbr)
+    are then further ways, inside them, by which vertices meet.
+    """
+    apart = ["own"] if "own" in points.columns else []
     total = points.count()
     first = None
     for t in range(TABLES):
-        near = _local(_blocks(points, total, t + 1), "chunk", k, bars=False)
+        near = _local(_blocks(points, total, seed + t + 1), "chunk", k, bars=False)
         first = near if first is None else first.union(near)
     graph = materialize(_best(first, None, k), "nnd-0")
     vectors = points.withColumnRenamed("id", "at")
     for r in range(1, rounds + 1):
         state = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+        if paths is not None:  # a vertex without a neighbour yet can still meet one
+            state = points.select("id").join(state, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(-2.0)).alias("last"))
         size = F.when(F.col("last") >= threshold, F.least(F.greatest(F.lit(k), 2 * F.col("n")), F.lit(k_max))).otherwise(
             F.greatest(F.lit(k), F.col("n"))
         )
         state = state.select("id", size.cast("int").alias("size"), F.when(F.col("n") < size, F.lit(-2.0)).otherwise(F.col("last")).alias("bar"))
         state = materialize(state, f"nnd-lists-{r}")
         # A vertex, its neighbours and the vertices that list it; those deal themselves into chunks where they are many.
-        back = graph.select(F.col("nbr").alias("hub"), F.col("id").alias("at"))
+        ways = graph.select("id", "nbr") if paths is None else graph.select("id", "nbr").union(paths.select("id", "nbr"))
+        back = ways.select(F.col("nbr").alias("hub"), F.col("id").alias("at"))
         many = back.groupBy("hub").agg(F.ceil(F.count("*") / (4 * k)).alias("chunks"))
         back = back.join(many, "hub").select("hub", F.pmod(F.xxhash64("at", F.lit(r)), F.col("chunks")).alias("salt"), "at")
-        ahead = graph.select(F.col("id").alias("hub"), F.col("nbr").alias("at")).join(many, "hub", "left")
+        ahead = ways.select(F.col("id").alias("hub"), F.col("nbr").alias("at")).join(many, "hub", "left")
         ahead = ahead.select("hub", F.pmod(F.xxhash64("hub", F.lit(r)), F.coalesce("chunks", F.lit(1))).alias("salt"), "at")
         own = back.union(ahead).select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("at"))
         meet = back.union(ahead).union(own).distinct()
         meet = meet.join(state.withColumnRenamed("id", "at"), "at").join(vectors, "at")
-        meet = meet.select(F.xxhash64("hub", "salt").alias("chunk"), F.col("at").alias("id"), "unit", "bar")
+        meet = meet.select(F.xxhash64("hub", "salt").alias("chunk"), F.col("at").alias("id"), "unit", "bar", *apart)
         better = _local(meet, "chunk", k_max, bars=True)
         after = materialize(_best(graph.union(better), state.select("id", "size"), k), f"nnd-{r}")
         new = after.join(graph, ["id", "nbr"], "left_anti").count()
@@ -265,25 +287,62 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _links(graph: DataFrame, exact: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): the entries of neighbour lists that reach the threshold in double precision."""
+    # Lists hold single precision; the margin lets the exact product decide.
+    edges = graph.where(F.col("sim") >= threshold - 1e-5).select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
+    edges = edges.join(exact.withColumnsRenamed({"id": "src", "exact": "x"}), "src").join(exact.withColumnsRenamed({"id": "dst", "exact": "y"}), "dst")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return edges.where((F.size("x") == F.size("y")) & (dot >= threshold)).select("src", "dst")
+
+
+def _joined(
+    points: DataFrame, exact: DataFrame, graph: DataFrame, parts: DataFrame, k: int, k_max: int, rounds: int, threshold: float
+) -> tuple[DataFrame, DataFrame | None]:
+    """parts after joining components that links of saturated vertices connect, and those vertices, if any."""
+    full = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    full = full.where((F.col("n") >= k_max) & (F.col("last") >= threshold - 1e-5)).select("id")
+    full = materialize(full.join(points, "id"), "nnd-full")
+    if full.isEmpty():
+        return parts, None
+    ids = full.select("id")
+    paths = graph.join(ids, "id").join(ids.withColumnRenamed("id", "nbr"), "nbr").select("id", "nbr", "sim")
+    paths = materialize(_best(paths, None, k), "nnd-paths")
+    for turn in range(1, 200):
+        rest = materialize(full.join(parts.withColumnRenamed("component", "own"), "id"), f"nnd-rest-{turn}")
+        if rest.select("own").distinct().limit(2).count() < 2:
+            return parts, full
+        across = _links(descend(rest, k, k_max, rounds, threshold, paths, turn * TABLES), exact, threshold)
+        of = lambda side, name: parts.select(F.col("id").alias(side), F.col("component").alias(name))  # noqa: B023, E731
+        across = across.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        step = connected_components(across, f"nnd-join-{turn}")
+        if step.isEmpty():
+            return parts, full
+        step = step.withColumnsRenamed({"component": "to", "id": "component"})
+        parts = parts.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        parts = materialize(parts, f"nnd-joined-{turn}")
+    raise RuntimeError("components of saturated lists did not settle")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
     rows = materialize(vertices(vectors), "nnd-rows")
     same = rows.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     points = materialize(same.select("id", F.col("unit").cast("array<float>").alias("unit"), F.col("unit").alias("exact"), "copies"), "nnd-points")
+    exact = points.select("id", "exact")
     k, rounds = K, ROUNDS
     for _ in range(3):
-        graph = descend(points.select("id", "unit"), k, max(k, K_MAX), rounds, threshold)
-        # Lists hold single precision; the margin lets the exact pass below decide.
-        edges = graph.where(F.col("sim") >= threshold - 1e-5).select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
-        exact = points.select("id", "exact")
-        edges = edges.join(exact.withColumnsRenamed({"id": "src", "exact": "x"}), "src").join(exact.withColumnsRenamed({"id": "dst", "exact": "y"}), "dst")
-        dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        edges = edges.where((F.size("x") == F.size("y")) & (dot >= threshold)).select("src", "dst")
+        k_max = max(4 * k, K_MAX)
+        graph = descend(points.select("id", "unit"), k, k_max, rounds, threshold)
+        edges = _links(graph, exact, threshold)
         parts = connected_components(edges, "nnd-components")
-        true, found = audit(points, parts, threshold)
-        if found >= recall * true:
+        parts, full = _joined(points.select("id", "unit"), exact, graph, parts, k, k_max, rounds, threshold)
+        audits = [audit(some, parts, threshold) for some in (points, full) if some is not None]
+        if all(found >= recall * true for true, found in audits):
             break
         k, rounds = 2 * k, rounds + 4
+    else:
+        raise RuntimeError(f"neighbour graph: too few of the audited links lie inside components: (true, found) {audits}")
     members = parts.join(points.select("id", F.col("exact").alias("unit"), "copies"), "id")
     links = _counted(members, threshold)
     done = points.select("id", "copies").join(parts, "id", "left").join(links, "id", "left")

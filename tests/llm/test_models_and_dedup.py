@@ -188,3 +188,20 @@ def test_vectors(spark):
     assert all(got[k]["n_links"] == near[k].sum() - 1 for k in want)
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (1000, 1001, 1002, 1003, 1004))
     assert got[1006]["component_id"] == 1005 and got[None]["kept"]
+
+
+def test_vectors_of_tight_groups_that_link(spark):
+    """Lists full of near copies hide the links between groups; a third group links through the second only."""
+    rng = np.random.default_rng(8)
+    x = np.zeros((180, 16))
+    for g, angle in enumerate((0.0, 0.26, 0.52)):
+        x[60 * g : 60 * g + 60, :2] = np.cos(angle), np.sin(angle)
+    x += 0.002 * rng.standard_normal(x.shape)
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+    got = {r["vec_id"]: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    assert near[:60, 60:120].all() and near[60:120, 120:].all() and not near[:60, 120:].any()
+    assert {r["component_id"] for r in got.values()} == {0}
+    assert all(got[k]["n_links"] == near[k].sum() - 1 for k in range(180))
