@@ -8,8 +8,9 @@ wholly inside that vocabulary are looked up in the hash set of windows, and the
 lookup compares all ids, so a hit is exact.
 
 The broadcast is bounded: a benchmark above `block_chars` characters is dealt
-into blocks, each is broadcast by itself against all documents, and the hits of
-a document are merged.
+into blocks. Rows are then stored once with a number of their own, each block is
+broadcast by itself against the stored texts, and the hits are merged by row before
+anything is cut or dropped, so the result does not depend on the number of blocks.
 
 Defined results: a null or empty text has no words and no hits; null ids pass
 through; repeated rows are reported each; an empty benchmark hits nothing;
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import WORD_BYTES, table, words_of
+from caseweave.llm.common import WORD_BYTES, materialize, table, words_of
 
 N = 10
 BLOCK_CHARS = 32_000_000
@@ -66,59 +68,79 @@ class Windows:
         return np.flatnonzero(np.cumsum(hit[:-1]) > 0), items
 
 
-def _blocks(benchmark: DataFrame, n: int, block_chars: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, n: int, block_chars: int) -> tuple[int, Iterator[Windows]]:
+    """The number of blocks of bounded size, and the benchmark's windows by block."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
     blocks = -(-chars // block_chars) or 1
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield Windows([(r["item"], r["text"]) for r in part.collect()], n)
 
+    def windows() -> Iterator[Windows]:
+        for k in range(blocks):
+            part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+            yield Windows([(r["item"], r["text"]) for r in part.collect()], n)
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_words, hits array<int>, items array<string>): word positions hit and the items found, sorted."""
-    spark = docs.sparkSession
+    return blocks, windows()
+
+
+def _scan(docs: DataFrame, names: list[str], windows: Windows) -> tuple[DataFrame, Broadcast]:
+    """The named columns of docs with n_words, hits and items of one block, and its broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
     schema = T.StructType(
         [
-            T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            *(T.StructField(c, docs.schema[c].dataType) for c in names),
             T.StructField("n_words", T.LongType()),
             T.StructField("hits", T.ArrayType(T.IntegerType())),
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
 
-    def one(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
-            for batch in batches:
-                n_words, hits, items = [], [], []
-                for text in batch.column("text").to_pylist():
-                    words = words_of(text)
-                    at, found = windows.scan(words)
-                    n_words.append(len(words))
-                    hits.append(at.tolist())
-                    items.append(sorted(x for x in found if x is not None))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(hits, pa.list_(pa.int32())),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "hits", "items"],
-                )
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    parts = [one(spark.sparkContext.broadcast(w)) for w in _blocks(benchmark, n, block_chars)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value
+        for batch in batches:
+            n_words, hits, items = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                at, found = windows.scan(words)
+                n_words.append(len(words))
+                hits.append(at.tolist())
+                items.append(sorted(x for x in found if x is not None))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in names),
+                    pa.array(n_words, pa.int64()),
+                    pa.array(hits, pa.list_(pa.int32())),
+                    pa.array(items, pa.list_(pa.string())),
+                ],
+                names=schema.names,
+            )
+
+    return docs.select(*names, "text").mapInArrow(run, schema), shared
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with cw_row, a number of each row, stored so that all blocks see the same one."""
+    return materialize(docs.withColumn("cw_row", F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _merged(rows: DataFrame, blocks: Iterator[Windows]) -> DataFrame:
+    """(cw_row, n_words, hits, items) of each of the numbered rows over all blocks."""
+    every = None
+    for windows in blocks:
+        part, shared = _scan(rows, ["cw_row"], windows)
+        part = materialize(part, "decontaminate-hits")
+        shared.unpersist()
+        every = part if every is None else every.unionByName(part)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return every.groupBy("doc_id", "n_words").agg(union("hits"), union("items"))
+    return every.groupBy("cw_row").agg(F.max("n_words").alias("n_words"), union("hits"), union("items"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, n_words, hits array<int>, items array<string>): word positions hit and the items found, sorted."""
+    blocks, windows = _blocks(benchmark, n, block_chars)
+    if blocks == 1:
+        return _scan(docs, ["doc_id"], next(windows))[0]
+    rows = _numbered(docs.select("doc_id", "text"))
+    return rows.join(_merged(rows, windows), "cw_row").select("doc_id", "n_words", "hits", "items")
 
 
 def _cut(text: str, hit: set[int]) -> str:
@@ -148,32 +170,37 @@ def clean(
     A document of which `drop_share` of its words or more are hit goes as a whole.
     n_chars, where there is such a column, follows the new text.
     """
-    spark, names = docs.sparkSession, docs.columns
-    out = docs
-    for windows in _blocks(benchmark, n, block_chars):
-        shared = spark.sparkContext.broadcast(windows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, keep, changed = batch.column("text").to_pylist(), [], False
-                for k, text in enumerate(texts):
-                    words = words_of(text)
-                    at, _ = shared.value.scan(words)
-                    keep.append(not len(at) or len(at) < drop_share * len(words))
-                    if len(at) and keep[-1]:
-                        texts[k], changed = _cut(text, set(at.tolist())), True
-                if changed:
-                    where = batch.schema.get_field_index("text")
-                    batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
-                    if "n_chars" in names:
-                        where = batch.schema.get_field_index("n_chars")
-                        kind = batch.schema.field(where)
-                        sizes = [None if t is None else len(t) for t in texts]
-                        batch = batch.set_column(where, kind, pa.array(sizes, pa.int64()).cast(kind.type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    names = docs.columns
+    blocks, windows = _blocks(benchmark, n, block_chars)
+    if blocks == 1:
+        rows, shared = docs, docs.sparkSession.sparkContext.broadcast(next(windows))
+    else:
+        rows, shared = _numbered(docs), None
+        hits = _merged(rows, windows).select("cw_row", F.col("hits").alias("cw_hits"))
+        rows = rows.join(hits, "cw_row").drop("cw_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep, changed = batch.column("text").to_pylist(), [], False
+            found = None if shared else batch.column("cw_hits").to_pylist()
+            batch = batch.select(names)
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                at = shared.value.scan(words)[0].tolist() if shared else found[k]
+                keep.append(not len(at) or len(at) < drop_share * len(words))
+                if len(at) and keep[-1]:
+                    texts[k], changed = _cut(text, set(at)), True
+            if changed:
+                where = batch.schema.get_field_index("text")
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
+                if "n_chars" in names:
+                    where = batch.schema.get_field_index("n_chars")
+                    kind = batch.schema.field(where)
+                    sizes = [None if t is None else len(t) for t in texts]
+                    batch = batch.set_column(where, kind, pa.array(sizes, pa.int64()).cast(kind.type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

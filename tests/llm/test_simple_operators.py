@@ -65,6 +65,20 @@ def test_decontaminate(spark):
     assert decontaminate.scan(given.limit(0), bench).count() == 0
 
 
+def test_decontaminate_by_blocks_as_at_once(spark):
+    words = [f"w{k}" for k in range(60)]
+    part = lambda a, b: " ".join(words[a:b])
+    bench = spark.createDataFrame([(k, part(5 * k, 5 * k + 20)) for k in range(5)] + [(10 + k, f"q{k} r{k}") for k in range(6)], "item_id long, text string")
+    rows = [(1, part(0, 40) + " " + " ".join(f"c{k}" for k in range(50)), "a"), (2, part(0, 20) + " x y z " + part(20, 40) + " u v", "a"), (3, "b " + part(0, 12) + " q0 r0 e f g h i j k l m n o p", "a")]
+    rows += [(None, "q0 r0 s t u v", "a"), (None, "q1 r1 s t u v", "a"), (None, "s t u v w x", "a"), (7, "q2 r2 s t u v", "a"), (7, "q2 r2 s t u v", "a"), (8, "q3 q4 r4 r3 s t u v w", "a"), (9, None, "a"), (9, None, "a")]
+    given = docs(spark, rows)
+    key = lambda r: tuple(map(str, r))
+    for work in (decontaminate.scan, decontaminate.clean):
+        once = sorted((tuple(r) for r in work(given, bench).collect()), key=key)
+        for chars in (20, 60):
+            assert sorted((tuple(r) for r in work(given, bench, block_chars=chars).collect()), key=key) == once
+
+
 # mixing
 
 
