@@ -12,7 +12,8 @@ so the expected severity is the sum of these probabilities.
 Features are words and word beginnings (4 to 8 letters), with log(1 + count). The
 `N_FEATURES` features that tell labelled classes apart best (log odds over its
 standard error) are kept, counted by Spark over a bounded sample: at most about
-`TRAIN_DOCS` labelled documents, those of smallest hashed doc_id, each text once.
+`TRAIN_DOCS` labelled documents, those of smallest hashed doc_id, each text once, under
+its smallest doc_id and highest label; rows are put in order before fitting, so runs agree.
 The weights are fitted by numpy on the driver from that sample's sparse rows, the
 only rows that reach it. A third of the sample is held back to choose the lowest
 probability that flags at most `FALSE_SHARE` of its clean documents. Scoring is one
@@ -96,8 +97,10 @@ def _sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
     share = min(1.0, train_docs / max(1, given.count()))
     given = given.where(lot("toxicity") < int(share * (1 << 30)))
     rows = docs.select("doc_id", "text").join(maybe_broadcast(given, 2 * train_docs), F.col("doc_id") == F.col("l_id"))
-    rows = rows.where(F.col("text").isNotNull()).withColumn("held", lot("held") % 3 == 0).drop("l_id")
-    return materialize(rows.dropDuplicates(["text"]), "toxicity-sample")
+    # Of equal texts the smallest doc_id and the highest label count, so that every run and partitioning learns the same.
+    rows = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    held = F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id")), F.lit(1 << 30)) % 3 == 0
+    return materialize(rows.select("doc_id", "text", "toxic", held.alias("held")), "toxicity-sample")
 
 
 def _select(sample: DataFrame, n_features: int) -> list[tuple[str, float]]:
