@@ -110,7 +110,7 @@ def _take(rows: DataFrame) -> DataFrame:
     inside = F.col("open") & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")))
     at_edge = F.coalesce(F.col("open") & (F.col("bin") == F.col("edge")), F.lit(False))
     sure = rows.where(~at_edge).withColumn("extra", F.when(inside, 1).otherwise(F.col("extra")))
-    w = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    w = Window.partitionBy("source").orderBy("rank", "doc_id", "size", *(["row"] if "row" in rows.columns else []))
     running = F.col("used") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
     last = rows.where(at_edge).withColumn("fits", running <= F.col("budget"))
     last = last.withColumn("extra", F.when(F.col("fits"), 1).otherwise(F.col("extra"))).drop("fits")
@@ -118,9 +118,10 @@ def _take(rows: DataFrame) -> DataFrame:
 
 
 def copies(sizes: DataFrame, max_repeat: int = MAX_REPEAT, fill: int = FILL) -> DataFrame:
-    """sizes (doc_id, source, size) with source_size, target and copies, the whole copies the mix takes.
+    """sizes (doc_id, source, size, ...) with source_size, target and copies, the whole copies the mix takes.
 
-    sizes is read several times and should be a stored table.
+    sizes is read several times and should be a stored table. A column row, where there is
+    one, tells repeated rows apart.
     """
     of = materialize(targets(sizes, max_repeat), "mix-targets")
     rows = sizes.withColumn("stratum", F.floor(F.log2(F.col("size") + 1)).cast("int"))
@@ -142,13 +143,13 @@ def copies(sizes: DataFrame, max_repeat: int = MAX_REPEAT, fill: int = FILL) ->
         rows = materialize(rows, f"mix-{k}")
     of = of.withColumnRenamed("source", "t_source")
     rows = rows.join(maybe_broadcast(of), _same("source", "t_source"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.col("extra")).alias("copies"))
+    return rows.select(*sizes.columns, "source_size", "target", (F.col("certain") + F.col("extra")).alias("copies"))
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of docs; size is the number of words."""
+def sizes_of(docs: DataFrame, *names: str) -> DataFrame:
+    """(doc_id, source, size) and the named columns of docs; size is the number of words."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), *names)
 
 
 def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:

@@ -1,25 +1,30 @@
 """Near-duplicate embeddings by NN-descent.
 
-1. Vectors are normalised in double precision and equal ones collapsed to one
-   vertex with a multiplicity.
-2. A first neighbour graph comes from random-hyperplane blocks: in each of `tables`
+1. Vectors are normalised in double precision (after division by their largest
+   component, so that none overflows) and equal ones collapsed to one vertex with a
+   multiplicity. All comparisons are in double precision.
+2. A first neighbour graph comes from random-hyperplane blocks: in each of `TABLES`
    hashings, vectors with the same signs meet in blocks, large blocks are dealt at
    random into chunks of bounded size, and each chunk finds the `k` nearest of each
    member by a matrix product.
 3. NN-descent: each vertex gathers its neighbours and the vertices that list it (the
-   latter in chunks where there are many); all that meet there are compared, and a
-   pair is kept where it improves on one end's list. Lists whose last entry is still
-   a link are saturated and double, up to `k_max`. Rounds go on until few lists change.
-4. Audit: a fixed number of query vectors is compared with all rows in one scan; if
-   the graph links fewer than `recall` of their true links to the same component,
-   more rounds follow.
-5. Edges at or above the threshold give connected components. A list that is still
+   latter in chunks where there are many). Entries are fresh for the round after they
+   came in; pairs of which one is fresh are compared, and kept where they improve on
+   one end's list. A vertex without fresh entries gathers nothing. Lists whose last
+   entry is still a link are saturated: they double, up to `k_max`, and all their entries are
+   fresh again. Of later rounds' entries only those that may lie next to a link
+   (similarity above `1 - 4 (1 - threshold)`) are fresh. Rounds go on until few entries
+   within twice the threshold's distance change.
+4. Edges at or above the threshold give connected components. A list that is still
    saturated at `k_max` may hold members of its own component only, so vertices with
    such lists are searched again with their own component left out, and components
    that turn out to be linked are joined, until a search finds no link that leaves one.
    A link missing from the lists of both of its ends has two saturated ends, so the
-   others need not take part. The audit then runs over all vectors and over the saturated
-   ones; if it still fails after wider lists and more rounds, an error is raised.
+   others need not take part.
+5. Audit: a fixed number of query vectors, those with links first, is compared with
+   all rows in one scan; another audit takes saturated ones. If fewer than `recall` of
+   their true links lie inside one component, the search is repeated with wider lists
+   and more rounds; if that fails, an error is raised.
 6. Inside each component links are counted exactly by products of blocks, so a
    saturated list loses none, and no pair is ever emitted for it.
 
@@ -29,8 +34,8 @@ the driver sees counts, and the audit's fixed set of queries.
 Defined results: a null vector, one with null or non-finite components, the zero
 vector and one of another length than its partner link with nothing and stand alone
 (an empty one likewise); null ids are left out of the graph and returned with null
-component and kept = true; rows that repeat an id with equal vectors count once
-each as copies; an empty table gives an empty result; labels and further columns
+component and kept = true; rows that repeat an id count as copies of the smallest (in
+array order) of its vectors that can link, and all get its result; an empty table gives an empty result; labels and further columns
 are ignored.
 """
 
@@ -40,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import connected_components, materialize, table
@@ -50,19 +55,10 @@ K, K_MAX = 8, 32
 TABLES = 6
 CHUNK = 256
 ROUNDS = 6
-AUDIT = 128
+AUDIT = 256
 RECALL = 0.98
-BLOCK = 256
-
-
-def _unit(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of equal length rows; which are usable."""
-    n = len(offsets) - 1
-    size = (offsets[-1] - offsets[0]) // max(1, n)
-    x = flat[offsets[0] : offsets[-1]].reshape(n, size)
-    norm = np.sqrt((x * x).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 0)
-    return x / np.where(good, norm, 1.0)[:, None], good
+BLOCK = 4096
+SETTLED = 0.002
 
 
 def vertices(vectors: DataFrame) -> DataFrame:
@@ -74,10 +70,12 @@ def vertices(vectors: DataFrame) -> DataFrame:
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if vec_id is None or not v or None in v:
                     continue
-                unit, good = _unit(np.array(v, np.float64), np.array([0, len(v)]))
-                if good[0]:
+                x = np.array(v, np.float64)
+                top = np.abs(x).max()
+                if np.isfinite(top) and top > 0:
+                    x = x / top
                     ids.append(vec_id)
-                    units.append(unit[0])
+                    units.append(x / np.sqrt((x * x).sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(units, pa.list_(pa.float64()))], names=["vec_id", "unit"]
             )
@@ -86,173 +84,192 @@ def vertices(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, unit array<double>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from batches sorted by key."""
+def _slabs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """From batches sorted by key: rows of whole keys, and where each key begins and ends."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+
+    def cut(batch: pa.RecordBatch) -> list[int]:
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo == hi:
-                continue
-            part = batch.slice(lo, hi - lo)
-            if held and held[0].column(key)[0].as_py() != part.column(key)[0].as_py():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
+        return [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = cut(batch)
+        held.append(batch)
+        if len(edges) > 2 or held[0].column(key)[0] != batch.column(key)[0]:
+            slab = pa.concat_batches(held)
+            edges = cut(slab)
+            yield slab.slice(0, edges[-2]), list(zip(edges[:-2], edges[1:-1], strict=True))
+            held = [slab.slice(edges[-2])]
     if held:
-        yield pa.Table.from_batches(held)
+        slab = pa.concat_batches(held)
+        yield slab, [(0, slab.num_rows)]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+class _Units:
+    """The unit vectors of a slab, by range of rows of equal length."""
 
+    def __init__(self, column: pa.Array):
+        self.offsets = np.asarray(column.offsets)
+        self.flat = np.asarray(column.values)
 
-_EDGES = "id long, nbr long, sim double"
+    def of(self, lo: int, hi: int) -> np.ndarray:
+        return self.flat[self.offsets[lo] : self.offsets[hi]].reshape(hi - lo, -1)
 
 
-def _edges(ids: np.ndarray, sims: np.ndarray, k: int, bar: np.ndarray | None = None, own: np.ndarray | None = None) -> pa.RecordBatch:
-    """For each row of sims its k best columns of another id, or of another `own`, as (id, nbr, sim); only above the row's bar."""
-    n = len(ids)
-    own = ids if own is None else own
-    sims = np.where(own[:, None] == own[None, :], -np.inf, sims)
-    k = min(k, n)
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (n, n))
-    found = np.take_along_axis(sims, best, axis=1)
-    good = np.isfinite(found)
-    if bar is not None:
-        good &= found > bar[:, None]
-    row = np.broadcast_to(np.arange(n)[:, None], best.shape)[good]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[row]), pa.array(ids[best[good]]), pa.array(found[good])], names=["id", "nbr", "sim"]
-    )
+_EDGES = "id long, nbr long, sim double, link boolean"
+
 
+def _local(rows: DataFrame, key: str, k: int, threshold: float) -> DataFrame:
+    """For each member of a key its k most similar others, as (id, nbr, sim, link).
 
-def _local(rows: DataFrame, key: str, k: int, bars: bool) -> DataFrame:
-    """Compare all vectors of a key; rows has key, id, unit, with bars each id's bar, and own where members of one own are not compared."""
-    apart = "own" in rows.columns
+    rows has key, id, unit, fresh (pairs of two old members are not compared), bar (only
+    what is above it is kept) and own (members of one own are not compared; -1: of none).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, key):
-            if group.num_rows > 1:
-                ids = group.column("id").to_numpy()
-                ids, first = np.unique(ids, return_index=True)
-                x = _matrix(group.column("unit"))[first].astype(np.float64)
-                of = lambda c: group.column(c).to_numpy()[first]  # noqa: B023, E731
-                yield _edges(ids, x @ x.T, k, of("bar") if bars else None, of("own") if apart else None)
-
-    names = [key, "id", "unit", *(["bar"] if bars else []), *(["own"] if apart else [])]
-    parts = rows.select(*names).repartition(F.col(key)).sortWithinPartitions(key)
+        for slab, groups in _slabs(batches, key):
+            ids, fresh = slab.column("id").to_numpy(), slab.column("fresh").to_numpy(zero_copy_only=False)
+            bar, own, units = slab.column("bar").to_numpy(), slab.column("own").to_numpy(), _Units(slab.column("unit"))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo, hi in groups:
+                if hi - lo < 2:
+                    continue
+                order = np.lexsort((~fresh[lo:hi], ids[lo:hi]))
+                names = ids[lo:hi][order]
+                at = order[np.concatenate(([True], names[1:] != names[:-1]))]
+                n = len(at)
+                if n < 2:
+                    continue
+                x, new, home = units.of(lo, hi)[at], fresh[lo:hi][at], own[lo:hi][at]
+                names = ids[lo:hi][at]
+                sims = x @ x.T
+                barred = ~(new[:, None] | new[None, :])
+                np.fill_diagonal(barred, True)
+                if home[0] >= 0 or home[-1] >= 0:
+                    barred |= (home[:, None] == home[None, :]) & (home[:, None] >= 0)
+                sims[barred] = -np.inf
+                best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (n, n))
+                value = np.take_along_axis(sims, best, axis=1)
+                good = value > bar[lo:hi][at][:, None]
+                row = np.broadcast_to(np.arange(n)[:, None], best.shape)[good]
+                found.append((names[row], names[best[good]], value[good]))
+            if found:
+                src, dst, sim = (np.concatenate(x) for x in zip(*found, strict=True))
+                # Rounded, so that a pair met twice has one value; whether it is a link is decided before.
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim.round(9)), pa.array(sim >= threshold)], names=["id", "nbr", "sim", "link"])
+
+    parts = rows.select(key, "id", "unit", "fresh", "bar", "own").repartition(F.col(key)).sortWithinPartitions(key)
     return parts.mapInArrow(run, _EDGES)
 
 
-def _best(edges: DataFrame, limits: DataFrame | None, k: int) -> DataFrame:
-    """The k (or each id's limit) most similar neighbours of an id; equal similarity by id."""
-    edges = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-    top = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("nbr"))))
-    lists = edges.groupBy("id").agg(top.alias("near"))
-    if limits is None:
-        kept = lists.select("id", F.slice("near", 1, k).alias("near"))
-    else:
-        kept = lists.join(limits, "id", "left").select("id", F.slice("near", F.lit(1), F.coalesce("size", F.lit(k))).alias("near"))
-    return kept.select("id", F.explode("near").alias("e")).select("id", F.col("e.nbr").alias("nbr"), (-F.col("e.far")).alias("sim"))
+def _entries(edges: DataFrame) -> DataFrame:
+    """(id, met): the entries of edges by id, nearest first."""
+    entry = F.struct((-F.col("sim")).alias("far"), "nbr", "link", F.lit(True).alias("fresh"))
+    return edges.groupBy("id").agg(F.array_sort(F.array_distinct(F.collect_list(entry))).alias("met"))
 
 
 def _blocks(points: DataFrame, total: int, dim_seed: int) -> DataFrame:
-    """points with the chunk they meet in for one hashing."""
+    """points (id, unit, own) with the chunk they meet in for one hashing."""
     bits = max(0, int(np.ceil(np.log2(max(1, total / CHUNK)))) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            buckets = np.zeros(len(units), np.int64)
-            by_size: dict[int, list[int]] = {}
-            for i, u in enumerate(units):
-                by_size.setdefault(len(u), []).append(i)
-            for size, at in by_size.items():
+            units = _Units(batch.column("unit"))
+            sizes = np.diff(units.offsets)
+            buckets = np.zeros(len(sizes), np.int64)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
                 planes = np.random.default_rng([dim_seed, size]).standard_normal((size, bits))
-                signs = np.array([units[i] for i in at]) @ planes > 0
-                buckets[at] = (signs.astype(np.int64) << np.arange(bits)).sum(axis=1) + (size << 40)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("unit"), pa.array(buckets)], names=["id", "unit", "bucket"]
-            )
+                x = units.of(0, len(sizes)) if len(at) == len(sizes) else np.array([units.of(i, i + 1)[0] for i in at])
+                buckets[at] = ((x @ planes > 0).astype(np.int64) << np.arange(bits)).sum(axis=1) + (size << 40)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "unit", "own")), pa.array(buckets)], names=["id", "unit", "own", "bucket"])
 
-    hashed = points.select("id", "unit").mapInArrow(run, "id long, unit array<float>, bucket long")
-    own = ["own"] if "own" in points.columns else []
-    if own:
-        hashed = hashed.join(points.select("id", "own"), "id")
+    hashed = points.select("id", "unit", "own").mapInArrow(run, "id long, unit array<double>, own long, bucket long")
     sizes = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
     salt = F.pmod(F.xxhash64("id", F.lit(dim_seed)), F.ceil(F.col("n") / CHUNK))
-    return hashed.join(sizes, "bucket").select("id", "unit", *own, F.xxhash64("bucket", salt, F.lit(dim_seed)).alias("chunk"))
+    return hashed.join(sizes, "bucket").select("id", "unit", "own", F.xxhash64("bucket", salt, F.lit(dim_seed)).alias("chunk"))
 
 
 def descend(
     points: DataFrame, k: int = K, k_max: int = K_MAX, rounds: int = ROUNDS, threshold: float = THRESHOLD, paths: DataFrame | None = None, seed: int = 0
 ) -> DataFrame:
-    """The neighbour graph (id, nbr, sim) of points (id, unit array<float>).
+    """The neighbour graph of points (id, unit), as (id, unit, own, near array<struct<far, nbr, link, fresh>>, size).
 
     Where points has a column own, members of one own are no neighbours; paths (id, nbr)
     are then further ways, inside them, by which vertices meet.
     """
-    apart = ["own"] if "own" in points.columns else []
+    if "own" not in points.columns:
+        points = points.withColumn("own", F.lit(-1).cast("long"))
     total = points.count()
     first = None
     for t in range(TABLES):
-        near = _local(_blocks(points, total, seed + t + 1), "chunk", k, bars=False)
-        first = near if first is None else first.union(near)
-    graph = materialize(_best(first, None, k), "nnd-0")
-    vectors = points.withColumnRenamed("id", "at")
+        met = _blocks(points, total, seed + t + 1).select("*", F.lit(True).alias("fresh"), F.lit(-2.0).alias("bar"))
+        met = _local(met, "chunk", k, threshold)
+        first = met if first is None else first.union(met)
+    none = F.array().cast("array<struct<far:double,nbr:bigint,link:boolean,fresh:boolean>>")
+    graph = points.join(_entries(first), "id", "left")
+    graph = graph.select("id", "unit", "own", F.slice(F.coalesce("met", none), 1, k).alias("near"), F.lit(k).alias("size"))
+    graph = materialize(graph, "nnd-0")
+    next_to, about = 1 - 4 * (1 - threshold), 1 - 2 * (1 - threshold)
     for r in range(1, rounds + 1):
-        state = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
-        if paths is not None:  # a vertex without a neighbour yet can still meet one
-            state = points.select("id").join(state, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(-2.0)).alias("last"))
-        size = F.when(F.col("last") >= threshold, F.least(F.greatest(F.lit(k), 2 * F.col("n")), F.lit(k_max))).otherwise(
-            F.greatest(F.lit(k), F.col("n"))
-        )
-        state = state.select("id", size.cast("int").alias("size"), F.when(F.col("n") < size, F.lit(-2.0)).otherwise(F.col("last")).alias("bar"))
-        state = materialize(state, f"nnd-lists-{r}")
+        ways = graph.select("id", F.explode("near").alias("e")).select("id", "e.nbr", "e.fresh")
+        if paths is not None:
+            ways = ways.union(paths.select("id", "nbr", F.lit(r == 1).alias("fresh")))
         # A vertex, its neighbours and the vertices that list it; those deal themselves into chunks where they are many.
-        ways = graph.select("id", "nbr") if paths is None else graph.select("id", "nbr").union(paths.select("id", "nbr"))
-        back = ways.select(F.col("nbr").alias("hub"), F.col("id").alias("at"))
-        many = back.groupBy("hub").agg(F.ceil(F.count("*") / (4 * k)).alias("chunks"))
-        back = back.join(many, "hub").select("hub", F.pmod(F.xxhash64("at", F.lit(r)), F.col("chunks")).alias("salt"), "at")
-        ahead = ways.select(F.col("id").alias("hub"), F.col("nbr").alias("at")).join(many, "hub", "left")
-        ahead = ahead.select("hub", F.pmod(F.xxhash64("hub", F.lit(r)), F.coalesce("chunks", F.lit(1))).alias("salt"), "at")
-        own = back.union(ahead).select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("at"))
-        meet = back.union(ahead).union(own).distinct()
-        meet = meet.join(state.withColumnRenamed("id", "at"), "at").join(vectors, "at")
-        meet = meet.select(F.xxhash64("hub", "salt").alias("chunk"), F.col("at").alias("id"), "unit", "bar", *apart)
-        better = _local(meet, "chunk", k_max, bars=True)
-        after = materialize(_best(graph.union(better), state.select("id", "size"), k), f"nnd-{r}")
-        new = after.join(graph, ["id", "nbr"], "left_anti").count()
-        graph = after
-        if new <= 0.002 * k * total:
+        back = ways.select(F.col("nbr").alias("hub"), F.col("id").alias("at"), "fresh", F.lit(1).alias("listed"))
+        ahead = ways.select(F.col("id").alias("hub"), F.col("nbr").alias("at"), "fresh", F.lit(0).alias("listed"))
+        members = back.union(ahead)
+        hubs = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("listed") / (4 * k)), F.lit(1)).alias("chunks"), F.max("fresh").alias("active"))
+        hubs = materialize(hubs.where("active").drop("active"), f"nnd-hubs-{r}")
+        by = F.when(F.col("listed") == 1, F.col("at")).otherwise(F.col("hub"))
+        members = members.join(hubs, "hub").select("hub", F.pmod(F.xxhash64(by, F.lit(r)), F.col("chunks")).alias("salt"), "at", "fresh")
+        own = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("salt"), F.col("hub").alias("at"), F.lit(False).alias("fresh"))
+        bar = F.when(F.size("near") < F.col("size"), F.lit(-2.0)).otherwise(-F.element_at("near", -1)["far"])
+        meet = members.union(own).withColumnRenamed("at", "id").join(graph.select("id", "unit", "own", bar.alias("bar")), "id")
+        better = _local(meet.withColumn("chunk", F.xxhash64("hub", "salt")), "chunk", k_max, threshold)
+        after = graph.join(_entries(better), "id", "left")
+        known = F.transform("near", lambda e: e["nbr"])
+        new = F.filter(F.coalesce("met", none), lambda e: ~F.array_contains(known, e["nbr"]))
+        old = F.transform("near", lambda e: F.struct(e["far"].alias("far"), e["nbr"].alias("nbr"), e["link"].alias("link"), F.lit(False).alias("fresh")))
+        after = after.select("id", "unit", "own", F.slice(F.array_sort(F.concat(old, new)), F.lit(1), F.col("size")).alias("near"), "size")
+        grows = (F.size("near") >= F.col("size")) & (F.col("size") < k_max) & F.element_at("near", -1)["link"]
+        after = after.select("id", "unit", "own", "near", F.when(grows, F.least(2 * F.col("size"), F.lit(k_max))).otherwise(F.col("size")).alias("size"), grows.alias("grown"))
+        again = lambda e: F.col("grown") | (e["fresh"] & (e["far"] <= -next_to))
+        near = F.transform("near", lambda e: F.struct(e["far"].alias("far"), e["nbr"].alias("nbr"), e["link"].alias("link"), again(e).alias("fresh")))
+        graph = materialize(after.select("id", "unit", "own", near.alias("near"), "size"), f"nnd-{r}")
+        count = lambda keep: F.coalesce(F.sum(F.size(F.filter("near", keep))), F.lit(0))
+        row = graph.agg(count(lambda e: e["far"] <= -about).alias("all"), count(lambda e: e["fresh"] & (e["far"] <= -about)).alias("new")).first()
+        if row["new"] <= SETTLED * row["all"]:
             break
     return graph
 
 
 def audit(points: DataFrame, parts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> tuple[int, int]:
-    """(true links, links inside one component) of a fixed number of query vectors against all points."""
-    lot = points.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    """(true links, links inside one component) of a fixed number of query vectors, those in components first, against all points."""
+    first = points.select("id", "unit").join(parts.select("id", F.lit(0).alias("single")), "id", "left")
+    lot = first.orderBy(F.coalesce("single", F.lit(1)), F.xxhash64("id"), "id").limit(queries).collect()
     by_size: dict[int, list] = {}
     for row in lot:
         by_size.setdefault(len(row["unit"]), []).append(row)
     shared = points.sparkSession.sparkContext.broadcast(
-        {size: (np.array([r["id"] for r in rows]), np.array([r["unit"] for r in rows], np.float32)) for size, rows in by_size.items()}
+        {size: (np.array([r["id"] for r in rows]), np.array([r["unit"] for r in rows])) for size, rows in by_size.items()}
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            for vec_id, unit in zip(batch.column("id").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                if len(unit) in shared.value:
-                    ids, x = shared.value[len(unit)]
-                    hit = ids[(x @ np.array(unit, np.float32) >= threshold) & (ids != vec_id)]
-                    pairs += [(int(q), vec_id) for q in hit]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["src", "dst"]
-            )
+            ids, units = batch.column("id").to_numpy(), _Units(batch.column("unit"))
+            sizes = np.diff(units.offsets)
+            src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for size in set(sizes.tolist()) & shared.value.keys():
+                asked, x = shared.value[size]
+                at = np.flatnonzero(sizes == size)
+                y = units.of(0, len(sizes)) if len(at) == len(sizes) else np.array([units.of(i, i + 1)[0] for i in at])
+                q, i = np.nonzero((x @ y.T >= threshold) & (asked[:, None] != ids[at][None, :]))
+                src.append(asked[q])
+                dst.append(ids[at][i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
     true = points.select("id", "unit").mapInArrow(run, "src long, dst long")
     of = lambda side: parts.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
@@ -273,46 +290,50 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     rows = rows.select(F.xxhash64("component", lo, hi).alias("chunk"), "id", "copies", (F.col("block") == lo).alias("low"), (lo == hi).alias("own"), "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "chunk"):
-            ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
-            low, own = np.asarray(group.column("low").combine_chunks()), group.column("own")[0].as_py()
-            x = _matrix(group.column("unit"))
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            if not own:
-                near &= low[:, None] != low[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ copies)], names=["id", "links"])
+        for slab, groups in _slabs(batches, "chunk"):
+            ids, copies, units = slab.column("id").to_numpy(), slab.column("copies").to_numpy(), _Units(slab.column("unit"))
+            low, own = slab.column("low").to_numpy(zero_copy_only=False), slab.column("own").to_numpy(zero_copy_only=False)
+            links = np.zeros(len(ids), np.int64)
+            for begin, end in groups:
+                x, at, c = units.of(begin, end), np.arange(end - begin), copies[begin:end]
+                side = low[begin:end]
+                a, b = (at, at) if own[begin] else (at[side], at[~side])
+                for part in range(0, len(a), 512):
+                    rows_ = a[part : part + 512]
+                    near = x[rows_] @ x[b].T >= threshold
+                    if own[begin]:
+                        near[np.arange(len(rows_)), rows_] = False
+                    links[begin + rows_] += near @ c[b]
+                    if not own[begin]:
+                        links[begin + b] += c[rows_] @ near
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["id", "links"])
 
     parts = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "id long, links long")
     return parts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _links(graph: DataFrame, exact: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst): the entries of neighbour lists that reach the threshold in double precision."""
-    # Lists hold single precision; the margin lets the exact product decide.
-    edges = graph.where(F.col("sim") >= threshold - 1e-5).select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
-    edges = edges.join(exact.withColumnsRenamed({"id": "src", "exact": "x"}), "src").join(exact.withColumnsRenamed({"id": "dst", "exact": "y"}), "dst")
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return edges.where((F.size("x") == F.size("y")) & (dot >= threshold)).select("src", "dst")
+def _links(graph: DataFrame) -> DataFrame:
+    """(src, dst): the entries of neighbour lists that are links."""
+    rows = graph.select(F.col("id").alias("src"), F.explode(F.filter("near", lambda e: e["link"])).alias("e"))
+    return rows.select("src", F.col("e.nbr").alias("dst"))
 
 
-def _joined(
-    points: DataFrame, exact: DataFrame, graph: DataFrame, parts: DataFrame, k: int, k_max: int, rounds: int, threshold: float
-) -> tuple[DataFrame, DataFrame | None]:
+def _joined(points: DataFrame, graph: DataFrame, parts: DataFrame, k: int, k_max: int, rounds: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """parts after joining components that links of saturated vertices connect, and those vertices, if any."""
-    full = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
-    full = full.where((F.col("n") >= k_max) & (F.col("last") >= threshold - 1e-5)).select("id")
-    full = materialize(full.join(points, "id"), "nnd-full")
+    last: Column = F.element_at("near", -1)
+    full = materialize(graph.where((F.size("near") >= k_max) & last["link"]).select("id", "unit", "near"), "nnd-full")
     if full.isEmpty():
         return parts, None
-    ids = full.select("id")
-    paths = graph.join(ids, "id").join(ids.withColumnRenamed("id", "nbr"), "nbr").select("id", "nbr", "sim")
-    paths = materialize(_best(paths, None, k), "nnd-paths")
+    ids = full.select(F.col("id").alias("nbr"))
+    # One link out of a component is enough to join it, so short lists do here.
+    paths = full.select("id", F.explode(F.slice("near", 1, k)).alias("e")).select("id", "e.nbr")
+    paths = materialize(paths.join(ids, "nbr").select("id", "nbr"), "nnd-paths")
+    full = full.select("id", "unit")
     for turn in range(1, 200):
         rest = materialize(full.join(parts.withColumnRenamed("component", "own"), "id"), f"nnd-rest-{turn}")
         if rest.select("own").distinct().limit(2).count() < 2:
             return parts, full
-        across = _links(descend(rest, k, k_max, rounds, threshold, paths, turn * TABLES), exact, threshold)
+        across = _links(descend(rest, k // 2, k, rounds, threshold, paths, turn * TABLES))
         of = lambda side, name: parts.select(F.col("id").alias(side), F.col("component").alias(name))  # noqa: B023, E731
         across = across.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         step = connected_components(across, f"nnd-join-{turn}")
@@ -326,35 +347,32 @@ def _joined(
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
-    rows = materialize(vertices(vectors), "nnd-rows")
-    same = rows.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    points = materialize(same.select("id", F.col("unit").cast("array<float>").alias("unit"), F.col("unit").alias("exact"), "copies"), "nnd-points")
-    exact = points.select("id", "exact")
+    rows = vertices(vectors).groupBy("vec_id").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
+    rows = materialize(rows, "nnd-rows")
+    same = rows.groupBy("unit").agg(F.min("vec_id").alias("id"), F.sum("n").alias("copies"))
+    points = materialize(same.select("id", "unit", "copies"), "nnd-points")
     k, rounds = K, ROUNDS
     for _ in range(3):
         k_max = max(4 * k, K_MAX)
         graph = descend(points.select("id", "unit"), k, k_max, rounds, threshold)
-        edges = _links(graph, exact, threshold)
-        parts = connected_components(edges, "nnd-components")
-        parts, full = _joined(points.select("id", "unit"), exact, graph, parts, k, k_max, rounds, threshold)
+        parts = connected_components(_links(graph), "nnd-components")
+        parts, full = _joined(points.select("id", "unit"), graph, parts, k, k_max, rounds, threshold)
         audits = [audit(some, parts, threshold) for some in (points, full) if some is not None]
         if all(found >= recall * true for true, found in audits):
             break
         k, rounds = 2 * k, rounds + 4
     else:
         raise RuntimeError(f"neighbour graph: too few of the audited links lie inside components: (true, found) {audits}")
-    members = parts.join(points.select("id", F.col("exact").alias("unit"), "copies"), "id")
-    links = _counted(members, threshold)
+    links = _counted(parts.join(points, "id"), threshold)
     done = points.select("id", "copies").join(parts, "id", "left").join(links, "id", "left")
     done = done.select(
         "id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
     )
-    of = rows.join(points.select(F.col("exact").alias("unit"), "id"), "unit").select("vec_id", "id")
+    of = rows.join(points.select("unit", "id"), "unit").select("vec_id", "id")
     linked = of.join(done, "id").select("vec_id", "n_links", "component_id")
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).withColumn("n", F.lit(1))
-    every = given.join(linked.dropDuplicates(["vec_id"]), "vec_id", "left")
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return every.select(
         "vec_id",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from caseweave.llm import chat, decontaminate, langid, licenses, minhash, mixing, neardup_vectors, pii, substrings, toxicity
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
     "op10_language_id": langid.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -1,23 +1,28 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into units: sentences (ended by . ! ? or a line end), and pieces of
-at most `UNIT_WORDS` words where a sentence is longer. A span is a shortest run of
-at least `SPAN_UNITS` consecutive units and `SPAN_WORDS` words, one that starts
-and one that ends at every unit, so a repeated passage that holds a span is covered
-from its first unit to its last. Spans are hashed to 96 bits over their
+A text is cut into units: sentences, ended by . ! ? their full-width forms or a line
+end. Inside a sentence of more than `UNIT_WORDS` words further cuts are chosen by content: the
+last smallest of each `UNIT_WORDS` consecutive hashes of two words starts a unit. So two
+occurrences of a passage are cut alike wherever they stand, but for the first and last
+`UNIT_WORDS` words, and no unit is longer than `UNIT_WORDS` words but at a sentence's ends (twice that).
+
+A span is a shortest run of at least `SPAN_UNITS` consecutive units and `SPAN_WORDS`
+words, one that starts and one that ends at every unit, so a repeated passage that holds
+a span is covered from its first unit to its last. Spans are hashed to 95 bits over their
 normalised words and joined over all documents. The first occurrence of a span is
 the one of smallest doc_id, then position; the units under any other occurrence are
 removed from the text, within a document as well.
 
-Scale. Span rows hold numbers only. Spans are counted with partial aggregation,
-and only hashes that occur twice or more go on, so a passage of any frequency
-costs rows in proportion to its occurrences; the joins on the hash have plain
-exchanges on both sides, which Spark can split where a passage is very common.
+Scale. Span rows hold numbers only. One aggregation, combined before its shuffle, finds the
+hashes that occur twice or more with their first occurrence; they are stored, and the spans
+join them in a plain join of two stored tables, which Spark splits where one hash is
+very common. A passage of any frequency costs rows in proportion to its occurrences.
 Texts are shuffled once, by doc_id.
 
 Defined results: a null or empty text has no units and stays; rows with a null
-doc_id are left alone; repeated rows of a doc_id count as one document and are
-cut alike; an empty table gives an empty result; all columns are kept by `clean`.
+doc_id are left alone; repeated rows of a doc_id count as one document, are cut
+alike and keep their first occurrence of each span; an empty table gives an empty
+result; all columns, whatever their names, are kept by `clean`.
 """
 
 from __future__ import annotations
@@ -29,15 +34,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caseweave.llm.common import WORD_BYTES, materialize, table
+from caseweave.llm.common import WORD_BYTES, free_name, materialize, table
 
 UNIT_WORDS = 12
 SPAN_UNITS = 3
 SPAN_WORDS = 25
+ADDED = ("cw_text", "cw_removed", "cw_units")
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
+#: Full-width full stop, exclamation mark, question mark and dot, as UTF-8; each three bytes long.
+_WIDE_ENDS = tuple(c.encode() for c in "\u3002\uff01\uff1f\uff0e")
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _STEP = 1 << 16
 
@@ -61,9 +70,7 @@ class Hasher:
     def grow(self, n: int) -> None:
         self.powers = [(_powers(p, n), _powers(pow(p, -1, 2**64), n)) for p in (_P, _Q)]
 
-    def prefixes(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(words) >= len(self.powers[0][0]):
-            self.grow(2 * len(words))
+    def ids(self, words: list[bytes]) -> np.ndarray:
         ids = []
         for w in words:
             h = self.words.get(w)
@@ -72,7 +79,12 @@ class Hasher:
                     self.words.clear()
                 h = self.words[w] = xxhash.xxh3_64_intdigest(w)
             ids.append(h)
-        ids = np.array(ids, np.uint64)
+        return np.array(ids, np.uint64)
+
+    def prefixes(self, words: list[bytes]) -> list[np.ndarray]:
+        if len(words) >= len(self.powers[0][0]):
+            self.grow(2 * len(words))
+        ids = self.ids(words)
         return [np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * up[: len(ids)]))) for up, _ in self.powers]
 
     def runs(self, prefixes: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +95,19 @@ class Hasher:
         return (a ^ (a >> np.uint64(32))).view(np.int64), (b >> np.uint64(33)).astype(np.int32)
 
 
-def units(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _content_cuts(ids: np.ndarray, w: int = UNIT_WORDS) -> np.ndarray:
+    """Places of the last smallest of each w consecutive hashes; at most w apart."""
+    if len(ids) < w:
+        return np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(ids, w)
+    return np.unique(np.arange(len(windows)) + w - 1 - windows[:, ::-1].argmin(axis=1))
+
+
+def units(data: bytes, hasher: Hasher | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Byte offset and first word of each unit of a text, and its words."""
+    if not data.isascii():
+        for end in _WIDE_ENDS:
+            data = data.replace(end, b"  \n")
     plain = data.translate(WORD_BYTES)
     words = plain.split()
     if not words:
@@ -92,9 +115,15 @@ def units(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     is_word = np.frombuffer(plain, np.uint8) != 0x20
     starts = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1])))
     sentence = np.cumsum(_ENDS[np.frombuffer(data, np.uint8)])[starts]
-    first = np.concatenate(([True], sentence[1:] != sentence[:-1]))
-    within = np.arange(len(starts)) - np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0))
-    at = np.flatnonzero(within % UNIT_WORDS == 0)
+    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
+    long = [(lo, hi) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(words)], strict=True) if hi - lo > UNIT_WORDS]
+    at = first
+    if long:
+        ids = (hasher or Hasher()).ids(words)
+        # Two words make fewer ties than one; the pair that begins with a sentence's last word is none of its own.
+        pairs = (ids[:-1] * np.uint64(_P)) ^ (ids[1:] * np.uint64(_Q))
+        pairs ^= pairs >> np.uint64(32)
+        at = np.unique(np.concatenate([first, *(lo + _content_cuts(pairs[lo : hi - 1]) for lo, hi in long)]))
     return starts[at], at, words
 
 
@@ -119,7 +148,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, first, words = units((text or "").encode("utf-8", "surrogatepass"))
+                _, first, words = units((text or "").encode("utf-8", "surrogatepass"), hasher)
                 if len(first) < SPAN_UNITS or len(words) < SPAN_WORDS:
                     continue
                 lo, hi = spans(first, len(words))
@@ -138,10 +167,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, cuts array<struct<lo, hi>>): unit ranges under a span that occurs earlier."""
     every = materialize(occurrences(docs), "spans-all")
-    twice = every.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c")
-    again = materialize(every.join(twice, ["h", "c"]), "spans-repeated")
-    first = again.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    later = again.join(first, ["h", "c"]).where(F.struct("doc_id", "lo") > F.col("first"))
+    first = every.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last"))
+    twice = materialize(first.where("first <> last").select("h", "c", "first"), "spans-repeated")
+    later = every.join(twice, ["h", "c"]).where(F.struct("doc_id", "lo") > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
 
 
@@ -164,20 +192,22 @@ def _without(data: bytes, at: np.ndarray, gone: np.ndarray) -> bytes:
 def cut(docs: DataFrame) -> DataFrame:
     """docs with cw_text, the text without repeats, cw_removed, words removed, and cw_units, units removed."""
     names = docs.columns
-    marks = repeats(docs).withColumnRenamed("doc_id", "cw_id")
-    rows = docs.join(marks, F.col("doc_id") == F.col("cw_id"), "left").drop("cw_id").withColumnRenamed("cuts", "cw_cuts")
-    schema = docs.select("*", F.lit("").alias("cw_text"), F.lit(0).cast("long").alias("cw_removed"), F.lit(0).cast("long").alias("cw_units")).schema
-    for field in schema.fields:
-        field.nullable = True
+    marks = repeats(docs.select("doc_id", "text"))
+    marks = marks.select(F.col("doc_id").alias(free_name("cw_id", docs)), F.col("cuts").alias(free_name("cw_cuts", docs)))
+    key, cuts_name = marks.columns
+    rows = docs.join(marks, F.col("doc_id") == F.col(key), "left").drop(key)
+    added = [free_name(c, docs) for c in ADDED]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *map(T.StructField, added, (T.StringType(), T.LongType(), T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             texts, removed, counts = [], [], []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cw_cuts").to_pylist(), strict=True):
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column(cuts_name).to_pylist(), strict=True):
                 words_gone = units_gone = 0
                 if text and cuts:
                     data = text.encode("utf-8", "surrogatepass")
-                    at, first, words = units(data)
+                    at, first, words = units(data, hasher)
                     gone = _covered(cuts, len(at))
                     text = _without(data, at, gone).decode("utf-8", "surrogatepass")
                     words_gone, units_gone = int(np.diff(np.append(first, len(words)))[gone].sum()), int(gone.sum())
@@ -193,11 +223,12 @@ def cut(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs, same columns, with repeats removed from text; n_chars follows where there is one."""
-    new = {"text": F.col("cw_text")}
+    done, (text, _, gone) = cut(docs), [free_name(c, docs) for c in ADDED]
+    new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        length = F.length("cw_text").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.col("cw_units") > 0, length).otherwise(F.col("n_chars"))
-    return cut(docs).select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(gone) > 0, length).otherwise(F.col("n_chars"))
+    return done.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

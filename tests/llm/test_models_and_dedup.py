@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseweave.llm import common, langid, minhash, neardup_vectors, substrings, toxicity
 
@@ -172,6 +173,70 @@ def test_substrings(spark):
     assert substrings.clean(given.limit(0)).count() == 0
 
 
+def brute_substrings(rows):
+    """Words removed by doc_id: spans as tuples of words in a dictionary, first occurrence by doc_id and place."""
+    parts = {}
+    for i, text in rows:
+        if i is not None:
+            _, first, words = substrings.units((text or "").encode())
+            parts[i] = [tuple(words[a:b]) for a, b in zip(first, [*first[1:], len(words)], strict=True)] if words else []
+    places = {}
+    for i in sorted(parts):
+        size, n = [len(u) for u in parts[i]], len(parts[i])
+        runs = set()
+        for lo in range(n):  # shortest run from lo on, shortest run up to lo
+            hi = next((h for h in range(lo + 2, n) if sum(size[lo : h + 1]) >= 25), None)
+            runs |= {(lo, hi)} if hi is not None else set()
+            back = next((b for b in range(lo - 2, -1, -1) if sum(size[b : lo + 1]) >= 25), None)
+            runs |= {(back, lo)} if back is not None else set()
+        for lo, hi in sorted(runs):
+            places.setdefault(sum(parts[i][lo : hi + 1], ()), []).append((i, lo, hi))
+    gone = {i: set() for i in parts}
+    for at in places.values():
+        for i, lo, hi in at:
+            if (i, lo) > min((a, b) for a, b, _ in at):
+                gone[i] |= set(range(lo, hi + 1))
+    return {i: sum(len(parts[i][k]) for k in ks) for i, ks in gone.items()}
+
+
+def test_substrings_against_brute_force(spark):
+    rng = random.Random(16)
+    passages = [unique(rng, rng.randrange(30, 120)) + "." for _ in range(6)] + [unique(rng, 90).replace(".", "")]
+    rows = []
+    for k in range(60):
+        text = [prose(rng, rng.randrange(5, 60)) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            text.insert(rng.randrange(len(text)), rng.choice(passages))
+        rows.append((k, rng.choice([" ", ".\n", " "]).join(text)))
+    rows += [(70, rows[3][1]), (71, rows[3][1] + "! " + rows[3][1]), (72, None), (73, ""), (74, "no end " * 9000)]
+    got = {r["doc_id"]: r["cw_removed"] for r in substrings.cut(docs(spark, rows)).collect()}
+    want = brute_substrings(rows)
+    assert got == want and sum(v > 0 for v in want.values()) > 15
+
+
+def test_substrings_cut_alike_at_any_offset(spark):
+    """A passage without sentence ends, in texts without sentence ends, at all offsets; and full-width ends."""
+    rng = random.Random(26)
+    passage = unique(rng, 60).replace(".", "").split()
+    rows = [(k, " ".join([f"q{k}x{j}" for j in range(20 + k)] + passage + [f"r{k}x{j}" for j in range(30)])) for k in range(15)]
+    got = {r["doc_id"]: r["text"] for r in substrings.clean(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 15):
+        left = got[k].split()
+        assert not set(passage[12:48]) & set(left) and f"q{k}x0" in left and f"r{k}x29" in left
+    at, first, words = substrings.units("一二三四 五六。七八！九十 a？b".encode())
+    assert len(first) == 4
+    assert max(np.diff(substrings.units(" ".join(f"v{k}" for k in range(900)).encode())[1])) <= substrings.UNIT_WORDS * 2
+
+
+def test_substrings_keep_clashing_columns(spark):
+    rng = random.Random(36)
+    text = unique(rng, 80) + "."
+    given = spark.createDataFrame([(1, text, "a", 5, "x"), (2, text, "b", 6, "y"), (2, text, "b", 6, "y")], "doc_id long, text string, cw_text string, cw_units long, cw_cuts string")
+    got = sorted((r["doc_id"], r["text"] == text, r["cw_text"], r["cw_units"], r["cw_cuts"]) for r in substrings.clean(given).collect())
+    assert got == [(1, True, "a", 5, "x"), (2, False, "b", 6, "y"), (2, False, "b", 6, "y")]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     base = rng.standard_normal((300, 16))
@@ -205,3 +270,40 @@ def test_vectors_of_tight_groups_that_link(spark):
     assert near[:60, 60:120].all() and near[60:120, 120:].all() and not near[:60, 120:].any()
     assert {r["component_id"] for r in got.values()} == {0}
     assert all(got[k]["n_links"] == near[k].sum() - 1 for k in range(180))
+
+
+def test_vectors_odd_rows(spark):
+    """Very large and very small finite vectors link; repeated ids are copies; columns may clash; a table may be empty."""
+    big, small = [1e200, 2e200, 0.0], [1e-200, 2e-200, 0.0]
+    rows = [(1, big, "a", 0), (2, small, "b", 0), (3, [1.0, 2.0, 0.01], "c", 0), (4, [-1.0, -2.0, 0.0], "d", 0), (5, [0.0, 0.0, 1.0], "e", 0), (5, [0.0, 0.0, 2.0], "e", 0), (6, [0.0, 0.0, 3.0], "f", 0), (7, [float("inf"), 1.0, 0.0], "g", 0)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, unit string, id long")
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.near_duplicates(given).collect()}
+    assert got == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True)}
+    assert neardup_vectors.near_duplicates(given).count() == len(rows)
+    assert neardup_vectors.near_duplicates(given.limit(0)).count() == 0
+
+
+def test_minhash_keeps_clashing_columns(spark):
+    rng = random.Random(46)
+    text = unique(rng, 60)
+    given = spark.createDataFrame([(2, text, 1, "x"), (1, text + " more", 2, "y"), (None, text, 3, "z")], "doc_id long, text string, cw_gone long, rep string")
+    assert sorted(map(tuple, minhash.dedup(given).collect()), key=str) == sorted([(1, text + " more", 2, "y"), (None, text, 3, "z")], key=str)
+
+
+def test_toxicity_is_the_same_for_any_partitioning(spark):
+    """Equal texts with other labels and ids, dealt otherwise: equal weights; and severity ranks held-out documents."""
+    rng = random.Random(56)
+    bad = ["idiotic", "worthless", "moronic", "trashy"]
+    rows = []
+    for k in range(700):
+        toxic = k % 4 == 0
+        rows.append((k, prose(rng, 40) + ("" if not toxic else " " + " ".join(rng.choice(bad) for _ in range(rng.choice([1, 2, 5])))), int(toxic)))
+    rows += [(1000 + k, rows[k][1], 1 - rows[k][2]) for k in range(20)]
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    given = docs(spark, [(k, t) for k, t, _ in rows])
+    one, two = toxicity.fit(given, labels), toxicity.fit(given.repartition(7, "text").sortWithinPartitions(F.desc("doc_id")), labels.repartition(3))
+    assert one.weights == two.weights and one.flag == two.flag and (one.steps == two.steps).all()
+    fresh = [(k, prose(rng, 40) + " " + " ".join(rng.choice(bad) for _ in range(k % 3 * 3))) for k in range(90)]
+    score = {r["doc_id"]: r["severity"] for r in toxicity.score(docs(spark, fresh), one).collect()}
+    level = [np.mean([score[k] for k in range(90) if k % 3 == j]) for j in range(3)]
+    assert level[0] < level[1] < level[2]

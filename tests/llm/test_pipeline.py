@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from caseweave.llm.common import materialize
@@ -28,3 +29,33 @@ def test_pipeline(spark, tmp_path):
     mixed = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not {100, 101, 102, 103} & set(mixed)
     assert all("@" not in r["text"] and 1 <= r["copies"] <= 3 for r in mixed.values())
+
+
+def test_mix_counts_rows_of_one_id_apart(spark, tmp_path):
+    """Repeated rows, rows without id or source, and columns that clash: the mix keeps its targets and the columns."""
+    rng = random.Random(12)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, prose(rng, 20), "en", None if k % 2 else "s", 1, 9, "x") for k in range(120)]
+    rows += rows[:10] + [(500, None, None, "s", None, 9, "x"), (501, "", None, "s", 0, 9, "x")]
+    given = spark.createDataFrame(rows, DOCS + ", copies long, cw_row string")
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()
+    assert set(out[0].asDict()) == set(docs.columns) and all(r["cw_row"] == "x" for r in out)
+    words = sum(20 for r in rows if r[1])
+    taken = Counter()
+    for r in out:
+        assert 1 <= r["copies"] <= 3 and r["doc_id"] not in (500, 501)
+        taken[r["source"]] += 20 * r["copies"]
+    assert abs(taken["s"] - words / 3) <= 20 and abs(taken[None] - 2 * words / 3) <= 20
+    assert corpus_pipeline.mixture(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_and_nulls(spark, tmp_path):
+    rows = [(1, "the and that with from have this will", "en", None, 1, 2), (None, "the and that with from have this", "en", "s", None, 3), (None, None, None, None, None, None), (2, "", "en", "s", 0, 5)]
+    docs = spark.createDataFrame(rows, DOCS + ", hits long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns[-1] == "hits"
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert sorted(r["hits"] for r in docs.collect()) == [2, 3]
