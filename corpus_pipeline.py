@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in shared storage and read again as the next stage's docs. All but the
-last return the columns of documents.
+last return the columns of documents; the last adds copies, in place of such a column
+where there is one.
+
+Defined results, besides those of the operators: a document whose text is null or has
+no letters has no language and goes in the first stage; a null doc_id is never a
+duplicate of another; repeated rows count as duplicates of one another and stay
+together with the one that is kept; a null source is a source of its own; columns beyond
+those of documents are carried through; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import decontaminate, langid, minhash, mixing, pii
-from caseweave.llm.common import materialize, table
+from caseweave.llm.common import free_name, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +42,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with how often (copies)."""
-    rows = docs.withColumn("cw_size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    sizes = materialize(rows.select("doc_id", "source", F.col("cw_size").alias("size")), "mix-sizes")
-    taken = mixing.copies(sizes).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("cw_id")).agg(F.max("copies").alias("copies"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("cw_id"))).drop("cw_id")
+    """The documents the mix takes, each row with how often (copies).
+
+    Rows are numbered and stored first, so that of several rows of one doc_id (or of
+    none) each has its own count.
+    """
+    row, n = free_name("cw_row", docs), "copies"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    sizes = mixing.sizes_of(rows.select("text", "doc_id", "source", F.col(row).alias("row")), "row")
+    taken = mixing.copies(materialize(sizes, "mix-sizes")).where("copies > 0").select(F.col("row").alias(row), "copies")
+    return rows.drop(n).join(taken, row).drop(row)
 
 
 STAGES = [
