@@ -13,7 +13,7 @@
    one end's list. A vertex without fresh entries gathers nothing. Lists whose last
    entry is still a link are saturated: they double, up to `k_max`, and all their entries are
    fresh again. Of later rounds' entries only those that may lie next to a link
-   (similarity above `1 - 4 (1 - threshold)`) are fresh. Rounds go on until few entries
+   (similarity above `1 - 4 (1 - threshold)`) are fresh, and none of a list of `k_max` links. Rounds go on until few entries
    within twice the threshold's distance change.
 4. Edges at or above the threshold give connected components. A list that is still
    saturated at `k_max` may hold members of its own component only, so vertices with
@@ -236,7 +236,9 @@ def descend(
         after = after.select("id", "unit", "own", F.slice(F.array_sort(F.concat(old, new)), F.lit(1), F.col("size")).alias("near"), "size")
         grows = (F.size("near") >= F.col("size")) & (F.col("size") < k_max) & F.element_at("near", -1)["link"]
         after = after.select("id", "unit", "own", "near", F.when(grows, F.least(2 * F.col("size"), F.lit(k_max))).otherwise(F.col("size")).alias("size"), grows.alias("grown"))
-        again = lambda e: F.col("grown") | (e["fresh"] & (e["far"] <= -next_to))
+        # Better links for a full list of links lead nowhere new; what leaves its component is sought by itself.
+        full = (F.size("near") >= k_max) & F.element_at("near", -1)["link"]
+        again = lambda e: ~full & (F.col("grown") | (e["fresh"] & (e["far"] <= -next_to)))
         near = F.transform("near", lambda e: F.struct(e["far"].alias("far"), e["nbr"].alias("nbr"), e["link"].alias("link"), again(e).alias("fresh")))
         graph = materialize(after.select("id", "unit", "own", near.alias("near"), "size"), f"nnd-{r}")
         count = lambda keep: F.coalesce(F.sum(F.size(F.filter("near", keep))), F.lit(0))
@@ -248,35 +250,31 @@ def descend(
 
 def audit(points: DataFrame, parts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> tuple[int, int]:
     """(true links, links inside one component) of a fixed number of query vectors, those in components first, against all points."""
-    first = points.select("id", "unit").join(parts.select("id", F.lit(0).alias("single")), "id", "left")
-    lot = first.orderBy(F.coalesce("single", F.lit(1)), F.xxhash64("id"), "id").limit(queries).collect()
+    placed = points.select("id", "unit").join(parts, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("component"), F.col("component").isNull().alias("single"))
+    lot = placed.orderBy("single", F.xxhash64("id"), "id").limit(queries).collect()
     by_size: dict[int, list] = {}
     for row in lot:
         by_size.setdefault(len(row["unit"]), []).append(row)
     shared = points.sparkSession.sparkContext.broadcast(
-        {size: (np.array([r["id"] for r in rows]), np.array([r["unit"] for r in rows])) for size, rows in by_size.items()}
+        {size: (np.array([r["id"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["unit"] for r in rows])) for size, rows in by_size.items()}
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, units = batch.column("id").to_numpy(), _Units(batch.column("unit"))
+            ids, home, units = batch.column("id").to_numpy(), batch.column("component").to_numpy(), _Units(batch.column("unit"))
             sizes = np.diff(units.offsets)
-            src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            true = found = 0
             for size in set(sizes.tolist()) & shared.value.keys():
-                asked, x = shared.value[size]
+                asked, homes, x = shared.value[size]
                 at = np.flatnonzero(sizes == size)
                 y = units.of(0, len(sizes)) if len(at) == len(sizes) else np.array([units.of(i, i + 1)[0] for i in at])
-                q, i = np.nonzero((x @ y.T >= threshold) & (asked[:, None] != ids[at][None, :]))
-                src.append(asked[q])
-                dst.append(ids[at][i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
-
-    true = points.select("id", "unit").mapInArrow(run, "src long, dst long")
-    of = lambda side: parts.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
-    true = true.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-    inside = F.coalesce(F.col("src_component") == F.col("dst_component"), F.lit(False))
-    row = true.agg(F.count("*").alias("n"), F.coalesce(F.sum(inside.cast("long")), F.lit(0)).alias("found")).first()
-    return row["n"], row["found"]
+                near = (x @ y.T >= threshold) & (asked[:, None] != ids[at][None, :])
+                true += int(near.sum())
+                found += int((near & (homes[:, None] == home[at][None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
+
+    row = placed.select("id", "component", "unit").mapInArrow(run, "true long, found long").agg(F.sum("true").alias("n"), F.sum("found").alias("found")).first()
+    return row["n"] or 0, row["found"] or 0
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
