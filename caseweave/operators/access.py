@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions import bin_of, blake2b_64, nearest_rank, nullif_nan, seconds_between
+from caseweave.functions import bin_of, blake2b_64, nullif_nan, seconds_between
 from caseweave.log import REQUIRED, EventLog
 from caseweave.operators import filters as flt
+from caseweave.operators.quantiles import quantiles
 
 
 def events_page(log: EventLog, where: Column | None = None, sort: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -17,6 +18,17 @@ def events_page(log: EventLog, where: Column | None = None, sort: str | None = N
     return flt.page(rows, [*flt.parse_sort(sort, rows.columns), F.col("seq")], offset, limit)
 
 
+def page_total(log: EventLog, where: Column | None = None) -> DataFrame:
+    """(total): how many events a page's filter leaves."""
+    return (log.events if where is None else log.events.where(where)).agg(F.count("*").alias("total"))
+
+
+def labelled(df: DataFrame, labels: dict[str, str], order: list[str] | None = None) -> DataFrame:
+    """df with the columns of `order` first, the others after them as they came, and columns renamed to their labels."""
+    first = [c for c in order or [] if c in df.columns]
+    return df.select(*(F.col(f"`{c}`").alias(labels.get(c, c)) for c in [*first, *(c for c in df.columns if c not in first)]))
+
+
 def indexed(log: EventLog) -> DataFrame:
     """Events with row_index, their place (from 0) in the log sorted by case and time.
 
@@ -114,15 +126,15 @@ def variant_ids(log: EventLog) -> DataFrame:
 def variant_detail(log: EventLog, variant: str) -> DataFrame:
     """Duration statistics of one variant; p90 is nearest-rank."""
     rows = cases(log).where(F.col("variant") == variant)
-    d = F.array_sort(F.collect_list("case_duration_seconds"))
-    return rows.groupBy("variant").agg(
+    stats = rows.groupBy("variant").agg(
         F.count("*").alias("n_cases"),
         F.avg("case_duration_seconds").alias("avg_duration_s"),
-        F.median("case_duration_seconds").alias("median_duration_s"),
-        nearest_rank(d, 0.9).alias("p90_duration_s"),
         F.min("case_duration_seconds").alias("min_duration_s"),
         F.max("case_duration_seconds").alias("max_duration_s"),
     )
+    half = quantiles(rows, "case_duration_seconds", (0.5,)).select(F.col("q")[0].alias("median_duration_s"))
+    p90 = quantiles(rows, "case_duration_seconds", (0.9,), nearest=True).select(F.col("q")[0].alias("p90_duration_s"))
+    return stats.crossJoin(F.broadcast(half)).crossJoin(F.broadcast(p90))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 12) -> DataFrame:
@@ -175,17 +187,16 @@ def kpi_summary(log: EventLog) -> DataFrame:
     """How many cases and events, and how long cases take; quantiles are interpolated."""
     per = log.events.groupBy("case_id").agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("*").alias("n_events"))
     per = per.withColumn("d", seconds_between(F.col("first_ts"), F.col("last_ts")))
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
     row = per.agg(
         F.count("*").alias("cases"),
         F.coalesce(F.sum("n_events"), F.lit(0)).cast("bigint").alias("events"),
         F.avg("d").alias("avg_cycle_time_s"),
-        q.alias("q"),
         F.min("d").alias("min_cycle_time_s"),
         F.max("d").alias("max_cycle_time_s"),
         F.min("first_ts").alias("earliest"),
         F.max("last_ts").alias("latest"),
     )
+    row = row.join(F.broadcast(quantiles(per, "d", (0.5, 0.9, 0.95))), F.lit(True), "left")
     span = seconds_between(F.col("earliest"), F.col("latest"))
     r = lambda x, name: F.round(x, 6).alias(name)
     return row.select(

@@ -213,19 +213,21 @@ def lempel_ziv(log: EventLog) -> DataFrame:
 
 def structural_variety(log: EventLog, top: int = MAX_VARIANTS) -> DataFrame:
     """Sum of merge heights of the average-linkage tree of at most `top` variants."""
+    import numpy as np
+
     spark = log.df.sparkSession
     rows = variant_distances(log, top).collect()
     n = max((r["j"] for r in rows), default=1)
-    d = {(r["i"], r["j"]): float(r["distance"]) for r in rows}
-    size, alive, total = dict.fromkeys(range(1, n + 1), 1), list(range(1, n + 1)), 0.0
-    while len(alive) > 1:
-        (i, j), height = min(d.items(), key=lambda x: (x[1], x[0]))
-        total += height
-        alive.remove(j)
-        for k in alive:
-            if k != i:
-                a, b = (min(i, k), max(i, k)), (min(j, k), max(j, k))
-                d[a] = (size[i] * d[a] + size[j] * d.pop(b)) / (size[i] + size[j])
-        del d[i, j]
-        size[i] += size.pop(j)
-    return spark.createDataFrame([(round(total, 6), n)], "structural_variety double, variants_used int")
+    d = np.full((n, n), np.inf)
+    for r in rows:
+        d[r["i"] - 1, r["j"] - 1] = d[r["j"] - 1, r["i"] - 1] = r["distance"]
+    size, total = np.ones(n), 0.0
+    for _ in range(n - 1):
+        # The first of equal heights merges first.
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        total += d[i, j]
+        joined = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = joined, joined
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+    return spark.createDataFrame([(round(float(total), 6), n)], "structural_variety double, variants_used int")

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.operators.quantiles import quantiles
+
 OPERATORS = ("is_null", "is_not_null", "contains", "equals", "gte", "lte", "in")
 
 
@@ -100,9 +102,9 @@ def completed_only(df: DataFrame, column: str = "lifecycle") -> DataFrame:
 
 def without_outliers(df: DataFrame, column: str, m: float = 20.0) -> DataFrame:
     """Rows whose distance to the median is below m times the median distance (1 where that is 0)."""
-    middle = df.agg(F.median(column).alias("cw_mid"))
+    middle = quantiles(df, column, (0.5,)).select(F.col("q")[0].alias("cw_mid"))
     apart = df.crossJoin(F.broadcast(middle)).withColumn("cw_apart", F.abs(F.col(column) - F.col("cw_mid")))
-    spread = apart.agg(F.median("cw_apart").alias("cw_mad"))
+    spread = quantiles(apart, "cw_apart", (0.5,)).select(F.col("q")[0].alias("cw_mad"))
     spread = spread.select(F.when(F.col("cw_mad") == 0, 1.0).otherwise(F.col("cw_mad")).alias("cw_mad"))
     kept = apart.crossJoin(F.broadcast(spread)).where(F.col("cw_apart") / F.col("cw_mad") < m)
     return kept.drop("cw_mid", "cw_apart", "cw_mad")

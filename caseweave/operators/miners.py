@@ -1,22 +1,22 @@
 """Process models mined from aggregated tables, and distances between stochastic languages.
 
-The aggregates (edges, footprints, variants with counts) are Spark tables; what is
-mined on the driver is bounded by the number of activities or by a stated number
-of variants, never by the number of events.
+The aggregates (edges, footprints, variants with counts) are Spark tables. Inductive
+mining splits the table of all variants in Spark at every cut; the driver sees only the
+directly-follows counts of each part, which the number of activities bounds. Distances
+between languages take a stated number of variants, which is part of their definition.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog, ObjectLog
 from caseweave.operators import discovery, ocel
 
 MAX_ACTIVITIES = 100
-MAX_VARIANTS = 1000
 EMD_VARIANTS = 100
 
 
@@ -97,40 +97,111 @@ def _parts(nodes: set[str], linked) -> list[set[str]]:
     return out
 
 
-def mine_tree(traces: dict[tuple[str, ...], int], noise: float = 0.0) -> Tree:
-    """Process tree of traces with counts, by inductive cuts on their directly-follows graph.
+def _among(a: Column, names: set[str]) -> Column:
+    return a.isin(sorted(names))
+
+
+def _place(a: Column, groups: list[set[str]]) -> Column:
+    """The number of the group an activity is in."""
+    out = F.lit(None).cast("int")
+    for k, g in enumerate(groups):
+        out = F.when(_among(a, g), k).otherwise(out)
+    return out
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("trace").agg(F.sum("n_cases").alias("n_cases"))
+
+
+def _only(names: set[str]) -> Column:
+    return F.filter("trace", lambda a: _among(a, names))
+
+
+def _kept(log: DataFrame, names: set[str]) -> DataFrame:
+    return _summed(log.select(_only(names).alias("trace"), "n_cases"))
+
+
+def _in_order(log: DataFrame, groups: list[set[str]]) -> list[DataFrame]:
+    """The part of each trace in each group, as long as groups come in order."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,a:string>>").alias("out"))
+
+    def step(acc: Column, a: Column) -> Column:
+        k = _place(a, groups)
+        more = F.concat(acc["out"], F.array(F.struct(k.alias("k"), a.alias("a"))))
+        return F.struct(F.greatest(acc["at"], k).alias("at"), F.when(k >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    kept = log.select(F.aggregate("trace", start, step, lambda acc: acc["out"]).alias("steps"), "n_cases")
+    of = lambda k: F.transform(F.filter("steps", lambda s: s["k"] == k), lambda s: s["a"])
+    return [_summed(kept.select(of(k).alias("trace"), "n_cases")) for k in range(len(groups))]
+
+
+def _runs(log: DataFrame, redo: list[set[str]]) -> list[DataFrame]:
+    """The runs of each trace in the body (0) and in each redo part; a trace begins and ends in the body."""
+    start = F.array(F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("t")))
+
+    def step(acc: Column, a: Column) -> Column:
+        k = F.coalesce(_place(a, redo) + 1, F.lit(0))
+        last = F.element_at(acc, -1)
+        same = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(k.alias("k"), F.concat(last["t"], F.array(a)).alias("t"))))
+        return F.when(last["k"] == k, same).otherwise(F.concat(acc, F.array(F.struct(k.alias("k"), F.array(a).alias("t")))))
+
+    runs = log.select(F.explode(F.aggregate("trace", start, step)).alias("run"), "n_cases").select("run.k", F.col("run.t").alias("trace"), "n_cases")
+    return [_summed(runs.where(F.col("k") == k)) for k in range(len(redo) + 1)]
+
+
+def _follows(log: DataFrame) -> dict[tuple[str | None, str | None], int]:
+    """Cases by pair of neighbours, None standing for the start and the end; at most one row a pair of activities."""
+    none = F.array(F.lit(None).cast("string"))
+    padded = F.concat(none, F.col("trace"), none)
+    pairs = F.zip_with(F.slice(padded, F.lit(1), F.size(padded) - 1), F.slice(padded, F.lit(2), F.size(padded)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = log.select(F.explode(pairs).alias("p"), "n_cases").groupBy("p").agg(F.sum("n_cases").alias("n")).limit((MAX_ACTIVITIES + 2) ** 2).collect()
+    return {(r["p"]["a"], r["p"]["b"]): r["n"] for r in rows}
+
+
+def mine_tree(variants: DataFrame, noise: float = 0.0) -> Tree:
+    """Process tree of variants (trace, n_cases), by inductive cuts on their directly-follows graph.
 
     Nodes are (operator, child, ...), a name, or None for silence. With noise, edges
-    below that share of their source's strongest edge are ignored when cutting.
+    below that share of their source's strongest edge are ignored when cutting. Each
+    part of the log is kept while its own parts are mined.
     """
-    full = {t: n for t, n in traces.items() if t}
-    empty = sum(n for t, n in traces.items() if not t)
-    if not full:
+    log = variants.select("trace", "n_cases").persist()
+    try:
+        return _mined(log, noise)
+    finally:
+        log.unpersist()
+
+
+def _mined(log: DataFrame, noise: float) -> Tree:
+    counts = _follows(log)
+    empty = counts.pop((None, None), 0)
+    starts, ends = {b for a, b in counts if a is None}, {a for a, b in counts if b is None}
+    edges = {(a, b): n for (a, b), n in counts.items() if a is not None and b is not None}
+    names = starts | ends | {x for pair in edges for x in pair}
+    if len(names) > MAX_ACTIVITIES:
+        raise ValueError(f"more than {MAX_ACTIVITIES} activities")
+    if not names:
         return None
     if empty:
-        body = mine_tree(full, noise)
-        return body if noise and empty < noise * sum(traces.values()) else ("xor", body, None)
-    names = {a for t in full for a in t}
+        cases = empty + sum(n for (a, _), n in counts.items() if a is None)
+        body = mine_tree(log.where(F.size("trace") > 0), noise)
+        return body if noise and empty < noise * cases else ("xor", body, None)
     if len(names) == 1:
         (a,) = names
-        return a if all(len(t) == 1 for t in full) else ("loop", a, None)
-    edges: dict[tuple[str, str], int] = {}
-    for t, n in full.items():
-        for pair in zip(t, t[1:], strict=False):
-            edges[pair] = edges.get(pair, 0) + n
+        return ("loop", a, None) if edges else a
     if noise:
         top = {a: max(n for (x, _), n in edges.items() if x == a) for a, _ in edges}
         edges = {(a, b): n for (a, b), n in edges.items() if n >= noise * top[a]}
-    starts, ends = {t[0] for t in full}, {t[-1] for t in full}
 
     groups = _parts(names, lambda a, b: (a, b) in edges)
     if len(groups) > 1:
-        split: list[dict] = [{} for _ in groups]
-        for t, n in full.items():
-            k = max(range(len(groups)), key=lambda i: sum(a in groups[i] for a in t))
-            kept = tuple(a for a in t if a in groups[k])
-            split[k][kept] = split[k].get(kept, 0) + n
-        return ("xor", *(mine_tree(s, noise) for s in split if s))
+        # A trace goes to the part that holds most of it.
+        share = [F.size(_only(g)) for g in groups]
+        best = F.lit(0)
+        for k in range(len(groups) - 1, -1, -1):
+            best = F.when(share[k] == F.greatest(*share), k).otherwise(best)
+        dealt = log.withColumn("k", best)
+        return ("xor", *(mine_tree(_kept(dealt.where(F.col("k") == k), g), noise) for k, g in enumerate(groups)))
 
     reach = {a: {a} for a in names}
     for _ in names:
@@ -139,47 +210,18 @@ def mine_tree(traces: dict[tuple[str, ...], int], noise: float = 0.0) -> Tree:
     groups = _parts(names, lambda a, b: (b in reach[a]) == (a in reach[b]))
     if len(groups) > 1:
         groups.sort(key=lambda g: sum(any(b in reach[a] for a in g) for b in names), reverse=True)
-        split = [{} for _ in groups]
-        for t, n in full.items():
-            at = 0
-            pieces: list[list[str]] = [[] for _ in groups]
-            for a in t:
-                k = next(i for i, g in enumerate(groups) if a in g)
-                if k >= at:
-                    at = k
-                    pieces[k].append(a)
-            for k, p in enumerate(pieces):
-                split[k][tuple(p)] = split[k].get(tuple(p), 0) + n
-        return ("sequence", *(mine_tree(s, noise) for s in split))
+        return ("sequence", *(mine_tree(part, noise) for part in _in_order(log, groups)))
 
     groups = _parts(names, lambda a, b: not ((a, b) in edges and (b, a) in edges))
     if len(groups) > 1 and all(g & starts and g & ends for g in groups):
-        split = [{} for _ in groups]
-        for t, n in full.items():
-            for k, g in enumerate(groups):
-                p = tuple(a for a in t if a in g)
-                split[k][p] = split[k].get(p, 0) + n
-        return ("parallel", *(mine_tree(s, noise) for s in split))
+        return ("parallel", *(mine_tree(_kept(log, g), noise) for g in groups))
 
     body = starts | ends
     inner = {(a, b) for a, b in edges if not (a in ends and b in starts)}
     rest = _parts(names - body, lambda a, b: (a, b) in inner)
     redo = [g for g in rest if not any((a, b) in edges for a in starts - ends for b in g) and not any((a, b) in edges for a in g for b in ends - starts)]
-    for g in rest:
-        if g not in redo:
-            body |= g
     if redo:
-        split = [{} for _ in range(len(redo) + 1)]
-        for t, n in full.items():
-            run, where = [], 0
-            for a in t:
-                k = next((i + 1 for i, g in enumerate(redo) if a in g), 0)
-                if k != where:
-                    split[where][tuple(run)] = split[where].get(tuple(run), 0) + n
-                    run, where = [], k
-                run.append(a)
-            split[where][tuple(run)] = split[where].get(tuple(run), 0) + n
-        return ("loop", *(mine_tree(s, noise) for s in split))
+        return ("loop", *(mine_tree(part, noise) for part in _runs(log, redo)))
 
     return ("loop", None, *sorted(names))
 
@@ -229,7 +271,7 @@ def leaves(tree: Tree) -> set[str]:
     return {tree} if isinstance(tree, str) else {a for k in tree[1:] for a in leaves(k)}
 
 
-def variants_of(log: EventLog, most: int = MAX_VARIANTS) -> dict[tuple[str, ...], int]:
+def variants_of(log: EventLog, most: int) -> dict[tuple[str, ...], int]:
     """The most frequent variants with counts; a bounded number reaches the driver."""
     rows = log.variants().withColumn("v", F.array_join("trace", "→")).orderBy(F.desc("n_cases"), "v").limit(most).collect()
     return {tuple(r["trace"]): r["n_cases"] for r in rows}
@@ -246,7 +288,7 @@ def inductive(log: EventLog, noise: float = 0.0) -> DataFrame:
             rows.append((node[0], name, f"{below}:{label}"))
             walk(child, below)
 
-    tree = mine_tree(variants_of(log), noise)
+    tree = mine_tree(log.variants(), noise)
     if isinstance(tree, tuple):
         walk(tree, "0")
     elif tree is not None:
@@ -299,7 +341,7 @@ def net_of_tree(tree: Tree) -> list[tuple[str, str, str]]:
 
 def inductive_net(log: EventLog, noise: float = 0.0) -> DataFrame:
     """The inductive miner's process tree as a Petri net."""
-    return _arcs(log, net_of_tree(mine_tree(variants_of(log), noise)))
+    return _arcs(log, net_of_tree(mine_tree(log.variants(), noise)))
 
 
 def object_centric_net(log: ObjectLog, noise: float = 0.2) -> DataFrame:
@@ -383,7 +425,7 @@ def emd(a: EventLog, b: EventLog, top: int = EMD_VARIANTS) -> DataFrame:
     return a.df.sparkSession.createDataFrame([(round(value, 6),)], "emd double")
 
 
-def permutation_test(a: EventLog, b: EventLog, resamples: int = 200, top: int = 30, seed: int = 42) -> DataFrame:
+def permutation_test(a: EventLog, b: EventLog, resamples: int = 1000, top: int = 30, seed: int = 42) -> DataFrame:
     """(statistic, p_value): the EMD of two logs against that of random relabellings, one task for many relabellings."""
     spark = a.df.sparkSession
     x, y = variants_of(a, top), variants_of(b, top)
@@ -406,7 +448,7 @@ def permutation_test(a: EventLog, b: EventLog, resamples: int = 200, top: int =
                 out.append(language_distance(p, q))
             yield pd.DataFrame({"value": out})
 
-    values = spark.range(resamples).mapInPandas(run, "value double")
+    values = spark.range(resamples, numPartitions=max(1, resamples // 25)).mapInPandas(run, "value double")
     hits = F.sum((F.col("value") >= observed - 1e-12).cast("int"))
     return values.agg(F.lit(round(observed, 6)).alias("statistic"), ((hits + 1) / (F.count("*") + 1)).alias("p_value"))
 

@@ -42,14 +42,14 @@ def in_calendar(events: DataFrame, calendar: DataFrame, start: str = "timestamp"
 
 
 def working_seconds(events: DataFrame, calendar: DataFrame, key: str = "seq", start: str = "timestamp", end: str = "end_timestamp") -> DataFrame:
-    """(key, working_s): the part of [start, end) inside the calendar's weekly intervals, over any number of days."""
+    """(case_id, key, working_s) of each event, told apart by case and key: the part of [start, end) inside the calendar's weekly intervals, over any number of days."""
     days = F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("day")
-    rows = events.where(F.col(end) >= F.col(start)).select(F.col(key).alias("key"), F.col(start).alias("a"), F.col(end).alias("b"), days)
+    rows = events.where(F.col(end) >= F.col(start)).select("case_id", F.col(key).alias("key"), F.col(start).alias("a"), F.col(end).alias("b"), days)
     rows = rows.withColumn("weekday", F.dayofweek("day") - 1).join(F.broadcast(calendar), "weekday", "left")
     base = F.col("day").cast("timestamp_ntz")
     lo = F.greatest(seconds_between(base, F.col("a")), F.col("begin_s").cast("double"))
     hi = F.least(seconds_between(base, F.col("b")), F.col("end_s").cast("double"))
-    return rows.groupBy("key").agg(F.round(F.coalesce(F.sum(F.greatest(hi - lo, F.lit(0.0))), F.lit(0.0)), 6).alias("working_s"))
+    return rows.groupBy("case_id", "key").agg(F.round(F.coalesce(F.sum(F.greatest(hi - lo, F.lit(0.0))), F.lit(0.0)), 6).alias("working_s"))
 
 
 def hourly_calendar(log: EventLog, resource: str, support: float, least: int) -> DataFrame:
@@ -81,8 +81,8 @@ def calendars(log: EventLog, resource: str = "resource", support: float = 0.1, l
 def delays(log: EventLog, resource: str = "resource", end: str = "end_timestamp") -> DataFrame:
     """(case_id, seq, activity, enabled_at, available_since, delay_s): waiting beyond the case's and the resource's readiness."""
     ready = simulation.enabling_event(log, end).where(F.col("enabled_at").isNotNull())
-    free = simulation.resource_previous_end(log, resource, end).select("seq", "available_since")
-    rows = ready.join(free, "seq").join(log.events.select("seq", "timestamp"), "seq")
+    free = simulation.resource_previous_end(log, resource, end, ("case_id",)).select("case_id", "seq", "available_since")
+    rows = ready.join(free, ["case_id", "seq"]).join(log.events.select("case_id", "seq", "timestamp"), ["case_id", "seq"])
     since = F.greatest("enabled_at", "available_since")
     wait = F.greatest(seconds_between(since, F.col("timestamp")), F.lit(0.0))
     return rows.select("case_id", "seq", "activity", "enabled_at", "available_since", wait.alias("delay_s"))

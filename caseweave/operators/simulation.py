@@ -115,13 +115,13 @@ def enabling_event(log: EventLog, end: str = "end_timestamp") -> DataFrame:
     return met.groupBy("case_id", "seq", "activity").agg(F.max_by("p_activity", order).alias("enabled_by"), F.max("p_end").alias("enabled_at"))
 
 
-def resource_previous_end(log: EventLog, resource: str = "resource", end: str = "end_timestamp") -> DataFrame:
+def resource_previous_end(log: EventLog, resource: str = "resource", end: str = "end_timestamp", keep: tuple[str, ...] = ()) -> DataFrame:
     """(seq, resource, available_since): the latest end of the same resource's events that started earlier.
 
     A running maximum by start time; no join.
     """
     w = Window.partitionBy(resource).orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.events.select("seq", F.col(resource).alias("resource"), F.max(end).over(w).alias("available_since"))
+    return log.events.select(*keep, "seq", F.col(resource).alias("resource"), F.max(end).over(w).alias("available_since"))
 
 
 def resource_profiles(log: EventLog, resource: str = "resource") -> DataFrame:

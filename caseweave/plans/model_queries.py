@@ -53,7 +53,7 @@ QUERIES = {
     "activity_delays": lambda s, d: resources.activity_delays(by_session_timed(s, d)),
     "duration_fit": lambda s, d: resources.fit_distributions(by_session(s, d).edges(), "source", "seconds"),
     "inductive_net": lambda s, d: miners.inductive_net(by_session(s, d), 0.2),
-    "permutation_test": lambda s, d: miners.permutation_test(*by_parity(s, d).values(), resamples=20, top=10),
+    "permutation_test": lambda s, d: miners.permutation_test(*by_parity(s, d).values()),
     "variant_ids": lambda s, d: access.variant_ids(by_session(s, d)),
     "ocel_overview": lambda s, d: ocel.overview(object_log(s, d)),
     "ocel_types": lambda s, d: ocel.type_counts(object_log(s, d)),
@@ -92,7 +92,7 @@ QUERIES = {
     "epa_entropy": lambda s, d: complexity.epa_entropy(by_session(s, d)),
     "epa_entropy_forgetting": lambda s, d: complexity.epa_entropy_forgetting(by_session(s, d)),
     "lempel_ziv": lambda s, d: complexity.lempel_ziv(by_user(s, d)),
-    "structural_variety": lambda s, d: complexity.structural_variety(by_session(s, d), 40),
+    "structural_variety": lambda s, d: complexity.structural_variety(by_session(s, d)),
     "drift_windows": lambda s, d: drift.drift_windows(by_session(s, d), 20),
     "drift_similarity": lambda s, d: drift.drift_similarity(by_session(s, d), 20),
     "dominant_activity": lambda s, d: drift.dominant_activity(by_user(s, d), 30),
@@ -183,9 +183,9 @@ SELECT CAST(a.w AS INTEGER) AS i, CAST(b.w AS INTEGER) AS j, round(sqrt(CAST(sum
     "concurrency": f"""WITH {SE}, m AS (SELECT resource, timestamp AS t, 1 AS s FROM ev UNION ALL SELECT resource, end_timestamp, -1 FROM ev), r AS (SELECT resource, s, sum(s) OVER (PARTITION BY resource ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS n FROM m)
 SELECT resource, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (WHERE s = 1) AS events FROM r GROUP BY resource""",
     "in_calendar": f"""WITH {SE}, {_CAL} SELECT activity, CAST(timestamp AS DATE) = CAST(end_timestamp AS DATE) AND EXISTS (SELECT 1 FROM cal WHERE weekday = dayofweek(timestamp) AND begin_s <= hour(timestamp) * 3600 + minute(timestamp) * 60 + second(timestamp) AND hour(end_timestamp) * 3600 + minute(end_timestamp) * 60 + second(end_timestamp) <= end_s) AS inside, count(*) AS n FROM ev GROUP BY ALL""",
-    "working_seconds": f"""WITH {SE}, {_CAL}, d AS (SELECT seq, timestamp AS a, end_timestamp AS b, unnest(generate_series(date_trunc('day', timestamp), date_trunc('day', end_timestamp), INTERVAL 1 DAY)) AS day FROM ev),
-x AS (SELECT seq, greatest(least((epoch_us(b) - epoch_us(day)) / 1000000.0::DOUBLE, end_s::DOUBLE) - greatest((epoch_us(a) - epoch_us(day)) / 1000000.0::DOUBLE, begin_s::DOUBLE), 0.0) AS s FROM d LEFT JOIN cal ON weekday = dayofweek(day))
-SELECT seq AS key, round(coalesce(sum(s), 0.0), 6) AS working_s FROM x GROUP BY seq""",
+    "working_seconds": f"""WITH {SE}, {_CAL}, d AS (SELECT case_id, seq, timestamp AS a, end_timestamp AS b, unnest(generate_series(date_trunc('day', timestamp), date_trunc('day', end_timestamp), INTERVAL 1 DAY)) AS day FROM ev),
+x AS (SELECT case_id, seq, greatest(least((epoch_us(b) - epoch_us(day)) / 1000000.0::DOUBLE, end_s::DOUBLE) - greatest((epoch_us(a) - epoch_us(day)) / 1000000.0::DOUBLE, begin_s::DOUBLE), 0.0) AS s FROM d LEFT JOIN cal ON weekday = dayofweek(day))
+SELECT case_id, seq AS key, round(coalesce(sum(s), 0.0), 6) AS working_s FROM x GROUP BY case_id, seq""",
     "delays": f"WITH {SE}, {_ENABLED} SELECT * FROM de",
     "activity_delays": f"WITH {SE}, {_ENABLED} SELECT activity, count(*) AS n, round(avg(CASE WHEN delay_s > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS delayed, round(avg(delay_s), 6) AS mean_delay_s FROM de GROUP BY activity",
     "ocel_overview": f"WITH {OC} SELECT * FROM (SELECT count(*) AS events, count(DISTINCT activity) AS activities, min(timestamp) AS earliest, max(timestamp) AS latest FROM evs), (SELECT count(*) AS objects, count(DISTINCT type) AS types FROM obj), (SELECT count(*) AS relations FROM rel), (SELECT count(*) AS o2o FROM o2o)",

@@ -46,8 +46,9 @@ def sniff(spark: SparkSession, path: str) -> str:
     """detect_format, then a look at the first bytes: XES inside .xml, OCEL inside .json or .xml."""
     kind = detect_format(path)
     if kind in ("xml", "json"):
-        head = spark.read.format("binaryFile").load(path).select(F.substring(F.decode("content", "utf-8"), 1, 20_000).alias("head")).first()
-        text = head["head"] if head else ""
+        # Cut at a frequent character, so that only the first pieces are read, however long the file and its lines.
+        end = ">" if kind == "xml" else ","
+        text = end.join(r["value"] for r in spark.read.option("lineSep", end).text(path).limit(300).collect())
         if kind == "xml":
             return "xes" if "<log" in text and ("xes" in text or "<trace" in text) else "ocel-xml" if "<object-types" in text or "ocel" in text[:500] else kind
         return "ocel-json" if '"ocel:events"' in text or '"objectTypes"' in text else kind
@@ -78,13 +79,21 @@ def coerce(df: DataFrame, text_only: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").try_cast("double").alias(c) if c in numeric else F.col(f"`{c}`").alias(c) for c in df.columns))
 
 
-def to_log(df: DataFrame, overrides: Mapping[str, str] | None = None, checked: bool = True) -> EventLog:
-    """A table as an event log: roles resolved, times normalised, rows without a time dropped, order kept in seq."""
+#: Roles that stay text whatever their values.
+_TEXT_ROLES = ("case_id", "activity", "timestamp", "end_timestamp", "resource", "role", "lifecycle")
+
+
+def to_log(df: DataFrame, overrides: Mapping[str, str] | None = None, checked: bool = True, typed: bool = False) -> EventLog:
+    """A table as an event log: roles resolved, times normalised, rows without a time dropped, order kept in seq.
+
+    With typed, text columns other than roles of names and times become numbers where all their values are.
+    """
     if checked and df.isEmpty():
         raise EmptyLog("no events")
     names = roles.dedupe_case_insensitive(df.columns)
     df = df.toDF(*(names[c] for c in df.columns))
     df = roles.apply(df, roles.resolve(df, overrides))
+    df = coerce(df, _TEXT_ROLES) if typed else df
     df = df.withColumn("timestamp", as_time(F.col("timestamp")))
     if "end_timestamp" in df.columns:
         df = df.withColumn("end_timestamp", as_time(F.col("end_timestamp")))
@@ -146,14 +155,13 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
 
 
 def pick_event_element(spark: SparkSession, path: str) -> str:
-    """The most frequent element that has children or attributes, in the first 200,000 characters."""
-    import re
-    from collections import Counter
-
-    head = spark.read.format("binaryFile").load(path).select(F.substring(F.decode("content", "utf-8"), 1, 200_000).alias("head")).first()
-    names = Counter(re.findall(r"<([A-Za-z_][\w.-]*)(?:\s[^>]*[^/])?>\s*<", head["head"]))
-    names += Counter(re.findall(r"<([A-Za-z_][\w.-]*)\s[^>]*/>", head["head"]))
-    return names.most_common(1)[0][0]
+    """The most frequent element that has children or attributes, counted over the whole file; of equal ones the first by name."""
+    # Pieces end where a tag opens: one is a tag with what follows it, so an element with a child leaves only space after it.
+    pieces = spark.read.option("lineSep", "<").text(path).select("value")
+    plain = pieces.select(F.regexp_extract("value", r"^([A-Za-z_][\w.:-]*)>\s*$", 1).alias("name"))
+    given = pieces.select(F.regexp_extract("value", r"^([A-Za-z_][\w.:-]*)\s[^>]*>", 1).alias("name"))
+    names = plain.union(given).where("name <> ''").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").first()
+    return names["name"]
 
 
 def read_json(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
@@ -193,7 +201,7 @@ def read_log(spark: SparkSession, path: str, overrides: Mapping[str, str] | None
             df = spark.read.json(path)
         case _:
             raise ValueError(f"{kind} is not a case-centric format")
-    return to_log(df, overrides)
+    return to_log(df, overrides, typed=kind != "parquet")
 
 
 def read_ocel_json(spark: SparkSession, path: str) -> ObjectLog:

@@ -64,12 +64,51 @@ def write_xes(log: EventLog, path: str) -> None:
 
 
 def bpmn(tree_arcs: DataFrame) -> str:
-    """A BPMN document of a process tree given as arcs; one task per activity, one gateway per operator node."""
-    rows = sorted({(r["kind"], r["source"], r["target"]) for r in tree_arcs.collect()})
-    tasks = sorted({t.split(":", 1)[1] for _, _, t in rows if ":" in t})
-    gates = sorted({(s, k) for k, s, _ in rows})
-    lines = ['<definitions xmlns="http://www.omg.org/spec/BPMN/20100524/MODEL"><process id="p">']
-    lines += [f'<task id="t{i}" name="{a}"/>' for i, a in enumerate(tasks)]
-    lines += [f'<{"parallelGateway" if k == "parallel" else "exclusiveGateway"} id="g{s}" name="{k}"/>' for s, k in gates]
-    lines += [f'<sequenceFlow id="f{i}" sourceRef="g{s}" targetRef="t{tasks.index(t.split(":", 1)[1])}"/>' for i, (_, s, t) in enumerate(rows) if ":" in t]
-    return "\n".join([*lines, "</process></definitions>"])
+    """A BPMN document of a process tree given as arcs: tasks, and a pair of gateways for each operator but sequence."""
+    from xml.sax.saxutils import quoteattr
+
+    kids: dict[str, list[tuple[int, str, str]]] = {}
+    kind: dict[str, str] = {}
+    for r in tree_arcs.collect():
+        kind[r["source"]] = r["kind"]
+        name, _, label = r["target"].partition(":") if r["kind"] != "activity" else ("0.0", "", r["target"])
+        kids.setdefault(r["source"], []).append((int(name.rpartition(".")[2]), name, label))
+    nodes, flows = ['<startEvent id="start"/>', '<endEvent id="end"/>'], []
+
+    def flow(a: str, b: str) -> None:
+        flows.append(f'<sequenceFlow id="f{len(flows)}" sourceRef={quoteattr(a)} targetRef={quoteattr(b)}/>')
+
+    def gateway(name: str, parallel: bool) -> str:
+        nodes.append(f'<{"parallelGateway" if parallel else "exclusiveGateway"} id={quoteattr(name)}/>')
+        return name
+
+    def build(name: str, label: str, before: str) -> str:
+        """Adds a node of the tree after the element `before`; the element it ends in."""
+        parts = sorted(kids.get(name, []))
+        operator = kind.get(name)
+        if not parts and label == "τ":
+            return before
+        if not parts or operator == "activity":
+            task = f"t{name}"
+            nodes.append(f"<task id={quoteattr(task)} name={quoteattr(parts[0][2] if parts else label)}/>")
+            flow(before, task)
+            return task
+        if operator == "sequence":
+            for _, child, text in parts:
+                before = build(child, text, before)
+            return before
+        split, join = gateway(f"s{name}", operator == "parallel"), gateway(f"j{name}", operator == "parallel")
+        flow(before, split)
+        if operator == "loop":
+            # The body runs from split to join, each redo part back from join to split.
+            flow(build(parts[0][1], parts[0][2], split), join)
+            for _, child, text in parts[1:]:
+                flow(build(child, text, join), split)
+        else:
+            for _, child, text in parts:
+                flow(build(child, text, split), join)
+        return join
+
+    if kids:
+        flow(build("0", "", "start"), "end")
+    return "\n".join(['<definitions xmlns="http://www.omg.org/spec/BPMN/20100524/MODEL"><process id="p">', *nodes, *flows, "</process></definitions>"])

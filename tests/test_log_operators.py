@@ -94,7 +94,7 @@ def test_drift(spark):
 def test_miners_accept_what_they_saw(spark):
     for spec in ({"a,b,c": 3, "a,c,b": 2}, {"a,b,d": 1, "a,c,d": 1}, {"a,b,a,b,a": 2, "a": 1}, {"a,b,c,d": 2, "a,c,b,d": 2, "a,e,d": 1}):
         traces = {tuple(k.split(",")): n for k, n in spec.items()}
-        tree = miners.mine_tree(traces)
+        tree = miners.mine_tree(spark.createDataFrame([(list(t), n) for t, n in traces.items()], "trace array<string>, n_cases long"))
         assert all(miners.accepts(tree, t) for t in traces), (spec, tree)
     arcs = rows(miners.alpha(of_variants(spark, {"a,b,c": 1, "a,c,b": 1})))
     assert ("place", "source", "a") in arcs and ("transition", "a", "p(a|b)") in arcs and ("transition", "a", "p(a|c)") in arcs

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
+import xml.etree.ElementTree as ET
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
-from caseweave.operators import miners, resources, simulation
+from caseweave.operators import miners, quantiles, resources, simulation
+from caseweave.sources import writers
 from tests.helpers import of_variants, rows, three_cases
 
 
@@ -21,13 +24,65 @@ def test_intervals(spark):
     log = timed(spark, [("1", "a", "r", 8, 10), ("1", "b", "r", 9, 11), ("1", "c", "r", 11, 12), ("2", "a", "q", 8, 9)])
     assert rows(resources.concurrency(log)) == {("r", 2, 3), ("q", 1, 1)}
     calendar = spark.createDataFrame([(1, 9 * 3600, 12 * 3600)], "weekday int, begin_s int, end_s int")
-    assert rows(resources.working_seconds(log.events, calendar)) == {(0, 3600.0), (1, 7200.0), (2, 3600.0), (3, 0.0)}
+    assert rows(resources.working_seconds(log.events, calendar), "key", "working_s") == {(0, 3600.0), (1, 7200.0), (2, 3600.0), (3, 0.0)}
     assert rows(resources.in_calendar(log.events, calendar), "seq", "inside") == {(0, False), (1, True), (2, True), (3, False)}
     enabled = {r["seq"]: r["enabled_by"] for r in simulation.enabling_event(log).collect()}
     assert enabled == {0: None, 1: None, 2: "b", 3: None}
     assert rows(resources.delays(log), "seq", "delay_s") == {(2, 0.0)}
 
 
+def test_seq_that_restarts_in_each_case(spark):
+    log = timed(spark, [("1", "a", "r", 8, 9), ("1", "b", "r", 10, 11), ("2", "a", "q", 8, 9), ("2", "b", "q", 12, 13), ("3", "a", "p", 8, 9), ("3", "b", "p", 9, 10)])
+    again = EventLog(log.df.withColumn("seq", F.col("seq") % 2))
+    assert rows(resources.delays(again), "case_id", "seq", "delay_s") == {("1", 1, 3600.0), ("2", 1, 10800.0), ("3", 1, 0.0)} and resources.delays(again).count() == 3
+    calendar = spark.createDataFrame([(1, 9 * 3600, 12 * 3600)], "weekday int, begin_s int, end_s int")
+    assert resources.working_seconds(again.events, calendar).count() == 6
+
+
+def test_bpmn(spark):
+    def paths(spec):
+        """Names of tasks on every way from the start to the end that passes no element twice."""
+        root = ET.fromstring(writers.bpmn(miners.inductive(of_variants(spark, spec))))
+        of = lambda tag: [e for e in root.iter() if e.tag.endswith(tag)]
+        names, after = {e.get("id"): e.get("name") for e in of("task")}, {}
+        for e in of("sequenceFlow"):
+            after.setdefault(e.get("sourceRef"), []).append(e.get("targetRef"))
+        ids = {e.get("id") for e in root.iter()}
+        assert all(b in ids for to in after.values() for b in to)
+        out, todo = set(), [("start", ())]
+        while todo:
+            x, seen = todo.pop()
+            if x == "end":
+                out.add(tuple(names[y] for y in seen if y in names))
+            todo += [(y, (*seen, x)) for y in after.get(x, []) if y not in seen]
+        return out
+
+    assert paths({"a,b,c": 1}) == {("a", "b", "c")}
+    assert paths({"a,b & <c>,d": 1, "a,e,d": 1}) == {("a", "b & <c>", "d"), ("a", "e", "d")}
+    assert paths({"a,b,c,d": 1, "a,c,b,d": 1}) == {("a", "b", "d"), ("a", "c", "d")}
+    assert paths({"a": 3}) == {("a",)}
+
+
+def test_trees_of_all_variants(spark):
+    """More variants than ever reached the driver: the rarest ones are mined too."""
+    seen = {",".join(["a", *(str(x) for x in range(12) if k >> x & 1), "z"]): 1 for k in range(1500)}
+    tree = miners.mine_tree(of_variants(spark, seen).variants())
+    assert miners.leaves(tree) == {"a", "z", *(str(x) for x in range(11))}
+    assert all(miners.accepts(tree, tuple(v.split(","))) for v in list(seen)[::25])
+
+
+def test_quantiles_by_bins(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("xyz"), rng.choice([float(rng.randrange(40)), rng.random() * 1e6])) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r["k"]: r["q"] for r in quantiles.quantiles(df, "v", probs, ["k"]).collect()}
+    for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect():
+        assert got.get(r["k"]) == (r["q"] and pytest.approx(r["q"]))
+    assert quantiles.quantiles(df, "v", (0.5,)).first()["q"] == pytest.approx([df.agg(F.median("v")).first()[0]])
+    assert quantiles.quantiles(df.limit(0), "v", (0.5,)).count() == 0
+
+
 def test_calendars_fall_back(spark):
     log = three_cases(spark)
     assert rows(resources.calendars(log, least=100), "resource", "origin") == {(r, "always") for r in ("alice", "bob", "carol")}
