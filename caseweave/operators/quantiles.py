@@ -13,6 +13,7 @@ BINS = 256
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), nearest: bool = False) -> DataFrame:
     """(keys, q array<double>): linearly interpolated quantiles of value by key; nulls are left out.
+    Without keys an empty table gives one row of nulls.
 
     With nearest, the value at place int(p n), from 0, of the n values in order instead.
 

@@ -80,7 +80,8 @@ def test_quantiles_by_bins(spark):
     for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect():
         assert got.get(r["k"]) == (r["q"] and pytest.approx(r["q"]))
     assert quantiles.quantiles(df, "v", (0.5,)).first()["q"] == pytest.approx([df.agg(F.median("v")).first()[0]])
-    assert quantiles.quantiles(df.limit(0), "v", (0.5,)).count() == 0
+    assert quantiles.quantiles(df.limit(0), "v", (0.5,)).first()["q"] == [None]
+    assert quantiles.quantiles(df.limit(0), "v", (0.5,), ["k"]).count() == 0
 
 
 def test_calendars_fall_back(spark):
