@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
 from caseweave.operators import discovery
+from caseweave.operators.quantiles import quantiles
 
 
 def _tagged(logs: dict[str, EventLog], of) -> DataFrame:
@@ -135,7 +136,7 @@ def arrivals(logs: dict[str, EventLog], span_limit_days: int = 90) -> DataFrame:
 def cycle_time_bins(logs: dict[str, EventLog], bins: int = 20, cap: float = 0.97) -> DataFrame:
     """Case durations in equal bins up to the pooled quantile, longer ones in an overflow bin."""
     rows = _tagged(logs, lambda log: log.traces().select("duration_s"))
-    top = rows.agg(F.percentile("duration_s", F.lit(cap)).alias("top"))
+    top = quantiles(rows, "duration_s", (cap,)).select(F.col("q")[0].alias("top"))
     at = F.when(F.col("top") <= 0, 0).otherwise(F.least(F.floor(F.col("duration_s") / (F.col("top") / bins)), F.lit(bins)))
     return rows.crossJoin(F.broadcast(top)).groupBy("log_id", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 

@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
+from caseweave.operators.quantiles import with_quantiles
 
 
 def dfg(log: EventLog) -> DataFrame:
     """Edges with frequency and mean, median, smallest and largest seconds."""
-    return log.edges().groupBy("source", "target").agg(
-        F.count("*").alias("frequency"),
-        F.round(F.avg("seconds"), 6).alias("mean_s"),
-        F.round(F.median("seconds"), 6).alias("median_s"),
-        F.min("seconds").alias("min_s"),
-        F.max("seconds").alias("max_s"),
+    edges = log.edges()
+    rows = edges.groupBy("source", "target").agg(
+        F.count("*").alias("frequency"), F.round(F.avg("seconds"), 6).alias("mean_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s")
     )
+    rows = with_quantiles(rows, edges, "seconds", (0.5,), ("source", "target"))
+    return rows.select("source", "target", "frequency", "mean_s", F.round(F.col("q")[0], 6).alias("median_s"), "min_s", "max_s")
 
 
 def edge_counts(log: EventLog) -> DataFrame:
     return log.edges().groupBy("source", "target").agg(F.count("*").alias("frequency"))
 
 
+def edge_total(log: EventLog) -> DataFrame:
+    """(total, expected): the sum of all edge frequencies, and events less cases, which it must equal."""
+    total = edge_counts(log).agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("total"))
+    return total.crossJoin(F.broadcast(log.events.agg((F.count("*") - F.count_distinct("case_id")).alias("expected"))))
+
+
 def endpoints(log: EventLog) -> DataFrame:
     """(activity, starts, ends): in how many cases it comes first or last."""
     per = log.events.groupBy("case_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between
 from caseweave.log import ObjectLog
+from caseweave.operators.quantiles import with_quantiles
 
 
 def overview(log: ObjectLog) -> DataFrame:
@@ -44,12 +45,12 @@ def _lives(log: ObjectLog) -> DataFrame:
 
 def lifecycle(log: ObjectLog) -> DataFrame:
     """Median and mean lifetime, mean events of each object type."""
-    return _lives(log).groupBy("type").agg(
-        F.count("*").alias("objects"),
-        F.round(F.median("lifetime_s"), 6).alias("median_lifetime_s"),
-        F.round(F.avg("lifetime_s"), 6).alias("avg_lifetime_s"),
-        F.round(F.avg("n_events"), 6).alias("avg_events"),
+    lives = _lives(log)
+    rows = lives.groupBy("type").agg(
+        F.count("*").alias("objects"), F.round(F.avg("lifetime_s"), 6).alias("avg_lifetime_s"), F.round(F.avg("n_events"), 6).alias("avg_events")
     )
+    rows = with_quantiles(rows, lives, "lifetime_s", (0.5,), ("type",))
+    return rows.select("type", "objects", F.round(F.col("q")[0], 6).alias("median_lifetime_s"), "avg_lifetime_s", "avg_events")
 
 
 def longest_lived(log: ObjectLog, top: int = 50) -> DataFrame:
@@ -86,13 +87,14 @@ def ocdfg_edges(log: ObjectLog) -> DataFrame:
         F.lead("activity").over(w).alias("target"), F.lead("eid").over(w).alias("next_eid"),
         seconds_between(F.col("timestamp"), F.lead("timestamp").over(w)).alias("seconds"),
     ).where(F.col("next_eid").isNotNull())
-    return e.groupBy("type", "source", "target").agg(
+    rows = e.groupBy("type", "source", "target").agg(
         F.count_distinct("oid").alias("unique_objects"),
         F.count_distinct("eid", "next_eid").alias("event_couples"),
         F.count("*").alias("total_objects"),
         F.round(F.avg("seconds"), 6).alias("mean_s"),
-        F.round(F.median("seconds"), 6).alias("median_s"),
     )
+    rows = with_quantiles(rows, e, "seconds", (0.5,), ("type", "source", "target"))
+    return rows.withColumn("median_s", F.round(F.col("q")[0], 6)).drop("q")
 
 
 def ocdfg_endpoints(log: ObjectLog) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,18 @@ from pyspark.sql import functions as F
 BINS = 256
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, joined on keys; null keys meet."""
+    right = right.withColumnsRenamed({k: f"cw_key_{k}" for k in keys})
+    met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"cw_key_{k}")) for k in keys))
+    return left.join(right, met, how).drop(*(f"cw_key_{k}" for k in keys))
+
+
+def with_quantiles(rows: DataFrame, df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """rows, one by key, with the column q of `quantiles`; null where a key has no value."""
+    return _joined(rows, quantiles(df, value, probs, keys), keys, "left")
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), nearest: bool = False) -> DataFrame:
     """(keys, q array<double>): linearly interpolated quantiles of value by key; nulls are left out.
     Without keys an empty table gives one row of nulls.
@@ -27,7 +41,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     counts = counts.groupBy(*keys, "cw_v").agg(F.count("*").alias("cw_n"))
     grid = F.array(*(F.lit(k / BINS) for k in range(1, BINS)))
     bounds = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("cw_v", grid, F.lit(2000))).alias("cw_b"), F.sum("cw_n").alias("cw_total"))
-    binned = counts.join(bounds, keys) if keys else counts.crossJoin(F.broadcast(bounds))
+    binned = _joined(counts, bounds, keys) if keys else counts.crossJoin(F.broadcast(bounds))
     binned = binned.withColumn("cw_bin", F.size(F.filter("cw_b", lambda b: b < F.col("cw_v")))).drop("cw_b")
     bins = binned.groupBy(*keys, "cw_bin").agg(F.sum("cw_n").alias("cw_m"), F.first("cw_total").alias("cw_total"))
     before = F.coalesce(F.sum("cw_m").over(Window.partitionBy(*keys).orderBy("cw_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,7 +50,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     ranks = F.array(*(F.struct(F.lit(2 * k + side).alias("i"), f(x).cast("long").alias("rank")) for k, x in enumerate(at) for side, f in enumerate((F.floor, F.ceil))))
     sought = bins.withColumn("cw_before", before).withColumn("cw_ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("cw_before")) & (r["rank"] < F.col("cw_before") + F.col("cw_m"))))
     sought = sought.where(F.size("cw_ranks") > 0).drop("cw_m", "cw_total")
-    inside = binned.join(sought, [*keys, "cw_bin"])
+    inside = _joined(binned, sought, [*keys, "cw_bin"])
     upto = F.col("cw_before") + F.sum("cw_n").over(Window.partitionBy(*keys, "cw_bin").orderBy("cw_v").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("cw_upto", upto)
     hit = F.filter("cw_ranks", lambda r: (r["rank"] < F.col("cw_upto")) & (r["rank"] >= F.col("cw_upto") - F.col("cw_n")))

@@ -106,13 +106,22 @@ def overlap_pairs(log: EventLog, ratio: float = 0.9, end: str = "end_timestamp")
 
 
 def enabling_event(log: EventLog, end: str = "end_timestamp") -> DataFrame:
-    """(case_id, seq, activity, enabled_by, enabled_at): the latest event of the case that ended by an event's start."""
+    """(case_id, seq, activity, enabled_by, enabled_at): the latest event of the case that ended by an event's start.
+
+    Ends and starts of a case are put in one order, ends first, and each start looks at the
+    end before it; an event without duration, which meets its own end, at the one before that.
+    """
     e = log.events.select("case_id", "seq", "activity", "timestamp", F.col(end).alias("end"))
-    p = e.select(F.col("case_id").alias("p_case"), F.col("seq").alias("p_seq"), F.col("activity").alias("p_activity"), F.col("end").alias("p_end"))
-    earlier = (F.col("case_id") == F.col("p_case")) & (F.col("p_end") <= F.col("timestamp")) & (F.col("p_seq") != F.col("seq"))
-    met = e.join(p, earlier, "left")
-    order = F.struct("p_end", "p_seq")
-    return met.groupBy("case_id", "seq", "activity").agg(F.max_by("p_activity", order).alias("enabled_by"), F.max("p_end").alias("enabled_at"))
+    mark = F.struct("end", "seq", "activity")
+    by_end = Window.partitionBy("case_id").orderBy("end", "seq")
+    ends = e.where(F.col("end").isNotNull()).select("case_id", F.col("end").alias("at"), F.lit(0).alias("kind"), "seq", "activity", mark.alias("last"), F.lag(mark).over(by_end).alias("before"))
+    starts = e.select("case_id", F.col("timestamp").alias("at"), F.lit(1).alias("kind"), "seq", "activity", F.lit(None).cast(ends.schema["last"].dataType).alias("last"), F.lit(None).cast(ends.schema["last"].dataType).alias("before"))
+    sweep = Window.partitionBy("case_id").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.when(F.col("kind") == 0, F.struct("last", "before"))
+    rows = ends.union(starts).withColumn("ended", F.last(ended, ignorenulls=True).over(sweep)).where(F.col("kind") == 1)
+    enabled = F.when(F.col("ended.last.seq") == F.col("seq"), F.col("ended.before")).otherwise(F.col("ended.last"))
+    rows = rows.withColumn("enabled", enabled)
+    return rows.select("case_id", "seq", "activity", F.col("enabled.activity").alias("enabled_by"), F.col("enabled.end").alias("enabled_at"))
 
 
 def resource_previous_end(log: EventLog, resource: str = "resource", end: str = "end_timestamp", keep: tuple[str, ...] = ()) -> DataFrame:

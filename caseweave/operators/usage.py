@@ -77,3 +77,29 @@ def to_event_log(events: DataFrame, case: str = "session") -> DataFrame:
     rows = events.select(which.cast("string").alias("case_id"), F.col("event_type").alias("activity"), F.col("occurred_at").alias("timestamp"))
     w = Window.partitionBy("case_id").orderBy("timestamp", "activity")
     return rows.where("case_id is not null").withColumn("seq", F.row_number().over(w))
+
+
+def matching(events: DataFrame, user_id=None, prefix: str | None = None, start=None, end=None) -> DataFrame:
+    """Events of a user, of types that begin with a prefix in any case, and from start up to, not including, end."""
+    rows = events if user_id is None else events.where(F.col("user_id") == user_id)
+    if prefix is not None:
+        rows = rows.where(F.startswith(F.lower("event_type"), F.lit(prefix.lower())))
+    if start is not None:
+        rows = rows.where(F.col("occurred_at") >= F.lit(start))
+    return rows if end is None else rows.where(F.col("occurred_at") < F.lit(end))
+
+
+def preview(events: DataFrame) -> DataFrame:
+    """One row: what an export would hold."""
+    counts = (F.count_distinct(c).alias(n) for c, n in (("user_id", "users"), ("session_id", "sessions"), ("event_type", "types")))
+    return events.agg(F.count("*").alias("events"), *counts, F.min("occurred_at").alias("earliest"), F.max("occurred_at").alias("latest"))
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """Events of each type with the first and the last time."""
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
+
+
+def statuses(jobs: DataFrame, active: tuple[str, ...]) -> DataFrame:
+    """(status, n, active): jobs by status, and whether it is one of the active ones."""
+    return jobs.groupBy("status").agg(F.count("*").alias("n")).withColumn("active", F.col("status").isin(*active))
