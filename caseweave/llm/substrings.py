@@ -60,26 +60,32 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+class _WordHashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Hasher:
     """Hashes of word runs by differences of prefix sums; keeps word hashes and powers between texts."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words = _WordHashes()
+        self.latest: tuple[list[bytes], np.ndarray] = ([], np.zeros(0, np.uint64))
         self.grow(_STEP)
 
     def grow(self, n: int) -> None:
         self.powers = [(_powers(p, n), _powers(pow(p, -1, 2**64), n)) for p in (_P, _Q)]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        ids = []
-        for w in words:
-            h = self.words.get(w)
-            if h is None:
-                if len(self.words) > 500_000:
-                    self.words.clear()
-                h = self.words[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
-        return np.array(ids, np.uint64)
+        """Hashes of a text's words; asked again for the same list, the same array."""
+        if self.latest[0] is not words:
+            if len(self.words) > 500_000:
+                self.words.clear()
+            self.latest = words, np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        return self.latest[1]
 
     def prefixes(self, words: list[bytes]) -> list[np.ndarray]:
         if len(words) >= len(self.powers[0][0]):
@@ -96,11 +102,14 @@ class Hasher:
 
 
 def _content_cuts(ids: np.ndarray, w: int = UNIT_WORDS) -> np.ndarray:
-    """Places of the last smallest of each w consecutive hashes; at most w apart."""
-    if len(ids) < w:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(ids, w)
-    return np.unique(np.arange(len(windows)) + w - 1 - windows[:, ::-1].argmin(axis=1))
+    """Place of the last smallest of each w consecutive hashes, by window; neighbours are at most w apart."""
+    n = max(len(ids) - w + 1, 0)
+    at, least = np.full(n, w - 1), ids[w - 1 :].copy()
+    for k in range(w - 2, -1, -1):
+        less = ids[k : k + n] < least
+        np.copyto(least, ids[k : k + n], where=less)
+        at[less] = k
+    return at + np.arange(n)
 
 
 def units(data: bytes, hasher: Hasher | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -116,14 +125,18 @@ def units(data: bytes, hasher: Hasher | None = None) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1])))
     sentence = np.cumsum(_ENDS[np.frombuffer(data, np.uint8)])[starts]
     first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
-    long = [(lo, hi) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(words)], strict=True) if hi - lo > UNIT_WORDS]
     at = first
-    if long:
+    # Windows of pairs that lie inside one sentence.
+    inside = sentence[UNIT_WORDS:] == sentence[:-UNIT_WORDS]
+    if inside.any():
         ids = (hasher or Hasher()).ids(words)
         # Two words make fewer ties than one; the pair that begins with a sentence's last word is none of its own.
         pairs = (ids[:-1] * np.uint64(_P)) ^ (ids[1:] * np.uint64(_Q))
         pairs ^= pairs >> np.uint64(32)
-        at = np.unique(np.concatenate([first, *(lo + _content_cuts(pairs[lo : hi - 1]) for lo, hi in long)]))
+        starts_unit = np.zeros(len(words), bool)
+        starts_unit[first] = True
+        starts_unit[_content_cuts(pairs)[inside]] = True
+        at = np.flatnonzero(starts_unit)
     return starts[at], at, words
 
 
