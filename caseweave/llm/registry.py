@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseweave.llm import chat, decontaminate, langid, licenses, minhash, mixing, neardup_vectors, pii, substrings, toxicity
+from caseweave.llm import centroids, chat, decontaminate, langid, lexical, licenses, lines, minhash, mixing, neardup_vectors, pii, substrings, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": neardup_vectors.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
     "op10_language_id": langid.query,
+    "op11_hamerly_clusters": centroids.query,
+    "op12_wand_search": lexical.query,
+    "op13_line_dedup": lines.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op11_hamerly_clusters": centroids.ORACLE,
+    "op12_wand_search": lexical.ORACLE,
+    "op13_line_dedup": lines.ORACLE,
 }
