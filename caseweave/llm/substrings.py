@@ -11,16 +11,17 @@ words, one that starts and one that ends at every unit, so a repeated passage th
 a span is covered from its first unit to its last. Spans are hashed to 95 bits over their
 normalised words and joined over all documents. The first occurrence of a span is
 the one of smallest doc_id, then position; the units under any other occurrence are
-removed from the text, within a document as well.
+removed from the text, within a document as well. A document is a doc_id with a text: rows of one
+doc_id with different texts are documents each, told apart and ordered by a 64-bit digest of the text.
 
 Scale. Span rows hold numbers only. One aggregation, combined before its shuffle, finds the
 hashes that occur twice or more with their first occurrence; they are stored, and the spans
 join them in a plain join of two stored tables, which Spark splits where one hash is
 very common. A passage of any frequency costs rows in proportion to its occurrences.
-Texts are shuffled once, by doc_id.
+Texts are shuffled once, by doc_id and digest.
 
 Defined results: a null or empty text has no units and stays; rows with a null
-doc_id are left alone; repeated rows of a doc_id count as one document, are cut
+doc_id are left alone; repeated rows of a doc_id with the same text count as one document, are cut
 alike and keep their first occurrence of each span; an empty table gives an empty
 result; all columns, whatever their names, are kept by `clean`.
 """
@@ -154,36 +155,37 @@ def spans(first_word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, c, doc_id, lo, hi): every span of every document by hash, with its first and last unit."""
+    """(h, c, doc_id, digest, lo, hi): every span of every document by hash, with its first and last unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for doc_id, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 _, first, words = units((text or "").encode("utf-8", "surrogatepass"), hasher)
                 if len(first) < SPAN_UNITS or len(words) < SPAN_WORDS:
                     continue
                 lo, hi = spans(first, len(words))
                 edge = np.append(first, len(words))
                 h, c = hasher.runs(hasher.prefixes(words), edge[lo], edge[hi + 1])
-                for held, x in zip(out, (h, c, np.full(len(lo), doc_id), lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+                whole = (np.full(len(lo), doc_id), np.full(len(lo), digest))
+                for held, x in zip(out, (h, c, *whole, lo.astype(np.int32), hi.astype(np.int32)), strict=True):
                     held.append(x)
             if out[0]:
                 columns = [pa.array(np.concatenate(x)) for x in out]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "digest", "lo", "hi"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "h long, c int, doc_id long, lo int, hi int")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), "text")
+    return rows.mapInArrow(run, "h long, c int, doc_id long, digest long, lo int, hi int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, cuts array<struct<lo, hi>>): unit ranges under a span that occurs earlier."""
-    every = materialize(occurrences(docs), "spans-all")
-    first = every.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last"))
+    """(doc_id, digest, cuts array<struct<lo, hi>>): unit ranges under a span that occurs earlier."""
+    every, place = materialize(occurrences(docs), "spans-all"), F.struct("doc_id", "digest", "lo")
+    first = every.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     twice = materialize(first.where("first <> last").select("h", "c", "first"), "spans-repeated")
-    later = every.join(twice, ["h", "c"]).where(F.struct("doc_id", "lo") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
+    later = every.join(twice, ["h", "c"]).where(place > F.col("first"))
+    return later.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
 
 
 def _covered(cuts: list[dict], n: int) -> np.ndarray:
@@ -206,9 +208,9 @@ def cut(docs: DataFrame) -> DataFrame:
     """docs with cw_text, the text without repeats, cw_removed, words removed, and cw_units, units removed."""
     names = docs.columns
     marks = repeats(docs.select("doc_id", "text"))
-    marks = marks.select(F.col("doc_id").alias(free_name("cw_id", docs)), F.col("cuts").alias(free_name("cw_cuts", docs)))
-    key, cuts_name = marks.columns
-    rows = docs.join(marks, F.col("doc_id") == F.col(key), "left").drop(key)
+    marks = marks.select(*(F.col(c).alias(free_name(f"cw_{c}", docs)) for c in ("doc_id", "digest", "cuts")))
+    key, digest, cuts_name = marks.columns
+    rows = docs.join(marks, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left").drop(key, digest)
     added = [free_name(c, docs) for c in ADDED]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *map(T.StructField, added, (T.StringType(), T.LongType(), T.LongType()))])
 
