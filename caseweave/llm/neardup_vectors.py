@@ -21,15 +21,16 @@
    that turn out to be linked are joined, until a search finds no link that leaves one.
    A link missing from the lists of both of its ends has two saturated ends, so the
    others need not take part.
-5. Audit: a fixed number of query vectors, those with links first, is compared with
-   all rows in one scan; another audit takes saturated ones. If fewer than `recall` of
+5. Audit: one vector in `AUDIT_SHARE`, drawn by hash over all of them, isolated ones included (at
+   least `AUDIT_LEAST`, and at most `AUDIT_MOST`, which estimate a share within half a percent), is
+   compared with all rows in batches of bounded size; another audit takes saturated ones. If fewer than `recall` of
    their true links lie inside one component, the search is repeated with wider lists
    and more rounds; if that fails, an error is raised.
 6. Inside each component links are counted exactly by products of blocks, so a
    saturated list loses none, and no pair is ever emitted for it.
 
 Everything is keyed by vertex, by chunk or by pair of blocks, each of bounded size;
-the driver sees counts, and the audit's fixed set of queries.
+the driver sees counts, and one batch of the audit's queries at a time.
 
 Defined results: a null vector, one with null or non-finite components, the zero
 vector and one of another length than its partner link with nothing and stand alone
@@ -55,7 +56,7 @@ K, K_MAX = 8, 32
 TABLES = 6
 CHUNK = 256
 ROUNDS = 6
-AUDIT = 256
+AUDIT_SHARE, AUDIT_LEAST, AUDIT_MOST, AUDIT_BATCH = 100, 256, 16_384, 2_048
 RECALL = 0.98
 BLOCK = 4096
 SETTLED = 0.002
@@ -248,14 +249,28 @@ def descend(
     return graph
 
 
-def audit(points: DataFrame, parts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> tuple[int, int]:
-    """(true links, links inside one component) of a fixed number of query vectors, those in components first, against all points."""
-    placed = points.select("id", "unit").join(parts, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("component"), F.col("component").isNull().alias("single"))
-    lot = placed.orderBy("single", F.xxhash64("id"), "id").limit(queries).collect()
+def audit(points: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(true links, links inside one component) of query vectors drawn by hash from all points, against all of them."""
+    placed = points.select("id", "unit").join(parts, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed, "nnd-audit")
+    asked = min(max(placed.count() // AUDIT_SHARE, AUDIT_LEAST), AUDIT_MOST)
+    drawn = placed.select("id").orderBy(F.xxhash64("id"), "id").limit(asked)
+    # Numbered, so that a batch is a range and the driver holds one at a time.
+    drawn = materialize(drawn.select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-asked // AUDIT_BATCH))).alias("batch")), "nnd-asked")
+    true = found = 0
+    for k in range(-(-asked // AUDIT_BATCH)):
+        lot = placed.join(F.broadcast(drawn.where(F.col("batch") == k).select("id")), "id").collect()
+        one, inside = _audited(placed, lot, threshold)
+        true, found = true + one, found + inside
+    return true, found
+
+
+def _audited(placed: DataFrame, lot: list, threshold: float) -> tuple[int, int]:
+    """(true links, links inside one component) of the rows of one batch."""
     by_size: dict[int, list] = {}
     for row in lot:
         by_size.setdefault(len(row["unit"]), []).append(row)
-    shared = points.sparkSession.sparkContext.broadcast(
+    shared = placed.sparkSession.sparkContext.broadcast(
         {size: (np.array([r["id"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["unit"] for r in rows])) for size, rows in by_size.items()}
     )
 
@@ -274,6 +289,7 @@ def audit(points: DataFrame, parts: DataFrame, threshold: float = THRESHOLD, que
             yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
 
     row = placed.select("id", "component", "unit").mapInArrow(run, "true long, found long").agg(F.sum("true").alias("n"), F.sum("found").alias("found")).first()
+    shared.unpersist()
     return row["n"] or 0, row["found"] or 0
 
 
