@@ -307,3 +307,40 @@ def test_toxicity_is_the_same_for_any_partitioning(spark):
     score = {r["doc_id"]: r["severity"] for r in toxicity.score(docs(spark, fresh), one).collect()}
     level = [np.mean([score[k] for k in range(90) if k % 3 == j]) for j in range(3)]
     assert level[0] < level[1] < level[2]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(21)
+    a, b = unique(rng, 60), unique(rng, 60)
+    near = b.split()
+    near[30] = "changed"
+    near = " ".join(near)
+    kept = lambda rows: Counter((r["doc_id"], r["text"]) for r in minhash.dedup(docs(spark, rows)).collect())
+    assert kept([(3, a), (5, a), (5, b)]) == Counter([(3, a), (5, b)])
+    assert kept([(5, a), (5, b), (7, near)]) == Counter([(5, a), (5, b)])
+    assert sum(kept([(5, b), (5, near), (5, b), (6, None), (None, a)]).values()) >= 3
+    got = minhash.classes(docs(spark, [(5, a), (5, b), (7, near)])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False)]
+    passage = " ".join(f"p{k}" + ("." if k % 9 == 8 else "") for k in range(63))
+    own = unique(rng, 80)
+    rows = [(1, passage), (2, own + ". " + passage), (2, "Two short sentences. They stay."), (2, unique(rng, 200)), (2, passage)]
+    done = Counter((r["doc_id"], r["text"].strip()) for r in substrings.clean(docs(spark, rows)).collect())
+    assert done == Counter([(1, passage), (2, own + "."), (2, rows[2][1]), (2, rows[3][1]), (2, "")])
+
+
+def test_word_digest_equals_that_of_signatures(spark):
+    texts = [(1, "  Ein ÜBER-langes\tWort, x"), (2, "a"), (3, "!!a\x7fB\n"), (4, "漢字 İ ß z")]
+    given = docs(spark, texts)
+    want = {r["doc_id"]: bytes(r["key"]) for r in minhash.signatures(given).collect()}
+    got = {r["doc_id"]: bytes(r["k"]) for r in given.select("doc_id", minhash.word_digest(F.col("text")).alias("k")).collect()}
+    assert got == want
+
+
+def test_audit_sees_isolated_vectors(spark):
+    rng = np.random.default_rng(4)
+    hearts = rng.standard_normal((400, 16))
+    rows = [(2 * k + s, (hearts[k] + 0.01 * s).tolist()) for k in range(400) for s in (0, 1)]
+    points = neardup_vectors.vertices(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).withColumnRenamed("vec_id", "id")
+    parts = spark.createDataFrame([(2 * k + s, 2 * k) for k in range(260) for s in (0, 1)], "id long, component long")
+    true, found = neardup_vectors.audit(points, parts)
+    assert true > 100 and 0.5 < found / true < 0.8
