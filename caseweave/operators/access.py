@@ -214,8 +214,3 @@ def kpi_summary(log: EventLog) -> DataFrame:
         "latest",
         r(F.when(span > 0, F.col("cases") * 86400.0 / span).otherwise(F.col("cases").cast("double")), "throughput_per_day"),
     )
-
-
-def page_total(log: EventLog, filters: Sequence[flt.Filter] = ()) -> DataFrame:
-    """(total): how many events all pages of a filtered log hold."""
-    return log.events.where(flt.where(filters, log.events.columns)).agg(F.count("*").alias("total"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between
 from caseweave.log import EventLog
-from caseweave.operators import simulation
+from caseweave.operators import calendars as weekly
+from caseweave.operators import intervals, simulation
 
 #: Points at which a sample and a distribution are compared.
 PROBABILITIES = tuple((k + 0.5) / 50 for k in range(50))
@@ -23,8 +24,9 @@ def concurrency(log: EventLog, resource: str = "resource", end: str = "end_times
     """
     marks = F.array(F.struct(F.col("timestamp").alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))
     rows = log.events.where(F.col(end) > F.col("timestamp")).select(F.col(resource).alias("resource"), F.explode(marks).alias("m")).select("resource", "m.at", "m.step")
-    running = F.sum("step").over(Window.partitionBy("resource").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("n", running).groupBy("resource").agg(F.max("n").alias("most"), F.count_if(F.col("step") == 1).alias("events"))
+    added = lambda earlier, today: F.coalesce(earlier, F.lit(0)) + F.coalesce(today, F.lit(0))
+    rows = intervals.running(rows, "resource", F.col("at"), ["at", "step"], F.col("step"), F.sum, added, "n", own=True)
+    return rows.groupBy("resource").agg(F.max("n").alias("most"), F.count_if(F.col("step") == 1).alias("events"))
 
 
 def in_calendar(events: DataFrame, calendar: DataFrame, start: str = "timestamp", end: str = "end_timestamp") -> DataFrame:
@@ -43,13 +45,9 @@ def in_calendar(events: DataFrame, calendar: DataFrame, start: str = "timestamp"
 
 def working_seconds(events: DataFrame, calendar: DataFrame, key: str = "seq", start: str = "timestamp", end: str = "end_timestamp") -> DataFrame:
     """(case_id, key, working_s) of each event, told apart by case and key: the part of [start, end) inside the calendar's weekly intervals, over any number of days."""
-    days = F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("day")
-    rows = events.where(F.col(end) >= F.col(start)).select("case_id", F.col(key).alias("key"), F.col(start).alias("a"), F.col(end).alias("b"), days)
-    rows = rows.withColumn("weekday", F.dayofweek("day") - 1).join(F.broadcast(calendar), "weekday", "left")
-    base = F.col("day").cast("timestamp_ntz")
-    lo = F.greatest(seconds_between(base, F.col("a")), F.col("begin_s").cast("double"))
-    hi = F.least(seconds_between(base, F.col("b")), F.col("end_s").cast("double"))
-    return rows.groupBy("case_id", "key").agg(F.round(F.coalesce(F.sum(F.greatest(hi - lo, F.lit(0.0))), F.lit(0.0)), 6).alias("working_s"))
+    week = weekly.week_literal(calendar)
+    us = weekly.working_between(week, weekly.micros(F.col(start)), weekly.micros(F.col(end)))
+    return events.where(F.col(end) >= F.col(start)).select("case_id", F.col(key).alias("key"), F.round(us / 1e6, 6).alias("working_s"))
 
 
 def hourly_calendar(log: EventLog, resource: str, support: float, least: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between, time_ranked
 from caseweave.log import EventLog
+from caseweave.operators import intervals
 
 
 def split_by_time(log: EventLog, test_share: float = 0.2, end: str = "timestamp") -> DataFrame:
@@ -127,10 +128,11 @@ def enabling_event(log: EventLog, end: str = "end_timestamp") -> DataFrame:
 def resource_previous_end(log: EventLog, resource: str = "resource", end: str = "end_timestamp", keep: tuple[str, ...] = ()) -> DataFrame:
     """(seq, resource, available_since): the latest end of the same resource's events that started earlier.
 
-    A running maximum by start time; no join.
+    A running maximum by start time within days, carried over from day to day; no join of events.
     """
-    w = Window.partitionBy(resource).orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.events.select(*keep, "seq", F.col(resource).alias("resource"), F.max(end).over(w).alias("available_since"))
+    rows = log.events.select(*keep, "seq", F.col(resource).alias("resource"), "timestamp", F.col(end).alias("cw_end"))
+    rows = intervals.running_max(rows, "resource", F.col("timestamp"), ["timestamp", "seq"], F.col("cw_end"), "available_since")
+    return rows.select(*keep, "seq", "resource", "available_since")
 
 
 def resource_profiles(log: EventLog, resource: str = "resource") -> DataFrame:

@@ -7,8 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.operators import access, agents, discovery, simulation, usage
-from caseweave.operators import filters as flt
+from caseweave.operators import agents, discovery, simulation, usage
 from caseweave.plans.tables import EDGES, EV, SE, TRACES, by_parity, by_session, by_user, table, usage_events
 
 
@@ -34,7 +33,6 @@ QUERIES = {
     "weekday_runs": lambda s, d: agents.weekday_runs(by_session(s, d)),
     "simulation_summary": lambda s, d: agents.simulation_summary(by_session(s, d), list(by_parity(s, d).values())),
     "representative_case": lambda s, d: agents.representative(by_session(s, d), "purchase"),
-    "events_total": lambda s, d: access.page_total(by_user(s, d), [flt.Filter("activity", "contains", "CLI")]),
     "dfg_total": lambda s, d: discovery.edge_total(by_session(s, d)),
     "usage_preview": lambda s, d: usage.preview(usage_events(s, d)),
     "usage_summary": lambda s, d: usage.summary(usage_events(s, d)),
@@ -64,7 +62,6 @@ SELECT weekday, count(n) AS runs, round(avg(n), 6) AS mean_cases, round(stddev_p
 SELECT count(DISTINCT case_id) AS cases, count(*) AS events, count(DISTINCT activity) AS activities, count(DISTINCT resource) AS resources, (SELECT round(avg(c), 6) FROM p) AS sim_cases, (SELECT round(avg(n), 6) FROM p) AS sim_events FROM ev""",
     "representative_case": f"""WITH {SE}, h AS (SELECT case_id FROM ev WHERE activity = 'purchase' ORDER BY timestamp, seq LIMIT 1)
 SELECT case_id, CAST(row_number() OVER (ORDER BY timestamp, seq) AS INTEGER) AS pos, activity, timestamp FROM ev WHERE case_id IN (SELECT case_id FROM h) QUALIFY pos <= 8""",
-    "events_total": f"WITH {EV} SELECT count(*) AS total FROM ev WHERE activity ILIKE '%CLI%'",
     "dfg_total": f"WITH {SE}, {EDGES} SELECT count(*) AS total, (SELECT count(*) - count(DISTINCT case_id) FROM ev) AS expected FROM ed",
     "usage_preview": f"WITH {_US} SELECT {_PREVIEW} FROM us",
     "usage_summary": f"WITH {_US} SELECT event_type, count(*) AS n, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen FROM us GROUP BY event_type",

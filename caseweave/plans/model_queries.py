@@ -184,7 +184,7 @@ SELECT CAST(a.w AS INTEGER) AS i, CAST(b.w AS INTEGER) AS j, round(sqrt(CAST(sum
 SELECT resource, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (WHERE s = 1) AS events FROM r GROUP BY resource""",
     "in_calendar": f"""WITH {SE}, {_CAL} SELECT activity, CAST(timestamp AS DATE) = CAST(end_timestamp AS DATE) AND EXISTS (SELECT 1 FROM cal WHERE weekday = dayofweek(timestamp) AND begin_s <= hour(timestamp) * 3600 + minute(timestamp) * 60 + second(timestamp) AND hour(end_timestamp) * 3600 + minute(end_timestamp) * 60 + second(end_timestamp) <= end_s) AS inside, count(*) AS n FROM ev GROUP BY ALL""",
     "working_seconds": f"""WITH {SE}, {_CAL}, d AS (SELECT case_id, seq, timestamp AS a, end_timestamp AS b, unnest(generate_series(date_trunc('day', timestamp), date_trunc('day', end_timestamp), INTERVAL 1 DAY)) AS day FROM ev),
-x AS (SELECT case_id, seq, greatest(least((epoch_us(b) - epoch_us(day)) / 1000000.0::DOUBLE, end_s::DOUBLE) - greatest((epoch_us(a) - epoch_us(day)) / 1000000.0::DOUBLE, begin_s::DOUBLE), 0.0) AS s FROM d LEFT JOIN cal ON weekday = dayofweek(day))
+x AS (SELECT case_id, seq, CASE WHEN begin_s IS NOT NULL THEN greatest(least((epoch_us(b) - epoch_us(day)) / 1000000.0::DOUBLE, end_s::DOUBLE) - greatest((epoch_us(a) - epoch_us(day)) / 1000000.0::DOUBLE, begin_s::DOUBLE), 0.0) END AS s FROM d LEFT JOIN cal ON weekday = dayofweek(day))
 SELECT case_id, seq AS key, round(coalesce(sum(s), 0.0), 6) AS working_s FROM x GROUP BY case_id, seq""",
     "delays": f"WITH {SE}, {_ENABLED} SELECT * FROM de",
     "activity_delays": f"WITH {SE}, {_ENABLED} SELECT activity, count(*) AS n, round(avg(CASE WHEN delay_s > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS delayed, round(avg(delay_s), 6) AS mean_delay_s FROM de GROUP BY activity",
