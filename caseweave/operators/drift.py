@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,64 @@ def drift_frobenius(log: EventLog, n_windows: int = 50) -> DataFrame:
     return pairs.select("i", "j", F.round(F.sqrt(apart.cast("double")), 6).alias("distance"))
 
 
+def matrix_distance(a: np.ndarray, b: np.ndarray, norm: str) -> float:
+    """Distance of two matrices: fro, nuc, inf, l2 norms of the difference, cos, or earth; the Frobenius norm where one is not defined.
+
+    earth sums over rows the Wasserstein distance between the heights of the histograms (as samples) of
+    their whole-number values below the number of columns.
+    """
+    gap = a - b
+    if norm in ("nuc", "l2"):
+        # Singular values are the roots of the eigenvalues of the smaller Gram matrix.
+        values = np.sqrt(np.clip(np.linalg.eigvalsh(gap.T @ gap), 0.0, None))
+        return float(values.sum() if norm == "nuc" else values.max(initial=0.0))
+    if norm == "inf":
+        return float(np.abs(gap).sum(axis=1).max(initial=0.0))
+    if norm == "cos":
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        if size > 0:
+            return float(1 - (a * b).sum() / size)
+    if norm == "earth":
+        heights = [np.array([np.bincount(r[(r >= 0) & (r < len(r))].astype(int), minlength=len(r)) for r in np.rint(m)], float) for m in (a, b)]
+        if all(h.sum(axis=1).min(initial=1.0) > 0 for h in heights):
+            x, y = (np.sort(h / h.sum(axis=1, keepdims=True), axis=1) for h in heights)
+            return float(np.abs(x - y).mean(axis=1).sum())
+    return float(np.sqrt((gap * gap).sum()))
+
+
+NORMS = ("fro", "nuc", "inf", "l2", "cos", "earth")
+
+
+def drift_norms(log: EventLog, n_windows: int = 50, norms: tuple[str, ...] = NORMS) -> DataFrame:
+    """(i, j, norm, distance) for i < j: distances of the directly-follows matrices of two windows.
+
+    A pair of windows is a group of at most the edges of both, and a matrix is as large as the activities.
+    """
+    f = drift_windows(log, n_windows)
+    names = f.select(F.col("source").alias("activity")).union(f.select("target")).distinct()
+    names = names.select("activity", (F.row_number().over(Window.orderBy("activity")) - 1).alias("k"))
+    total = names.count()
+    numbered = f.join(names.select(F.col("activity").alias("source"), F.col("k").alias("row")), "source").join(names.select(F.col("activity").alias("target"), F.col("k").alias("col")), "target")
+    cells = numbered.groupBy("window").agg(F.collect_list(F.struct("row", "col", "frequency")).alias("cells"))
+    ids = log.df.sparkSession.range(n_windows).select(F.col("id").cast("int").alias("window")).join(cells, "window", "left")
+    side = lambda w, c: ids.select(F.col("window").alias(w), F.col("cells").alias(c))
+    others = side("i", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))))
+    pairs = others.where(F.col("i") < F.col("j")).join(side("j", "y"), "j").select("i", "j", "x", "y").repartition("i", "j")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def matrix(cells) -> np.ndarray:
+            out = np.zeros((total, total))
+            for c in cells if cells is not None else ():
+                out[c["row"], c["col"]] = c["frequency"]
+            return out
+
+        for batch in batches:
+            rows = [(i, j, n, round(matrix_distance(a, b, n), 6)) for i, j, a, b in ((i, j, matrix(x), matrix(y)) for i, j, x, y in batch.itertuples(index=False)) for n in norms]
+            yield pd.DataFrame(rows, columns=["i", "j", "norm", "distance"])
+
+    return pairs.mapInPandas(measure, "i int, j int, norm string, distance double")
+
+
 def dominant_activity(log: EventLog, n_windows: int) -> DataFrame:
     """The most frequent activity of each chunk of rows in time order; ties by name."""
     size = F.greatest(F.floor(F.col("total") / n_windows), F.lit(1))

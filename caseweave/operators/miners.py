@@ -425,34 +425,6 @@ def emd(a: EventLog, b: EventLog, top: int = EMD_VARIANTS) -> DataFrame:
     return a.df.sparkSession.createDataFrame([(round(value, 6),)], "emd double")
 
 
-def permutation_test(a: EventLog, b: EventLog, resamples: int = 1000, top: int = 30, seed: int = 42) -> DataFrame:
-    """(statistic, p_value): the EMD of two logs against that of random relabellings, one task for many relabellings."""
-    spark = a.df.sparkSession
-    x, y = variants_of(a, top), variants_of(b, top)
-    observed = language_distance(x, y)
-    shared = spark.sparkContext.broadcast((x, y))
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        x, y = shared.value
-        names = sorted(set(x) | set(y))
-        counts = np.array([x.get(v, 0) + y.get(v, 0) for v in names])
-        for batch in batches:
-            out = []
-            for k in batch["id"]:
-                left = np.random.default_rng([seed, int(k)]).multivariate_hypergeometric(counts, sum(x.values()))
-                p = {v: int(n) for v, n in zip(names, left, strict=True) if n}
-                q = {v: int(n) for v, n in zip(names, counts - left, strict=True) if n}
-                out.append(language_distance(p, q))
-            yield pd.DataFrame({"value": out})
-
-    values = spark.range(resamples, numPartitions=max(1, resamples // 25)).mapInPandas(run, "value double")
-    hits = F.sum((F.col("value") >= observed - 1e-12).cast("int"))
-    return values.agg(F.lit(round(observed, 6)).alias("statistic"), ((hits + 1) / (F.count("*") + 1)).alias("p_value"))
-
-
 def slice_metrics(log: EventLog, slices: DataFrame) -> DataFrame:
     """Size metrics of whole cases by slice; slices is (case_id, slice) and may repeat cases."""
     rows = log.traces().join(slices, "case_id")

@@ -53,7 +53,6 @@ QUERIES = {
     "activity_delays": lambda s, d: resources.activity_delays(by_session_timed(s, d)),
     "duration_fit": lambda s, d: resources.fit_distributions(by_session(s, d).edges(), "source", "seconds"),
     "inductive_net": lambda s, d: miners.inductive_net(by_session(s, d), 0.2),
-    "permutation_test": lambda s, d: miners.permutation_test(*by_parity(s, d).values()),
     "variant_ids": lambda s, d: access.variant_ids(by_session(s, d)),
     "ocel_overview": lambda s, d: ocel.overview(object_log(s, d)),
     "ocel_types": lambda s, d: ocel.type_counts(object_log(s, d)),

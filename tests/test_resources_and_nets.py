@@ -135,8 +135,3 @@ def test_nets_replay_their_log(spark, spec):
     if max(len(v) for v in spec) < 7:
         arcs = rows(miners.alpha(log))
         assert all(replays(arcs, tuple(v.split(","))) for v in spec)
-
-
-def test_permutation_of_equal_logs(spark):
-    log = of_variants(spark, {"a,b": 6, "a,c": 6})
-    assert miners.permutation_test(log, log, resamples=20).first()["p_value"] == 1.0
