@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,9 +249,20 @@ def read_object_tables(spark: SparkSession, folder: str) -> ObjectLog:
     return ObjectLog(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("events", "objects", "relations", "o2o")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): lines of text files, numbered from 0 in order of file and place, however the files are split.
+
+    The lines of a split are numbered one after another; the counts of the splits before it are added.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("value", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
+
+
 def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     """(constraint, window, value) of a `;` separated constraint table with two header rows; Confidence columns only."""
-    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    text = numbered_lines(spark, path)
     heads = [r["value"].split(";") for r in text.orderBy("line").limit(2).collect()]
     wanted = [k for k, h in enumerate(heads[1]) if h.strip() == "Confidence"]
     parts = text.where(F.col("line") > 1).select("line", F.split("value", ";").alias("v"))

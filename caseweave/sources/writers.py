@@ -55,12 +55,12 @@ def xes_traces(log: EventLog) -> DataFrame:
 
 
 def write_xes(log: EventLog, path: str) -> None:
-    """A XES document in one file; traces are written in order of case."""
+    """A XES document as a folder of parts, which in order of their names make one file; traces come in order of case."""
     spark = log.df.sparkSession
     head = spark.createDataFrame([(0, "", '<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1.0" xmlns="http://www.xes-standard.org/">')], "k int, case_id string, value string")
     tail = spark.createDataFrame([(2, "", "</log>")], "k int, case_id string, value string")
     body = xes_traces(log).select(F.lit(1).alias("k"), "case_id", F.col("trace").alias("value"))
-    head.union(body).union(tail).coalesce(1).sortWithinPartitions("k", "case_id").select("value").write.mode("overwrite").text(path)
+    head.union(body).union(tail).repartitionByRange("k", "case_id").sortWithinPartitions("k", "case_id").select("value").write.mode("overwrite").text(path)
 
 
 def bpmn(tree_arcs: DataFrame) -> str:
