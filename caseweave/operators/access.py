@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import bin_of, blake2b_64, nullif_nan, seconds_between
 from caseweave.log import REQUIRED, EventLog
 from caseweave.operators import filters as flt
-from caseweave.operators.quantiles import quantiles
+from caseweave.operators.quantiles import quantiles, with_quantiles
 
 
 def events_page(log: EventLog, where: Column | None = None, sort: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -107,13 +107,14 @@ def cases(log: EventLog) -> DataFrame:
 
 def variants(log: EventLog, total_cases: int | None = None) -> DataFrame:
     """Variants with counts, share of all cases, mean and median duration, first and last start, and rank."""
-    rows = cases(log).groupBy("variant").agg(
+    per = cases(log)
+    rows = per.groupBy("variant").agg(
         F.count("*").alias("n_cases"),
         F.avg("case_duration_seconds").alias("avg_duration_s"),
-        F.median("case_duration_seconds").alias("median_duration_s"),
         F.min("case_start").alias("first_seen"),
         F.max("case_end").alias("last_seen"),
     )
+    rows = with_quantiles(rows, per, "case_duration_seconds", (0.5,), ("variant",)).withColumn("median_duration_s", F.col("q")[0]).drop("q")
     total = F.sum("n_cases").over(Window.partitionBy()) if total_cases is None else F.lit(total_cases)
     rank = F.row_number().over(Window.orderBy(F.desc("n_cases"), F.asc("variant")))
     return rows.withColumn("share", F.col("n_cases") / total).withColumn("rank", rank)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
 from caseweave.operators import discovery
-from caseweave.operators.quantiles import quantiles
+from caseweave.operators.quantiles import quantiles, value_bin
 
 
 def _tagged(logs: dict[str, EventLog], of) -> DataFrame:
@@ -78,11 +78,17 @@ def log_kinds(sums: DataFrame, kinds: dict) -> DataFrame:
 def wasserstein(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """1-Wasserstein distance of a column's distributions in two tables: the area between their CDFs."""
     both = a.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select(F.col(column).cast("double"), F.lit(0), F.lit(1)))
-    by = both.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
-    whole, upto = Window.partitionBy(), Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.nullif(F.sum("a").over(whole), F.lit(0)) - F.sum("b").over(upto) / F.nullif(F.sum("b").over(whole), F.lit(0)))
-    width = F.lead("v").over(Window.orderBy("v")) - F.col("v")
-    return by.select((gap * width).alias("area")).agg(F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("distance"))
+    by = both.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b")).withColumn("bin", value_bin(F.col("v")))
+    # Running sums and next values over bins, then within them: one task never holds all distinct values.
+    bins = by.groupBy("bin").agg(F.sum("a").alias("bin_a"), F.sum("b").alias("bin_b"), F.min("v").alias("lo"))
+    whole, order = Window.partitionBy(), Window.orderBy("bin")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    bins = bins.select("bin", *(zero(F.sum(f"bin_{c}").over(upto)).alias(f"before_{c}") for c in "ab"), *(F.sum(f"bin_{c}").over(whole).alias(f"all_{c}") for c in "ab"), F.lead("lo").over(order).alias("after"))
+    inside = Window.partitionBy("bin").orderBy("v")
+    share = lambda c: (F.col(f"before_{c}") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0))) / F.nullif(F.col(f"all_{c}"), F.lit(0))
+    width = F.coalesce(F.lead("v").over(inside), F.col("after")) - F.col("v")
+    return by.join(bins, "bin").select((F.abs(share("a") - share("b")) * width).alias("area")).agg(F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("distance"))
 
 
 def ngrams(log: EventLog, n: int = 3) -> DataFrame:

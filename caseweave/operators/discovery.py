@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
-from caseweave.operators.quantiles import with_quantiles
+from caseweave.operators.quantiles import described
 
 
 def dfg(log: EventLog) -> DataFrame:
     """Edges with frequency and mean, median, smallest and largest seconds."""
-    edges = log.edges()
-    rows = edges.groupBy("source", "target").agg(
-        F.count("*").alias("frequency"), F.round(F.avg("seconds"), 6).alias("mean_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s")
-    )
-    rows = with_quantiles(rows, edges, "seconds", (0.5,), ("source", "target"))
-    return rows.select("source", "target", "frequency", "mean_s", F.round(F.col("q")[0], 6).alias("median_s"), "min_s", "max_s")
+    rows = described(log.edges(), "seconds", (0.5,), ("source", "target"))
+    r = lambda x, name: F.round(x, 6).alias(name)
+    return rows.select("source", "target", F.col("n").alias("frequency"), r(F.col("mean"), "mean_s"), r(F.col("q")[0], "median_s"), F.col("lo").alias("min_s"), F.col("hi").alias("max_s"))
 
 
 def edge_counts(log: EventLog) -> DataFrame:

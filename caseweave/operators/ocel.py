@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between
 from caseweave.log import ObjectLog
-from caseweave.operators.quantiles import with_quantiles
+from caseweave.operators.quantiles import described, with_quantiles
 
 
 def overview(log: ObjectLog) -> DataFrame:
@@ -87,14 +87,13 @@ def ocdfg_edges(log: ObjectLog) -> DataFrame:
         F.lead("activity").over(w).alias("target"), F.lead("eid").over(w).alias("next_eid"),
         seconds_between(F.col("timestamp"), F.lead("timestamp").over(w)).alias("seconds"),
     ).where(F.col("next_eid").isNotNull())
-    rows = e.groupBy("type", "source", "target").agg(
-        F.count_distinct("oid").alias("unique_objects"),
-        F.count_distinct("eid", "next_eid").alias("event_couples"),
-        F.count("*").alias("total_objects"),
-        F.round(F.avg("seconds"), 6).alias("mean_s"),
-    )
-    rows = with_quantiles(rows, e, "seconds", (0.5,), ("type", "source", "target"))
-    return rows.withColumn("median_s", F.round(F.col("q")[0], 6)).drop("q")
+    # Each distinct count by an aggregation of its own key first, so nothing is expanded.
+    edge = ["type", "source", "target"]
+    objects = e.groupBy(*edge, "oid").agg(F.lit(1)).groupBy(*edge).agg(F.count("*").alias("unique_objects"))
+    couples = e.groupBy(*edge, "eid", "next_eid").agg(F.lit(1)).groupBy(*edge).agg(F.count("*").alias("event_couples"))
+    rows = described(e, "seconds", (0.5,), edge)
+    rows = rows.select(*edge, F.col("n").alias("total_objects"), F.round("mean", 6).alias("mean_s"), F.round(F.col("q")[0], 6).alias("median_s"))
+    return rows.join(objects, edge).join(couples, edge)
 
 
 def ocdfg_endpoints(log: ObjectLog) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import half_even_bin, seconds_between
 from caseweave.log import EventLog
 from caseweave.operators.access import activity_frequency
-from caseweave.operators.quantiles import with_quantiles
+from caseweave.operators.quantiles import described
 
 
 def durations(log: EventLog) -> DataFrame:
@@ -54,8 +54,7 @@ def log_histogram(values: DataFrame, column: str = "d", bins: int = 24) -> DataF
 def activity_sojourn(log: EventLog) -> DataFrame:
     """Mean and p90 time to the next event of each activity; 0 where no event follows; frequency counts all events."""
     e = log.edges().where(F.col("seconds") >= 0)
-    stats = e.groupBy(F.col("source").alias("activity")).agg(F.avg("seconds").alias("a"))
-    stats = with_quantiles(stats, e.withColumnRenamed("source", "activity"), "seconds", (0.9,), ("activity",)).select("activity", "a", F.col("q")[0].alias("p"))
+    stats = described(e.withColumnRenamed("source", "activity"), "seconds", (0.9,), ("activity",)).select("activity", F.col("mean").alias("a"), F.col("q")[0].alias("p"))
     rows = activity_frequency(log).join(stats, "activity", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
