@@ -12,13 +12,14 @@ a span is covered from its first unit to its last. Spans are hashed to 95 bits o
 normalised words and joined over all documents. The first occurrence of a span is
 the one of smallest doc_id, then position; the units under any other occurrence are
 removed from the text, within a document as well. A document is a doc_id with a text: rows of one
-doc_id with different texts are documents each, told apart and ordered by a 64-bit digest of the text.
+doc_id with different texts are documents each, numbered from 0 in order of a 64-bit digest of the text.
 
 Scale. Span rows hold numbers only. One aggregation, combined before its shuffle, finds the
 hashes that occur twice or more with their first occurrence; they are stored, and the spans
 join them in a plain join of two stored tables, which Spark splits where one hash is
 very common. A passage of any frequency costs rows in proportion to its occurrences.
-Texts are shuffled once, by doc_id and digest.
+Texts are shuffled once, by doc_id and number; the number takes the upper half of the
+place, so rows are no larger for it.
 
 Defined results: a null or empty text has no units and stays; rows with a null
 doc_id are left alone; repeated rows of a doc_id with the same text count as one document, are cut
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,38 +155,52 @@ def spans(first_word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]
     return both // (n + 1), both % (n + 1)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the number of each row's text among the different texts of its doc_id, nearly always 0."""
+    digest = F.xxhash64("text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
+    texts = rows.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1).cast("long")
+    texts = materialize(texts.select(F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), number.alias(name)), "spans-texts")
+    if texts.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    met = docs.join(texts, (F.col("doc_id") == F.col(f"{name}_id")) & (digest == F.col(f"{name}_digest")), "left")
+    return met.drop(f"{name}_id", f"{name}_digest").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, c, doc_id, digest, lo, hi): every span of every document by hash, with its first and last unit."""
+    """(h, c, doc_id, at, hi): every span of every document (doc_id, number, text) by hash, with the document's number and first unit (at), and its last unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for doc_id, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc_id, number, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 _, first, words = units((text or "").encode("utf-8", "surrogatepass"), hasher)
                 if len(first) < SPAN_UNITS or len(words) < SPAN_WORDS:
                     continue
                 lo, hi = spans(first, len(words))
                 edge = np.append(first, len(words))
                 h, c = hasher.runs(hasher.prefixes(words), edge[lo], edge[hi + 1])
-                whole = (np.full(len(lo), doc_id), np.full(len(lo), digest))
-                for held, x in zip(out, (h, c, *whole, lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+                for held, x in zip(out, (h, c, np.full(len(lo), doc_id), lo.astype(np.int64) + (number << 32), hi.astype(np.int32)), strict=True):
                     held.append(x)
             if out[0]:
                 columns = [pa.array(np.concatenate(x)) for x in out]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "digest", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "at", "hi"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), "text")
-    return rows.mapInArrow(run, "h long, c int, doc_id long, digest long, lo int, hi int")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "number", "text")
+    return rows.mapInArrow(run, "h long, c int, doc_id long, at long, hi int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, cuts array<struct<lo, hi>>): unit ranges under a span that occurs earlier."""
-    every, place = materialize(occurrences(docs), "spans-all"), F.struct("doc_id", "digest", "lo")
+    """(doc_id, number, cuts array<struct<lo, hi>>) of documents (doc_id, number, text): unit ranges under a span that occurs earlier."""
+    every, place = materialize(occurrences(docs), "spans-all"), F.struct("doc_id", "at")
     first = every.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     twice = materialize(first.where("first <> last").select("h", "c", "first"), "spans-repeated")
     later = every.join(twice, ["h", "c"]).where(place > F.col("first"))
-    return later.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
+    lo = F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("lo")
+    return later.groupBy("doc_id", F.shiftright("at", 32).alias("number")).agg(F.array_sort(F.collect_set(F.struct(lo, "hi"))).alias("cuts"))
 
 
 def _covered(cuts: list[dict], n: int) -> np.ndarray:
@@ -207,10 +222,12 @@ def _without(data: bytes, at: np.ndarray, gone: np.ndarray) -> bytes:
 def cut(docs: DataFrame) -> DataFrame:
     """docs with cw_text, the text without repeats, cw_removed, words removed, and cw_units, units removed."""
     names = docs.columns
-    marks = repeats(docs.select("doc_id", "text"))
-    marks = marks.select(*(F.col(c).alias(free_name(f"cw_{c}", docs)) for c in ("doc_id", "digest", "cuts")))
-    key, digest, cuts_name = marks.columns
-    rows = docs.join(marks, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left").drop(key, digest)
+    number = free_name("cw_text_number", docs)
+    rows = _numbered(docs, number)
+    marks = repeats(rows.select("doc_id", F.col(number).alias("number"), "text"))
+    marks = marks.select(*(F.col(c).alias(free_name(f"cw_{c}", docs)) for c in ("doc_id", "number", "cuts")))
+    key, which, cuts_name = marks.columns
+    rows = rows.join(marks, (F.col("doc_id") == F.col(key)) & (F.col(number) == F.col(which)), "left").drop(key, which, number)
     added = [free_name(c, docs) for c in ADDED]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *map(T.StructField, added, (T.StringType(), T.LongType(), T.LongType()))])
 
