@@ -18,8 +18,8 @@ Scale. Span rows hold numbers only. One aggregation, combined before its shuffle
 hashes that occur twice or more with their first occurrence; they are stored, and the spans
 join them in a plain join of two stored tables, which Spark splits where one hash is
 very common. A passage of any frequency costs rows in proportion to its occurrences.
-Texts are shuffled once, by doc_id and number; the number takes the upper half of the
-place, so rows are no larger for it.
+Texts are shuffled once, by doc_id and number. A span's place is one long: the number of the
+text, the first unit, and how many more units follow, of which there are fewer than `SPAN_WORDS`.
 
 Defined results: a null or empty text has no units and stays; rows with a null
 doc_id are left alone; repeated rows of a doc_id with the same text count as one document, are cut
@@ -44,6 +44,8 @@ UNIT_WORDS = 12
 SPAN_UNITS = 3
 SPAN_WORDS = 25
 ADDED = ("cw_text", "cw_removed", "cw_units")
+#: Bits of a place: below _UNIT the units after the first, below _NUMBER the first unit, above it the number of the text.
+_UNIT, _NUMBER = 8, 40
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -162,6 +164,7 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
     texts = rows.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
     number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1).cast("long")
+    number = F.when(number < 2 ** (63 - _NUMBER), number).otherwise(F.raise_error(F.lit("too many different texts of one doc_id")))
     texts = materialize(texts.select(F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), number.alias(name)), "spans-texts")
     if texts.isEmpty():
         return docs.withColumn(name, F.lit(0).cast("long"))
@@ -170,12 +173,12 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, c, doc_id, at, hi): every span of every document (doc_id, number, text) by hash, with the document's number and first unit (at), and its last unit."""
+    """(h, c, doc_id, at): every span of every document (doc_id, number, text) by hash, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for doc_id, number, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 _, first, words = units((text or "").encode("utf-8", "surrogatepass"), hasher)
                 if len(first) < SPAN_UNITS or len(words) < SPAN_WORDS:
@@ -183,24 +186,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lo, hi = spans(first, len(words))
                 edge = np.append(first, len(words))
                 h, c = hasher.runs(hasher.prefixes(words), edge[lo], edge[hi + 1])
-                for held, x in zip(out, (h, c, np.full(len(lo), doc_id), lo.astype(np.int64) + (number << 32), hi.astype(np.int32)), strict=True):
+                at = (number << _NUMBER) + (lo.astype(np.int64) << _UNIT) + (hi - lo)
+                for held, x in zip(out, (h, c, np.full(len(lo), doc_id), at), strict=True):
                     held.append(x)
             if out[0]:
                 columns = [pa.array(np.concatenate(x)) for x in out]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "at", "hi"])
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "at"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "number", "text")
-    return rows.mapInArrow(run, "h long, c int, doc_id long, at long, hi int")
+    return rows.mapInArrow(run, "h long, c int, doc_id long, at long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, number, cuts array<struct<lo, hi>>) of documents (doc_id, number, text): unit ranges under a span that occurs earlier."""
     every, place = materialize(occurrences(docs), "spans-all"), F.struct("doc_id", "at")
-    first = every.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    twice = materialize(first.where("first <> last").select("h", "c", "first"), "spans-repeated")
+    # Repeated rows of a document count too, but none of their places is later than the first.
+    first = every.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    twice = materialize(first.where("n > 1").select("h", "c", "first"), "spans-repeated")
     later = every.join(twice, ["h", "c"]).where(place > F.col("first"))
-    lo = F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("lo")
-    return later.groupBy("doc_id", F.shiftright("at", 32).alias("number")).agg(F.array_sort(F.collect_set(F.struct(lo, "hi"))).alias("cuts"))
+    bits = lambda shift, n: F.shiftright("at", shift).bitwiseAND(F.lit(2**n - 1)).cast("int")
+    lo = bits(_UNIT, _NUMBER - _UNIT)
+    cut = F.struct(lo.alias("lo"), (lo + bits(0, _UNIT)).alias("hi"))
+    return later.groupBy("doc_id", F.shiftright("at", _NUMBER).alias("number")).agg(F.array_sort(F.collect_set(cut)).alias("cuts"))
 
 
 def _covered(cuts: list[dict], n: int) -> np.ndarray:
