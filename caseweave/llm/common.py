@@ -46,15 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and go on from the files.
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    """Write df once to the shared folder, compressed by codec, and go on from the files.
 
     Cuts the lineage, and survives the loss of any executor since the files are
     not kept by executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,8 @@ hashes that occur twice or more with their first occurrence; they are stored, an
 join them in a plain join of two stored tables, which Spark splits where one hash is
 very common. A passage of any frequency costs rows in proportion to its occurrences.
 Texts are shuffled once, by doc_id and number. A span's place is one long: the number of the
-text, the first unit, and how many more units follow, of which there are fewer than `SPAN_WORDS`.
+text, the first unit, whether the span has occurred before in the text, and how many more units follow, of
+which there are fewer than `SPAN_WORDS`.
 
 Defined results: a null or empty text has no units and stays; rows with a null
 doc_id are left alone; repeated rows of a doc_id with the same text count as one document, are cut
@@ -44,8 +45,9 @@ UNIT_WORDS = 12
 SPAN_UNITS = 3
 SPAN_WORDS = 25
 ADDED = ("cw_text", "cw_removed", "cw_units")
-#: Bits of a place: below _UNIT the units after the first, below _NUMBER the first unit, above it the number of the text.
+#: Bits of a place: below _AGAIN the units after the first, _AGAIN, below _NUMBER the first unit, above it the number of the text.
 _UNIT, _NUMBER = 8, 40
+_AGAIN = 1 << (_UNIT - 1)
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -157,8 +159,8 @@ def spans(first_word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]
     return both // (n + 1), both % (n + 1)
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the number of each row's text among the different texts of its doc_id, nearly always 0."""
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """docs with the number of each row's text among the different texts of its doc_id, nearly always 0, and whether there are others."""
     digest = F.xxhash64("text")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
     several = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
@@ -167,9 +169,9 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     number = F.when(number < 2 ** (63 - _NUMBER), number).otherwise(F.raise_error(F.lit("too many different texts of one doc_id")))
     texts = materialize(texts.select(F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), number.alias(name)), "spans-texts")
     if texts.isEmpty():
-        return docs.withColumn(name, F.lit(0).cast("long"))
+        return docs.withColumn(name, F.lit(0).cast("long")), False
     met = docs.join(texts, (F.col("doc_id") == F.col(f"{name}_id")) & (digest == F.col(f"{name}_digest")), "left")
-    return met.drop(f"{name}_id", f"{name}_digest").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return met.drop(f"{name}_id", f"{name}_digest").withColumn(name, F.coalesce(name, F.lit(0).cast("long"))), True
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -186,7 +188,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lo, hi = spans(first, len(words))
                 edge = np.append(first, len(words))
                 h, c = hasher.runs(hasher.prefixes(words), edge[lo], edge[hi + 1])
-                at = (number << _NUMBER) + (lo.astype(np.int64) << _UNIT) + (hi - lo)
+                order = np.lexsort((c, h))
+                again = np.zeros(len(lo), np.int64)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                at = (number << _NUMBER) + (lo.astype(np.int64) << _UNIT) + again * _AGAIN + (hi - lo)
                 for held, x in zip(out, (h, c, np.full(len(lo), doc_id), at), strict=True):
                     held.append(x)
             if out[0]:
@@ -197,16 +202,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, c int, doc_id long, at long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, cuts array<struct<lo, hi>>) of documents (doc_id, number, text): unit ranges under a span that occurs earlier."""
-    every, place = materialize(occurrences(docs), "spans-all"), F.struct("doc_id", "at")
-    # Repeated rows of a document count too, but none of their places is later than the first.
-    first = every.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+def repeats(docs: DataFrame, several: bool = True) -> DataFrame:
+    """(doc_id, number, cuts array<struct<lo, hi>>) of documents (doc_id, number, text): unit ranges under a span that occurs earlier.
+
+    several tells whether there are numbers other than 0; without them a document is its doc_id.
+    """
+    every = materialize(occurrences(docs), "spans-all", "zstd")
+    doc = F.struct("doc_id", F.shiftright("at", _NUMBER).alias("number")) if several else F.col("doc_id")
+    # A document counts as often as the span occurs in it; its first occurrence is told by the place.
+    first = every.groupBy("h", "c").agg(F.min(doc).alias("first"), F.count("*").alias("n"))
     twice = materialize(first.where("n > 1").select("h", "c", "first"), "spans-repeated")
-    later = every.join(twice, ["h", "c"]).where(place > F.col("first"))
+    again = F.col("at").bitwiseAND(F.lit(_AGAIN)) != 0
+    later = every.join(twice, ["h", "c"]).where((doc > F.col("first")) | ((doc == F.col("first")) & again))
     bits = lambda shift, n: F.shiftright("at", shift).bitwiseAND(F.lit(2**n - 1)).cast("int")
     lo = bits(_UNIT, _NUMBER - _UNIT)
-    cut = F.struct(lo.alias("lo"), (lo + bits(0, _UNIT)).alias("hi"))
+    cut = F.struct(lo.alias("lo"), (lo + bits(0, _UNIT - 1)).alias("hi"))
     return later.groupBy("doc_id", F.shiftright("at", _NUMBER).alias("number")).agg(F.array_sort(F.collect_set(cut)).alias("cuts"))
 
 
@@ -230,8 +240,8 @@ def cut(docs: DataFrame) -> DataFrame:
     """docs with cw_text, the text without repeats, cw_removed, words removed, and cw_units, units removed."""
     names = docs.columns
     number = free_name("cw_text_number", docs)
-    rows = _numbered(docs, number)
-    marks = repeats(rows.select("doc_id", F.col(number).alias("number"), "text"))
+    rows, several = _numbered(docs, number)
+    marks = repeats(rows.select("doc_id", F.col(number).alias("number"), "text"), several)
     marks = marks.select(*(F.col(c).alias(free_name(f"cw_{c}", docs)) for c in ("doc_id", "number", "cuts")))
     key, which, cuts_name = marks.columns
     rows = rows.join(marks, (F.col("doc_id") == F.col(key)) & (F.col(number) == F.col(which)), "left").drop(key, which, number)
