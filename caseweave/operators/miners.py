@@ -8,6 +8,7 @@ between languages take a stated number of variants, which is part of their defin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from caseweave.log import EventLog, ObjectLog
 from caseweave.operators import discovery, ocel
 
-MAX_ACTIVITIES = 100
+#: What the driver holds is at most the square of this many counts; more activities raise an error.
+MAX_ACTIVITIES = 2_000
 EMD_VARIANTS = 100
 
 
@@ -33,6 +35,23 @@ def _footprint(log: EventLog) -> tuple[set[str], set[tuple[str, str]], set[str],
     return {r["activity"] for r in nodes}, edges, {r["activity"] for r in nodes if r["starts"]}, {r["activity"] for r in nodes if r["ends"]}
 
 
+def _maximal_cliques(near: dict) -> Iterator[set]:
+    """The maximal cliques of a graph given by neighbours, by branching on what is not next to a pivot."""
+    open_ = [(set(), set(near), set())]
+    while open_:
+        clique, may, done = open_.pop()
+        if not may and not done:
+            yield clique
+            continue
+        if not may:
+            continue
+        pivot = max(may | done, key=lambda x: len(near[x] & may))
+        for x in list(may - near[pivot]):
+            open_.append((clique | {x}, may & near[x], done & near[x]))
+            may = may - {x}
+            done = done | {x}
+
+
 def alpha(log: EventLog, loops: bool = False) -> DataFrame:
     """Alpha miner net as arcs (kind place / transition). With loops, loops of one and two are told from concurrency."""
     names, follows, starts, ends = _footprint(log)
@@ -42,20 +61,15 @@ def alpha(log: EventLog, loops: bool = False) -> DataFrame:
     apart = lambda group: all((x, y) not in follows and (y, x) not in follows for x in group for y in group)
     names -= short
     causal = {(a, b) for a, b in causal if a in names and b in names}
-    pairs = {(frozenset([a]), frozenset([b])) for a, b in causal if apart([a]) and apart([b])}
-    frontier = set(pairs)
-    while frontier:
-        grown = set()
-        for left, right in frontier:
-            for x in names - left:
-                if apart(left | {x}) and all((x, b) in causal for b in right):
-                    grown.add((left | {x}, right))
-            for y in names - right:
-                if apart(right | {y}) and all((a, y) in causal for a in left):
-                    grown.add((left, right | {y}))
-        frontier = grown - pairs
-        pairs |= grown
-    places = sorted((sorted(a), sorted(b)) for a, b in pairs if not any((a, b) != (c, d) and a <= c and b <= d for c, d in pairs))
+    alone = {x for x in names if apart([x])}
+    # A place joins a set of left and one of right activities: a clique of what goes together, maximal and with both sides.
+    near: dict[tuple[int, str], set] = {(side, x): {(side, y) for y in alone if y != x and apart([x, y])} for side in (0, 1) for x in alone}
+    for a, b in causal:
+        if a in alone and b in alone:
+            near[0, a].add((1, b))
+            near[1, b].add((0, a))
+    sides = ([sorted(x for k, x in clique if k == side) for side in (0, 1)] for clique in _maximal_cliques(near))
+    places = sorted((left, right) for left, right in sides if left and right)
     rows = [("place", "source", x) for x in sorted(starts & names)] + [("transition", x, "sink") for x in sorted(ends & names)]
     for left, right in places:
         p = f"p({','.join(left)}|{','.join(right)})"

@@ -135,3 +135,13 @@ def test_nets_replay_their_log(spark, spec):
     if max(len(v) for v in spec) < 7:
         arcs = rows(miners.alpha(log))
         assert all(replays(arcs, tuple(v.split(","))) for v in spec)
+
+
+def test_alpha_takes_more_than_a_hundred_activities(spark):
+    """A sequence with a choice among a hundred: the place before it joins them all."""
+    many = [f"x{k:03d}" for k in range(105)]
+    log = of_variants(spark, {f"a,{x},z": 1 for x in many})
+    arcs = rows(miners.alpha(log))
+    left = f"p(a|{','.join(many)})"
+    assert {("place", left, x) for x in many} <= arcs and ("transition", "a", left) in arcs
+    assert all(replays(arcs, ("a", x, "z")) for x in many[:3])
