@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between, xlogx
@@ -70,57 +74,84 @@ def structure(log: EventLog) -> DataFrame:
     )
 
 
-def prefix_states(log: EventLog) -> DataFrame:
-    """States of the extended prefix automaton: path, parent, depth, first seen, number of events, head.
+def _stepped(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """Rows (activity, pos) with the state after each: a digest of the activities so far, and that before it.
+
+    The digest is a running exclusive or of two hashes of activity and position, so a
+    prefix of any length is two numbers. The empty prefix is (0, 0).
+    """
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_x", F.xxhash64("pos", "activity")).withColumn("_y", F.xxhash64(F.lit(1), "pos", "activity"))
+    rows = rows.withColumn("state", F.struct(F.bit_xor("_x").over(so_far).alias("x"), F.bit_xor("_y").over(so_far).alias("y")))
+    parent = F.struct(F.col("state.x").bitwiseXOR(F.col("_x")).alias("x"), F.col("state.y").bitwiseXOR(F.col("_y")).alias("y"))
+    return rows.withColumn("parent", parent).drop("_x", "_y")
+
+
+def _states_of_events(log: EventLog, by: Sequence[str] = ()) -> DataFrame:
+    """(by, case_id, timestamp, pos, activity, state, parent) of each event."""
+    rows = log.events.select(*by, "case_id", "timestamp", "seq", "activity", F.row_number().over(log.in_case).cast("bigint").alias("pos"))
+    return _stepped(rows, log.in_case)
+
+
+def _states_of_variants(log: EventLog, by: Sequence[str] = ()) -> tuple[DataFrame, WindowSpec]:
+    """The states along each distinct trace, (by, pos, activity, state, parent), and the window of a trace."""
+    step = F.struct("timestamp", "seq", "activity")
+    traces = log.events.groupBy(*by, "case_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["activity"]).alias("trace"))
+    traces = traces.groupBy(*by, "trace").agg(F.lit(1)).select(*by, F.struct(F.xxhash64("trace").alias("x"), F.xxhash64(F.lit(1), "trace").alias("y"), F.size("trace").alias("n")).alias("variant"), "trace")
+    rows = traces.select(*by, "variant", F.posexplode("trace").alias("pos", "activity")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
+    window = Window.partitionBy(*by, "variant").orderBy("pos")
+    return _stepped(rows, window), window
+
+
+def prefix_states(log: EventLog, by: Sequence[str] = ()) -> DataFrame:
+    """States of the extended prefix automaton: state, parent, depth, first seen, number of events, head.
 
     A state that its parent saw first among its children carries on its parent's
     partition; every other one opens a partition, and is its head. The head of a state
-    is its nearest ancestor, itself included, that opened one, or the root's chain ('').
+    is its nearest ancestor, itself included, that opened one, or the root's chain
+    (0, 0). States are digests of their prefixes. With `by`, columns of the log that are
+    equal within a case, there is an automaton for each of their values.
     """
-    order = F.struct("timestamp", "case_id", "pos")
-    events = log.sequenced()
-    path = F.array_join(F.collect_list("activity").over(log.in_case.rowsBetween(Window.unboundedPreceding, 0)), "→")
-    events = events.select("case_id", "pos", order.alias("at"), "activity", path.alias("path"))
-    states = events.groupBy("path", F.col("pos").alias("depth"), "activity").agg(F.min("at").alias("seen"), F.count("*").alias("events"))
-    parent = F.when(F.col("depth") == 1, F.lit("")).otherwise(F.expr("substring(path, 1, length(path) - length(activity) - 1)"))
-    states = states.withColumn("parent", parent)
-    first = F.row_number().over(Window.partitionBy("parent").orderBy("seen")) == 1
-    opens = states.withColumn("opens", ~first)
-    # Along each distinct trace, the last state at or before a depth that opens a partition.
-    chains = log.variants().select(F.posexplode("trace").alias("i", "label"), F.array_join("trace", "→").alias("v"), "trace")
-    chains = chains.select("v", (F.col("i") + 1).alias("depth"), F.array_join(F.slice("trace", F.lit(1), F.col("i") + 1), "→").alias("path"))
-    chains = chains.join(opens.select("path", "opens"), "path")
-    head = F.last(F.when(F.col("opens"), F.col("path")), ignorenulls=True).over(Window.partitionBy("v").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
-    heads = chains.select("path", F.coalesce(head, F.lit("")).alias("head")).distinct()
-    return opens.join(heads, "path").select("path", "parent", "depth", "seen", "events", "head")
-
-
-def _entropy(parts: DataFrame, weight: str) -> DataFrame:
-    """(value, normalised): N ln N - sum w ln w over partitions."""
-    row = parts.agg(F.sum(weight).alias("n"), F.sum(xlogx(F.col(weight))).alias("x"))
+    by = list(by)
+    events = _states_of_events(log, by).withColumn("at", F.struct("timestamp", "case_id", "pos"))
+    states = events.groupBy(*by, "state", "parent", F.col("pos").alias("depth")).agg(F.min("at").alias("seen"), F.count("*").alias("events"))
+    first = F.row_number().over(Window.partitionBy(*by, "parent").orderBy("seen")) == 1
+    opened = states.withColumn("opens", ~first).where("opens").select(*by, "state", F.col("state").alias("opener"))
+    # Along each distinct trace, the last state at or before a position that opens a partition.
+    chains, along = _states_of_variants(log, by)
+    chains = chains.select(*by, "variant", "pos", "state").join(opened, [*by, "state"], "left")
+    head = F.last("opener", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    root = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+    heads = chains.select(*by, "state", F.coalesce(head, root).alias("head")).distinct()
+    return states.join(heads, [*by, "state"]).select(*by, "state", "parent", "depth", "seen", "events", "head")
+
+
+def _entropy(parts: DataFrame, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, normalised): N ln N - sum w ln w over partitions."""
+    row = parts.groupBy(*by).agg(F.sum(weight).alias("n"), F.sum(xlogx(F.col(weight))).alias("x"))
     value = xlogx(F.col("n")) - F.col("x")
     norm = F.when(xlogx(F.col("n")) > 0, value / xlogx(F.col("n"))).otherwise(0.0)
-    return row.select(F.round(F.coalesce(value, F.lit(0.0)), 6).alias("value"), F.round(F.coalesce(norm, F.lit(0.0)), 6).alias("normalised"))
+    return row.select(*by, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("value"), F.round(F.coalesce(norm, F.lit(0.0)), 6).alias("normalised"))
 
 
-def epa_entropy(log: EventLog) -> DataFrame:
+def epa_entropy(log: EventLog, by: Sequence[str] = ()) -> DataFrame:
     """Variant entropy (states per partition) and sequence entropy (events per partition), plain and normalised."""
-    parts = prefix_states(log).groupBy("head").agg(F.count("*").cast("double").alias("states"), F.sum("events").cast("double").alias("events"))
-    v = _entropy(parts, "states").select(F.lit("variant").alias("metric"), "value", "normalised")
-    return v.unionByName(_entropy(parts, "events").select(F.lit("sequence").alias("metric"), "value", "normalised"))
+    parts = prefix_states(log, by).groupBy(*by, "head").agg(F.count("*").cast("double").alias("states"), F.sum("events").cast("double").alias("events"))
+    v = _entropy(parts, "states", by).withColumn("metric", F.lit("variant"))
+    rows = v.unionByName(_entropy(parts, "events", by).withColumn("metric", F.lit("sequence")))
+    return rows.select(*by, "metric", "value", "normalised")
 
 
 def epa_entropy_forgetting(log: EventLog, mode: str = "linear", k: float = 1.0) -> DataFrame:
     """Sequence entropy with older events weighing less; the normaliser is that of the unweighted log."""
     bounds = log.events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-    path = F.array_join(F.collect_list("activity").over(log.in_case.rowsBetween(Window.unboundedPreceding, 0)), "→")
-    rows = log.events.select(path.alias("path"), "timestamp").crossJoin(F.broadcast(bounds))
+    rows = _states_of_events(log).select("state", "timestamp").crossJoin(F.broadcast(bounds))
     age = seconds_between(F.col("timestamp"), F.col("hi"))
     span = seconds_between(F.col("lo"), F.col("hi"))
     share = F.when(span > 0, age / span).otherwise(0.0)
     weight = 1 - share if mode == "linear" else F.exp(-k * share)
-    rows = rows.select("path", weight.alias("w")).join(prefix_states(log).select("path", "head"), "path")
-    parts = rows.groupBy("head").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    rows = rows.groupBy("state").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).join(prefix_states(log).select("state", "head"), "state")
+    parts = rows.groupBy("head").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     row = parts.agg(F.sum("w").alias("total"), F.sum(xlogx(F.col("w"))).alias("x"), F.sum("n").cast("double").alias("n"))
     value = xlogx(F.col("total")) - F.col("x")
     norm = F.when(xlogx(F.col("n")) > 0, value / xlogx(F.col("n"))).otherwise(0.0)
@@ -134,10 +165,9 @@ def enriched(log: EventLog, attributes: list[str]) -> EventLog:
 
 def n_ties(log: EventLog) -> DataFrame:
     """Sum of the depths of the prefix tree's leaves."""
-    v = log.variants().select("trace")
-    p = v.select(F.explode(F.sequence(F.lit(1), F.size("trace"))).alias("d"), "trace").select("d", F.array_join(F.slice("trace", F.lit(1), F.col("d")), "→").alias("path"), F.array_join(F.slice("trace", F.lit(1), F.col("d") - 1), "→").alias("parent")).distinct()
-    inner = p.select(F.col("parent").alias("path")).where("path <> ''").distinct()
-    return p.join(inner, "path", "left_anti").agg(F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("n_ties"))
+    p = _states_of_variants(log)[0].groupBy("state", "parent", "pos").agg(F.lit(1))
+    leaves = p.join(p.select(F.col("parent").alias("state")).distinct(), "state", "left_anti")
+    return leaves.agg(F.coalesce(F.sum("pos"), F.lit(0)).cast("bigint").alias("n_ties"))
 
 
 def encoded_variants(log: EventLog, top: int = MAX_VARIANTS) -> DataFrame:
@@ -170,22 +200,41 @@ def edit_distance(log: EventLog, top: int = MAX_VARIANTS) -> DataFrame:
     return v.crossJoin(F.broadcast(d)).select(F.round(F.when(pairs > 0, F.col("total") / pairs).otherwise(0.0), 6).alias("avg_edit_distance"), "variants_used")
 
 
+#: Edge sets a block holds; a task compares two blocks.
+_BLOCK = 1024
+
+
 def affinity(log: EventLog) -> DataFrame:
-    """Mean Jaccard similarity of the directly-follows sets of two cases.
+    """Mean Jaccard similarity of the directly-follows sets of two cases; two cases without edges count 0.
 
-    Variants are joined on shared edges, so only variants that share one meet; equal
-    variants count 1, two variants without edges 0.
+    Variants with one set of edges are one class with its number of cases. Classes are
+    dealt to blocks, and a task adds up the similarities of two blocks by a product of
+    their matrices of edges, so no pair is ever a row.
     """
-    v = log.variants().select(F.array_join("trace", "→").alias("v"), "n_cases", "trace")
-    pairs = F.array_distinct(F.zip_with(F.slice("trace", F.lit(1), F.greatest(F.size("trace") - 1, F.lit(0))), F.slice("trace", F.lit(2), F.size("trace")), lambda a, b: F.concat_ws("→", a, b)))
-    e = v.select("v", "n_cases", F.explode(pairs).alias("edge"), F.size(pairs).alias("m"))
-    a = e.select(F.col("v").alias("a"), F.col("n_cases").alias("n_a"), F.col("m").alias("m_a"), "edge")
-    b = e.select(F.col("v").alias("b"), F.col("n_cases").alias("n_b"), F.col("m").alias("m_b"), "edge")
-    met = a.join(b, "edge").where("a < b").groupBy("a", "b", "n_a", "n_b", "m_a", "m_b").agg(F.count("*").alias("both"))
-    cross = met.agg(F.coalesce(F.sum(2.0 * F.col("n_a") * F.col("n_b") * F.col("both") / (F.col("m_a") + F.col("m_b") - F.col("both"))), F.lit(0.0)).alias("x"))
-    own = F.when(F.size(pairs) > 0, F.col("n_cases") * (F.col("n_cases") - 1)).otherwise(0)
-    base = v.agg(F.sum("n_cases").alias("n"), F.sum(own).alias("same"))
-    n = F.col("n")
+    pairs = F.zip_with(F.slice("trace", F.lit(1), F.greatest(F.size("trace") - 1, F.lit(0))), F.slice("trace", F.lit(2), F.size("trace")), lambda a, b: F.concat_ws("→", a, b))
+    sets = log.variants().select(F.array_sort(F.array_distinct(pairs)).alias("edges"), "n_cases").groupBy("edges").agg(F.sum("n_cases").alias("n"))
+    base = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cases"), F.coalesce(F.sum(F.when(F.size("edges") > 0, F.col("n") * (F.col("n") - 1)).otherwise(0)), F.lit(0)).alias("same"), F.count("*").alias("sets"))
+    held = sets.where(F.size("edges") > 0).crossJoin(F.broadcast(base.select(F.ceil(F.col("sets") / _BLOCK).cast("int").alias("blocks"))))
+    held = held.withColumn("block", F.pmod(F.xxhash64("edges"), F.col("blocks")).cast("int"))
+    # Block k meets every block once: itself, and each other as the lower or the higher one.
+    held = held.select("edges", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = held.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("left"), F.col("block") == F.col("other"), "edges", "n").toDF("lo", "hi", "left", "own", "edges", "n")
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(np.concatenate(part["edges"].to_numpy()))
+        size = part["edges"].map(len).to_numpy()
+        held = np.zeros((len(part), len(names)), dtype=np.float32)
+        held[np.repeat(np.arange(len(part)), size), codes] = 1
+        n, left, own = part["n"].to_numpy(float), part["left"].to_numpy(bool), bool(part["own"].iloc[0])
+        a, b = (slice(None), slice(None)) if own else (left, ~left)
+        both = (held[a] @ held[b].T).astype(float)
+        alike = both / (size[a][:, None] + size[b][None, :] - both)
+        if own:
+            np.fill_diagonal(alike, 0.0)
+        return pd.DataFrame({"x": [float(n[a] @ alike @ n[b]) * (1.0 if own else 2.0)]})
+
+    cross = held.groupBy("lo", "hi").applyInPandas(summed, "x double").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"))
+    n = F.col("cases")
     return base.crossJoin(F.broadcast(cross)).select(F.round(F.when(n > 1, (F.col("same") + F.col("x")) / (n * (n - 1))), 6).alias("affinity"))
 
 
@@ -213,8 +262,6 @@ def lempel_ziv(log: EventLog) -> DataFrame:
 
 def structural_variety(log: EventLog, top: int = MAX_VARIANTS) -> DataFrame:
     """Sum of merge heights of the average-linkage tree of at most `top` variants."""
-    import numpy as np
-
     spark = log.df.sparkSession
     rows = variant_distances(log, top).collect()
     n = max((r["j"] for r in rows), default=1)

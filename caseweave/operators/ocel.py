@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between
@@ -57,18 +57,32 @@ def longest_lived(log: ObjectLog, top: int = 50) -> DataFrame:
     return _lives(log).orderBy(F.desc("lifetime_s"), "oid").limit(top)
 
 
-def _pairs(log: ObjectLog) -> DataFrame:
-    """(a, b, type_a, type_b) of distinct objects with a common event, a < b."""
-    r = log.relations.select("eid", "oid", "type").distinct()
-    a = r.select("eid", F.col("oid").alias("a"), F.col("type").alias("type_a"))
-    b = r.select("eid", F.col("oid").alias("b"), F.col("type").alias("type_b"))
-    return a.join(b, "eid").where("a < b").select("a", "b", "type_a", "type_b").distinct()
+#: Classes of objects that one task pairs within an event; more are dealt to several tasks.
+_TILE = 512
 
 
 def interaction_graph(log: ObjectLog) -> DataFrame:
-    """Object pairs with a common event, counted by unordered pair of types."""
-    lo, hi = F.least("type_a", "type_b"), F.greatest("type_a", "type_b")
-    return _pairs(log).groupBy(lo.alias("source"), hi.alias("target")).agg(F.count("*").alias("pairs"))
+    """Object pairs with a common event, counted by unordered pair of types; an object is an oid with its type.
+
+    Objects of one type with the same events are one class with a size, so an event with
+    very many objects that occur nowhere else pairs a few classes. Classes are told by the
+    number of their events and 128 bits of their hashes. An event of many classes is cut
+    into tiles of its pairs.
+    """
+    r = log.relations.where("eid IS NOT NULL AND oid IS NOT NULL AND type IS NOT NULL").select("eid", "oid", "type").distinct()
+    sets = r.groupBy("oid", "type").agg(F.bit_xor(F.xxhash64("eid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "eid")).alias("y"), F.count("*").alias("m"))
+    classes = sets.groupBy("type", "x", "y", "m").agg(F.min("oid").alias("oid"), F.count("*").alias("n")).select("oid", "type", "n")
+    met = r.join(classes, ["oid", "type"])
+    tiles = met.groupBy("eid").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("tiles"))
+    met = met.join(tiles, "eid")
+    side = lambda x, tile: met.select("eid", tile.alias("tile"), *(F.col(c).alias(f"{c}_{x}") for c in ("oid", "type", "n")))
+    a = side("a", F.pmod(F.xxhash64("oid", "type"), F.col("tiles")).cast("int"))
+    b = side("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    both = a.join(b, ["eid", "tile"]).where(F.struct("oid_a", "type_a") < F.struct("oid_b", "type_b"))
+    apart = both.select("oid_a", "type_a", "n_a", "oid_b", "type_b", "n_b").distinct().select("type_a", "type_b", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    within = classes.where("n > 1").select(F.col("type").alias("type_a"), F.col("type").alias("type_b"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    rows = apart.union(within).groupBy(F.least("type_a", "type_b").alias("source"), F.greatest("type_a", "type_b").alias("target"))
+    return rows.agg(F.sum("pairs").alias("pairs"))
 
 
 def interaction_degree(log: ObjectLog) -> DataFrame:
@@ -112,27 +126,36 @@ def object_graph(log: ObjectLog, kind: str) -> DataFrame:
 
     For objects of a common event: descendants - b starts at it and a started before;
     inheritance - a ends and b starts there; cobirth - both start there; codeath -
-    both end there.
+    both end there. An object is an oid with its type.
+
+    An object starts and ends once, so a pair is in such a relation at one event only:
+    the pairs are a sum over events of products of counts, and none is formed.
     """
     if kind == "interaction":
         return interaction_graph(log)
     order = F.struct("timestamp", "eid")
-    life = log.relations.groupBy("oid", "type").agg(F.min_by("eid", order).alias("born"), F.max_by("eid", order).alias("dead"))
-    r = log.relations.select("eid", "oid").distinct().join(life, "oid")
-    a = r.select("eid", *(F.col(c).alias(f"{c}_a") for c in ("oid", "type", "born", "dead")))
-    b = r.select("eid", *(F.col(c).alias(f"{c}_b") for c in ("oid", "type", "born", "dead")))
-    both = a.join(b, "eid").where("oid_a <> oid_b")
-    test: dict[str, Column] = {
-        "descendants": (F.col("born_b") == F.col("eid")) & (F.col("born_a") != F.col("eid")),
-        "inheritance": (F.col("born_b") == F.col("eid")) & (F.col("dead_a") == F.col("eid")),
-        "cobirth": (F.col("born_a") == F.col("eid")) & (F.col("born_b") == F.col("eid")) & (F.col("oid_a") < F.col("oid_b")),
-        "codeath": (F.col("dead_a") == F.col("eid")) & (F.col("dead_b") == F.col("eid")) & (F.col("oid_a") < F.col("oid_b")),
-    }
-    rows = both.where(test[kind]).select("oid_a", "oid_b", "type_a", "type_b").distinct()
-    ordered = kind in ("descendants", "inheritance")
-    s = F.col("type_a") if ordered else F.least("type_a", "type_b")
-    t = F.col("type_b") if ordered else F.greatest("type_a", "type_b")
-    return rows.groupBy(s.alias("source"), t.alias("target")).agg(F.count("*").alias("pairs"))
+    r = log.relations.where("eid IS NOT NULL AND oid IS NOT NULL AND type IS NOT NULL")
+    life = r.groupBy("oid", "type").agg(F.min_by("eid", order).alias("born"), F.max_by("eid", order).alias("dead"))
+    counted = lambda df, eid, what: df.select(F.col(eid).alias("eid"), "type", F.lit(what).alias("what"))
+    marks = [counted(r.select("eid", "oid", "type").distinct(), "eid", "all"), counted(life, "born", "born"), counted(life, "dead", "dead"), counted(life.where("born = dead"), "born", "both")]
+    wanted = {"descendants": marks[:2], "inheritance": marks[1:], "cobirth": marks[1:2], "codeath": marks[2:3]}[kind]
+    rows = wanted[0]
+    for more in wanted[1:]:
+        rows = rows.unionByName(more)
+    per = rows.groupBy("eid", "type").agg(*(F.count_if(F.col("what") == w).alias(w) for w in ("all", "born", "dead", "both")))
+    # At most as many rows an event as there are types.
+    a = per.select("eid", *(F.col(c).alias(f"{c}_a") for c in ("type", "all", "born", "dead", "both")))
+    b = per.select("eid", *(F.col(c).alias(f"{c}_b") for c in ("type", "all", "born", "dead", "both")))
+    same = F.col("type_a") == F.col("type_b")
+    if kind == "descendants":
+        n = (F.col("all_a") - F.col("born_a")) * F.col("born_b")
+    elif kind == "inheritance":
+        n = F.col("dead_a") * F.col("born_b") - F.when(same, F.col("both_a")).otherwise(0)
+    else:
+        c = "born" if kind == "cobirth" else "dead"
+        n = F.when(same, F.expr(f"{c}_a * ({c}_a - 1) div 2")).when(F.col("type_a") < F.col("type_b"), F.col(f"{c}_a") * F.col(f"{c}_b")).otherwise(0)
+    pairs = a.join(b, "eid").select("type_a", "type_b", n.cast("bigint").alias("n")).where("n > 0")
+    return pairs.groupBy(F.col("type_a").alias("source"), F.col("type_b").alias("target")).agg(F.sum("n").alias("pairs"))
 
 
 def variable_arcs(log: ObjectLog) -> DataFrame:
