@@ -293,21 +293,7 @@ def variants_of(log: EventLog, most: int) -> dict[tuple[str, ...], int]:
 
 def inductive(log: EventLog, noise: float = 0.0) -> DataFrame:
     """Process tree as arcs from each operator node to its children; nodes are numbered in depth-first order."""
-    rows: list[tuple[str, str, str]] = []
-
-    def walk(node: Tree, name: str) -> None:
-        for k, child in enumerate(node[1:] if isinstance(node, tuple) else ()):
-            label = "τ" if child is None else child if isinstance(child, str) else child[0]
-            below = f"{name}.{k}"
-            rows.append((node[0], name, f"{below}:{label}"))
-            walk(child, below)
-
-    tree = mine_tree(log.variants(), noise)
-    if isinstance(tree, tuple):
-        walk(tree, "0")
-    elif tree is not None:
-        rows.append(("activity", "0", tree))
-    return _arcs(log, rows)
+    return _tree_arcs(log, mine_tree(log.variants(), noise))
 
 
 def net_of_tree(tree: Tree) -> list[tuple[str, str, str]]:
@@ -358,6 +344,194 @@ def inductive_net(log: EventLog, noise: float = 0.0) -> DataFrame:
     return _arcs(log, net_of_tree(mine_tree(log.variants(), noise)))
 
 
+class Unstructured(ValueError):
+    """A net that is not built from blocks, so it has no process tree."""
+
+
+def _joined(op: str, *kids: Tree) -> Tree:
+    """An operator node, without nested nodes of a sequence, choice or concurrency, and without silent steps that do nothing."""
+    flat: list[Tree] = []
+    for k in kids:
+        flat += k[1:] if isinstance(k, tuple) and k[0] == op else [k]
+    if op in ("sequence", "parallel"):
+        flat = [k for k in flat if k is not None]
+    if op == "xor" and None in flat:
+        flat = [k for k in flat if k is not None] + [None]
+    return (op, *flat) if len(flat) > 1 else flat[0] if flat else None
+
+
+def tree_of_net(arcs: list[tuple[str, str, str]]) -> Tree:
+    """The process tree of a workflow net given by its arcs, from place source to place sink.
+
+    Blocks of the net are replaced by one transition until one is left: transitions
+    between the same places (xor), two around a place of their own (sequence), two
+    between places that fill and empty together (parallel), one there and one back
+    (loop), and one that takes and gives one token of a place (loop around nothing);
+    places that hold a token just when others do are left out.
+    Each replacement keeps the net's language. Raises Unstructured where none applies.
+    Transitions named tau and a number are silent; more activities than the miners take are an error.
+    """
+    take: dict[str, set[str]] = {}
+    give: dict[str, set[str]] = {}
+    for kind, a, b in arcs:
+        t, place, side = (b, a, take) if kind == "place" else (a, b, give)
+        take.setdefault(t, set())
+        give.setdefault(t, set())
+        side[t].add(place)
+    if len(take) > 4 * MAX_ACTIVITIES:
+        raise ValueError(f"more than {MAX_ACTIVITIES} activities")
+    tree: dict[str, Tree] = {t: None if t.startswith("tau") and t[3:].isdigit() else t for t in take}
+    into: dict[str, set[str]] = {"source": set(), "sink": set()}
+    out: dict[str, set[str]] = {"source": set(), "sink": set()}
+    for t in take:
+        for p in take[t]:
+            out.setdefault(p, set()).add(t)
+            into.setdefault(p, set())
+        for p in give[t]:
+            into.setdefault(p, set()).add(t)
+            out.setdefault(p, set())
+    if into["source"] or out["sink"]:
+        raise Unstructured("the net's source has arcs in, or its sink arcs out")
+    if any(not take[t] or not give[t] for t in take):
+        raise Unstructured("a transition has no place before it, or none after it")
+    made = 0
+
+    def drop(t: str) -> None:
+        for p in take.pop(t):
+            out[p].discard(t)
+        for p in give.pop(t):
+            into[p].discard(t)
+        del tree[t]
+
+    def drop_place(p: str) -> None:
+        for t in out.pop(p):
+            take[t].discard(p)
+        for t in into.pop(p):
+            give[t].discard(p)
+
+    def choices() -> bool:
+        groups: dict[tuple, list[str]] = {}
+        for t in sorted(take):
+            groups.setdefault((frozenset(take[t]), frozenset(give[t])), []).append(t)
+        many = [g for g in groups.values() if len(g) > 1]
+        for g in many:
+            tree[g[0]] = _joined("xor", *(tree[t] for t in g))
+            for t in g[1:]:
+                drop(t)
+        return bool(many)
+
+    def sequences() -> bool:
+        found = False
+        for p in sorted(into):
+            if len(into[p]) == len(out[p]) == 1:
+                (a,), (b,) = into[p], out[p]
+                if a != b and give[a] == {p} and take[b] == {p}:
+                    tree[a] = _joined("sequence", tree[a], tree[b])
+                    after = set(give[b])
+                    drop(b)
+                    drop_place(p)
+                    for q in after:
+                        give[a].add(q)
+                        into[q].add(a)
+                    found = True
+        return found
+
+    def parallels() -> bool:
+        groups: dict[tuple, list[str]] = {}
+        for t in sorted(take):
+            if len(take[t]) == len(give[t]) == 1:
+                (p,), (q,) = take[t], give[t]
+                if p != q and out[p] == into[q] == {t} and into[p] and out[q]:
+                    groups.setdefault((frozenset(into[p]), frozenset(out[q])), []).append(t)
+        many = [g for g in groups.values() if len(g) > 1]
+        for g in many:
+            tree[g[0]] = _joined("parallel", *(tree[t] for t in g))
+            for t in g[1:]:
+                (p,), (q,) = take[t], give[t]
+                drop(t)
+                drop_place(p)
+                drop_place(q)
+        return bool(many)
+
+    def spare_places() -> bool:
+        """Places that fill and empty with another place, or with a transition between places of its own, change nothing."""
+        first: dict[tuple, str] = {}
+        spare = [p for p in sorted(into) if p not in ("source", "sink") and first.setdefault((frozenset(into[p]), frozenset(out[p])), p) != p]
+        around = {}
+        for t in take:
+            if len(take[t]) == len(give[t]) == 1:
+                (p,), (q,) = take[t], give[t]
+                if p != q and out[p] == into[q] == {t} and into[p] and out[q]:
+                    around[frozenset(into[p]), frozenset(out[q])] = t
+        spare += [p for key, p in first.items() if key in around and around[key] not in key[0] | key[1]]
+        for p in spare:
+            drop_place(p)
+        return bool(spare)
+
+    def loops() -> bool:
+        nonlocal made
+        for t in sorted(take):
+            if len(take[t]) != 1 or len(give[t]) != 1:
+                continue
+            (p,), (q,) = take[t], give[t]
+            if p == q:
+                # The place is cut in two, with the loop between them.
+                made += 1
+                after = f"{p}'{made}"
+                rest = out[p] - {t}
+                into[p].discard(t)
+                into[after], out[after], out[p] = {t}, rest, {t}
+                for x in rest:
+                    take[x] = take[x] - {p} | {after}
+                give[t] = {after}
+                tree[t] = ("loop", None, tree[t])
+                return True
+            back = sorted(out[q] & into[p]) if out[p] == {t} and into[q] == {t} else []
+            back = [x for x in back if take[x] == {q} and give[x] == {p}]
+            if back:
+                tree[t] = ("loop", tree[t], tree[back[0]])
+                drop(back[0])
+                return True
+        return False
+
+    while choices() or sequences() or parallels() or spare_places() or loops():
+        pass
+    if len(take) == 1:
+        (t,) = take
+        if take[t] == {"source"} and give[t] == {"sink"} and set(into) == {"source", "sink"}:
+            return tree[t]
+    raise Unstructured(f"{len(take)} transitions are left that form no block")
+
+
+def _tree_arcs(log: EventLog, tree: Tree) -> DataFrame:
+    rows: list[tuple[str, str, str]] = []
+
+    def walk(node: Tree, name: str) -> None:
+        for k, child in enumerate(node[1:] if isinstance(node, tuple) else ()):
+            label = "τ" if child is None else child if isinstance(child, str) else child[0]
+            below = f"{name}.{k}"
+            rows.append((node[0], name, f"{below}:{label}"))
+            walk(child, below)
+
+    if isinstance(tree, tuple):
+        walk(tree, "0")
+    elif tree is not None:
+        rows.append(("activity", "0", tree))
+    return _arcs(log, rows)
+
+
+def alpha_tree(log: EventLog, loops: bool = False) -> DataFrame:
+    """The alpha miner's net as a process tree, in the arcs of `inductive`.
+
+    A net that is not built from blocks gives one row of kind unstructured with the reason.
+    """
+    arcs = [tuple(r) for r in alpha(log, loops).collect()]
+    try:
+        return _tree_arcs(log, tree_of_net(arcs))
+    except Unstructured as reason:
+        return _arcs(log, [("unstructured", "0", str(reason))])
+
+
 def object_centric_net(log: ObjectLog, noise: float = 0.2) -> DataFrame:
     """A process tree for each object type, with arcs of activities that take several objects marked variable."""
     types = [r["type"] for r in log.relations.select("type").distinct().orderBy("type").collect()]
@@ -437,15 +611,3 @@ def emd(a: EventLog, b: EventLog, top: int = EMD_VARIANTS) -> DataFrame:
     """Earth mover's distance of two logs over their `top` variants, renormalised."""
     value = language_distance(variants_of(a, top), variants_of(b, top))
     return a.df.sparkSession.createDataFrame([(round(value, 6),)], "emd double")
-
-
-def slice_metrics(log: EventLog, slices: DataFrame) -> DataFrame:
-    """Size metrics of whole cases by slice; slices is (case_id, slice) and may repeat cases."""
-    rows = log.traces().join(slices, "case_id")
-    return rows.groupBy("slice").agg(
-        F.sum("n_events").cast("bigint").alias("magnitude"),
-        F.count("*").alias("support"),
-        F.round(F.avg("n_events"), 6).alias("avg_length"),
-        F.count_distinct(F.array_join("trace", "→")).alias("n_variants"),
-        F.round(F.avg("duration_s"), 6).alias("avg_duration_s"),
-    )

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.operators import access, compare, complexity, drift, evolution, miners, ocel, resources, simulation, usage
+from caseweave.operators import access, compare, complexity, drift, evolution, metric_series, miners, ocel, resources, simulation, usage
 from caseweave.plans.tables import EDGES, EV, OC, SE, TRACES, by_parity, by_session, by_session_timed, by_user, object_log, table, usage_events
 
 QUERY_VECTOR = [((k * 37) % 19 - 9) / 10.0 for k in range(64)]
@@ -124,7 +124,10 @@ QUERIES = {
     "hourly": lambda s, d: usage.hourly(usage_events(s, d)),
     "weekday": lambda s, d: usage.weekday(usage_events(s, d)),
     "usage_top": lambda s, d: usage.top(usage_events(s, d), "user_id"),
-    "slice_metrics": lambda s, d: miners.slice_metrics(by_session(s, d), evolution.slices_absolute(by_session(s, d), 6).select("case_id", "slice")),
+    "metric_series": lambda s, d: metric_series.metric_series(by_session(s, d), evolution.slices_absolute(by_session(s, d), 6).select("case_id", "slice")),
+    "metric_series_sliding": lambda s, d: metric_series.metric_series(by_session(s, d), evolution.slices_sliding(by_session(s, d), 7, 3).select("case_id", "slice")),
+    "alpha_tree": lambda s, d: miners.alpha_tree(by_session(s, d), loops=True),
+    "slice_metrics": lambda s, d: metric_series.slice_metrics(by_session(s, d), evolution.slices_absolute(by_session(s, d), 6).select("case_id", "slice")),
 }
 
 _LIVES = "lv AS (SELECT oid, type, count(DISTINCT eid) AS n, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0::DOUBLE AS d, arg_min(eid, struct_pack(t := timestamp, e := eid)) AS born, arg_max(eid, struct_pack(t := timestamp, e := eid)) AS dead FROM rel GROUP BY oid, type)"
@@ -174,7 +177,40 @@ fr AS (SELECT seq, max(end_timestamp) OVER (PARTITION BY resource ORDER BY times
 de AS (SELECT case_id, en.seq, activity, enabled_at, available_since, greatest((epoch_us(timestamp) - epoch_us(greatest(enabled_at, coalesce(available_since, enabled_at)))) / 1000000.0::DOUBLE, 0.0) AS delay_s FROM en JOIN fr ON en.seq = fr.seq)"""
 _BANDED = SE.replace("event_type AS activity", "event_type || '|' || CAST(CAST(floor(value / 50.0) AS BIGINT) AS VARCHAR) AS activity")
 
+_SLICED = """sl AS (SELECT case_id, CAST(greatest(CAST(ceil(((epoch_us(s) - epoch_us(lo)) / 1000000.0::DOUBLE) / ((epoch_us(hi) - epoch_us(lo)) / 1000000.0::DOUBLE) * 6) AS BIGINT) - 1, 0) AS INTEGER) AS slice FROM tr, (SELECT min(s) AS lo, max(s) AS hi FROM tr))"""
+_SLID = """sl AS (SELECT case_id, CAST((epoch_us(ws) - epoch_us(lo)) // 259200000000 AS INTEGER) AS slice FROM tr JOIN (SELECT unnest(generate_series(lo, hi, INTERVAL 3 DAY)) AS ws, lo FROM (SELECT min(s) AS lo, max(s) AS hi FROM tr)) ON s >= ws AND s < ws + INTERVAL 7 DAY)"""
+
+
+def _series(slices: str) -> str:
+    """All metrics by slice, each from its definition over whole prefixes."""
+    entropy = lambda w: f"({_XLX.format(f'CAST(sum({w}) AS DOUBLE)')}) - sum({_XLX.format(f'CAST({w} AS DOUBLE)')})"
+    plain = lambda w: f"({_XLX.format(f'CAST(sum({w}) AS DOUBLE)')})"
+    return f"""WITH {SE}, {TRACES}, {slices},
+e AS (SELECT slice, ev.case_id, activity, timestamp, seq, lead(activity) OVER w AS target, lead(seq) OVER w AS nseq, row_number() OVER w AS k,
+  (epoch_us(lead(timestamp) OVER w) - epoch_us(timestamp)) / 1000000.0::DOUBLE AS gap, string_agg(activity, '→') OVER (PARTITION BY slice, ev.case_id ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) AS path
+  FROM ev JOIN sl ON ev.case_id = sl.case_id WINDOW w AS (PARTITION BY slice, ev.case_id ORDER BY timestamp, seq)),
+ls AS (SELECT slice, case_id, list(activity ORDER BY timestamp, seq) AS a FROM e GROUP BY ALL),
+m AS (SELECT slice, CAST(sum(len(a)) AS BIGINT) AS magnitude, count(*) AS support, round(avg(len(list_distinct(a))), 6) AS level_of_detail, CAST(min(len(a)) AS INTEGER) AS min_length, round(avg(len(a)), 6) AS avg_length, CAST(max(len(a)) AS INTEGER) AS max_length,
+  count(DISTINCT a) AS n_variants, round(100.0::DOUBLE * count(DISTINCT a) / count(*), 6) AS pct_distinct_traces FROM ls GROUP BY slice),
+ac AS (SELECT slice, count(*) AS n FROM e GROUP BY slice, activity),
+kv AS (SELECT slice, count(*) AS variety, round(-sum((n / t) * ln(n / t)), 6) AS activity_variation FROM (SELECT slice, n, CAST(sum(n) OVER (PARTITION BY slice) AS DOUBLE) AS t FROM ac) GROUP BY slice),
+ec AS (SELECT slice, activity <> target AS moved, count(*) AS c FROM e WHERE nseq IS NOT NULL GROUP BY slice, activity, target),
+eg AS (SELECT slice, count(*) AS edges, CAST(sum(c) AS DOUBLE) AS steps, coalesce(sum(c) FILTER (WHERE moved), 0) AS moves, CAST(sum(c * c) AS DOUBLE) AS squares FROM ec GROUP BY slice),
+gp AS (SELECT slice, round(avg(lo), 6) AS low, round(avg(me), 6) AS avg_time_diff_s FROM (SELECT slice, min(gap) AS lo, avg(gap) AS me FROM e WHERE nseq IS NOT NULL GROUP BY slice, case_id) GROUP BY slice),
+st AS (SELECT slice, path, CASE WHEN k = 1 THEN '' ELSE left(path, length(path) - length(activity) - 1) END AS parent, k, count(*) AS events, min(struct_pack(t := timestamp, c := case_id, k := k)) AS seen FROM e GROUP BY ALL),
+op AS (SELECT *, row_number() OVER (PARTITION BY slice, parent ORDER BY seen) > 1 AS opens FROM st),
+hd AS (SELECT DISTINCT slice, path, coalesce(last_value(CASE WHEN opens THEN path END IGNORE NULLS) OVER (PARTITION BY slice, case_id ORDER BY e_k ROWS UNBOUNDED PRECEDING), '') AS head FROM (SELECT e.slice, e.case_id, e.k AS e_k, e.path, opens FROM e JOIN op ON e.slice = op.slice AND e.path = op.path)),
+gr AS (SELECT st.slice, head, count(*) AS s, sum(events) AS n FROM hd JOIN st ON hd.slice = st.slice AND hd.path = st.path GROUP BY ALL),
+en AS (SELECT slice, round({entropy('s')}, 6) AS variant_entropy, round(({entropy('s')}) / nullif({plain('s')}, 0.0), 6) AS vn, round({entropy('n')}, 6) AS sequence_entropy, round(({entropy('n')}) / nullif({plain('n')}, 0.0), 6) AS sn FROM gr GROUP BY slice)
+SELECT m.*, variety, activity_variation, round(coalesce(moves, 0) / CAST(magnitude AS DOUBLE), 6) AS order_variation, coalesce(edges, 0) AS edges, round(1 - coalesce(edges, 0) / CAST(variety * variety AS DOUBLE), 6) AS structure,
+round(pow(10.0::DOUBLE, 0.08::DOUBLE * (1 + coalesce(edges, 0) - variety)), 6) AS acyclic_paths, round(1 - sqrt(greatest(squares - steps * steps / CAST(variety * variety AS DOUBLE), 0.0)) / steps, 6) AS deviation_from_random,
+coalesce(low, 0.0) AS time_granularity_s, avg_time_diff_s, variant_entropy, coalesce(vn, 0.0) AS variant_entropy_normalised, sequence_entropy, coalesce(sn, 0.0) AS sequence_entropy_normalised
+FROM m JOIN kv ON m.slice = kv.slice LEFT JOIN eg ON m.slice = eg.slice LEFT JOIN gp ON m.slice = gp.slice JOIN en ON m.slice = en.slice"""
+
+
 ORACLE_SQL = {
+    "metric_series": _series(_SLICED),
+    "metric_series_sliding": _series(_SLID),
     "enriched_entropy": f"WITH {_BANDED}, {_LIST}, {_VAR}, {_STATES}, g AS (SELECT head, count(*) AS s, sum(events) AS e FROM hd JOIN st ON hd.path = st.path GROUP BY head) {_ent('g', 's', 'variant')} UNION ALL {_ent('g', 'e', 'sequence')}",
     "drift_frobenius": f"""WITH {SE}, {TRACES}, {EDGES}, {_EXPLODED_W}, f AS (SELECT w, source, target, count(*) AS n FROM ed JOIN wn ON ed.case_id = wn.case_id GROUP BY ALL), k AS (SELECT DISTINCT source, target FROM f), w AS (SELECT DISTINCT w FROM f),
 g AS (SELECT w.w, k.source, k.target, coalesce(n, 0) AS n FROM w CROSS JOIN k LEFT JOIN f ON f.w = w.w AND f.source = k.source AND f.target = k.target)
