@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between, xlogx
 from caseweave.log import EventLog
+from caseweave.operators.graphs import in_block_pairs
 
 #: Encoded activities start here: a block of letters that sorts and compares by single characters.
 _FIRST_CHAR = 0x4E00
@@ -213,12 +214,8 @@ def affinity(log: EventLog) -> DataFrame:
     """
     pairs = F.zip_with(F.slice("trace", F.lit(1), F.greatest(F.size("trace") - 1, F.lit(0))), F.slice("trace", F.lit(2), F.size("trace")), lambda a, b: F.concat_ws("→", a, b))
     sets = log.variants().select(F.array_sort(F.array_distinct(pairs)).alias("edges"), "n_cases").groupBy("edges").agg(F.sum("n_cases").alias("n"))
-    base = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cases"), F.coalesce(F.sum(F.when(F.size("edges") > 0, F.col("n") * (F.col("n") - 1)).otherwise(0)), F.lit(0)).alias("same"), F.count("*").alias("sets"))
-    held = sets.where(F.size("edges") > 0).crossJoin(F.broadcast(base.select(F.ceil(F.col("sets") / _BLOCK).cast("int").alias("blocks"))))
-    held = held.withColumn("block", F.pmod(F.xxhash64("edges"), F.col("blocks")).cast("int"))
-    # Block k meets every block once: itself, and each other as the lower or the higher one.
-    held = held.select("edges", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    held = held.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("left"), F.col("block") == F.col("other"), "edges", "n").toDF("lo", "hi", "left", "own", "edges", "n")
+    base = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cases"), F.coalesce(F.sum(F.when(F.size("edges") > 0, F.col("n") * (F.col("n") - 1)).otherwise(0)), F.lit(0)).alias("same"))
+    held = in_block_pairs(sets.where(F.size("edges") > 0), "edges", _BLOCK)
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         codes, names = pd.factorize(np.concatenate(part["edges"].to_numpy()))

@@ -293,7 +293,7 @@ def variants_of(log: EventLog, most: int) -> dict[tuple[str, ...], int]:
 
 def inductive(log: EventLog, noise: float = 0.0) -> DataFrame:
     """Process tree as arcs from each operator node to its children; nodes are numbered in depth-first order."""
-    return _tree_arcs(log, mine_tree(log.variants(), noise))
+    return _arcs(log, _tree_rows(mine_tree(log.variants(), noise)))
 
 
 def net_of_tree(tree: Tree) -> list[tuple[str, str, str]]:
@@ -503,7 +503,7 @@ def tree_of_net(arcs: list[tuple[str, str, str]]) -> Tree:
     raise Unstructured(f"{len(take)} transitions are left that form no block")
 
 
-def _tree_arcs(log: EventLog, tree: Tree) -> DataFrame:
+def _tree_rows(tree: Tree) -> list[tuple[str, str, str]]:
     rows: list[tuple[str, str, str]] = []
 
     def walk(node: Tree, name: str) -> None:
@@ -517,7 +517,7 @@ def _tree_arcs(log: EventLog, tree: Tree) -> DataFrame:
         walk(tree, "0")
     elif tree is not None:
         rows.append(("activity", "0", tree))
-    return _arcs(log, rows)
+    return rows
 
 
 def alpha_tree(log: EventLog, loops: bool = False) -> DataFrame:
@@ -525,22 +525,40 @@ def alpha_tree(log: EventLog, loops: bool = False) -> DataFrame:
 
     A net that is not built from blocks gives one row of kind unstructured with the reason.
     """
-    arcs = [tuple(r) for r in alpha(log, loops).collect()]
+    return net_tree(alpha(log, loops))
+
+
+def net_tree(net: DataFrame) -> DataFrame:
+    """The process tree of a net given as arcs (kind, source, target), in the arcs of `inductive`; see `tree_of_net`."""
+    most = 16 * MAX_ACTIVITIES**2
+    arcs = [(r["kind"], r["source"], r["target"]) for r in net.limit(most + 1).collect()]
+    if len(arcs) > most:
+        raise ValueError("more arcs than a net of the miners' activities has")
     try:
-        return _tree_arcs(log, tree_of_net(arcs))
+        rows = _tree_rows(tree_of_net(arcs))
     except Unstructured as reason:
-        return _arcs(log, [("unstructured", "0", str(reason))])
+        rows = [("unstructured", "0", str(reason))]
+    return net.sparkSession.createDataFrame(rows, "kind string, source string, target string")
 
 
 def object_centric_net(log: ObjectLog, noise: float = 0.2) -> DataFrame:
-    """A process tree for each object type, with arcs of activities that take several objects marked variable."""
-    types = [r["type"] for r in log.relations.select("type").distinct().orderBy("type").collect()]
-    out = None
+    """One net for all object types: (kind, source, target, type, variable), an arc a row.
+
+    Each type's net is that of its inductive tree, with places and silent steps of its
+    own (named type:place); the nets meet in the activities. An arc of an activity whose
+    events hold several objects of the type, or at times none, is variable.
+    """
+    types = [r["type"] for r in log.relations.select("type").distinct().orderBy("type").limit(MAX_ACTIVITIES).collect()]
+    marks = ocel.variable_arcs(log).where("variable").limit(MAX_ACTIVITIES**2).collect()
+    variable = {(r["activity"], r["type"]) for r in marks}
+    rows = []
     for t in types:
-        rows = inductive(log.flatten(t), noise).withColumn("type", F.lit(t))
-        out = rows if out is None else out.unionByName(rows)
-    marks = ocel.variable_arcs(log).where("variable").select(F.lit("variable").alias("kind"), F.col("type").alias("source"), F.col("activity").alias("target"), "type")
-    return out.unionByName(marks)
+        silent = lambda x: x.startswith("tau") and x[3:].isdigit()
+        for kind, a, b in net_of_tree(mine_tree(log.flatten(t).variants(), noise)):
+            step = b if kind == "place" else a
+            own = lambda x: f"{t}:{x}" if x != step or silent(step) else x  # noqa: B023, E731
+            rows.append((kind, own(a), own(b), t, (step, t) in variable and not silent(step)))
+    return log.events.sparkSession.createDataFrame(rows, "kind string, source string, target string, type string, variable boolean")
 
 
 def transport(cost: list[list[float]], a: list[float], b: list[float]) -> float:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import seconds_between, time_ranked
 from caseweave.log import EventLog
-from caseweave.operators import intervals
+from caseweave.operators import graphs, intervals
 
 
 def split_by_time(log: EventLog, test_share: float = 0.2, end: str = "timestamp") -> DataFrame:
@@ -140,33 +142,59 @@ def resource_profiles(log: EventLog, resource: str = "resource") -> DataFrame:
     return log.events.groupBy(F.col(resource).alias("resource"), "activity").agg(F.count("*").alias("n"))
 
 
+#: Profiles a block holds; a task compares two blocks.
+_BLOCK = 1024
+
+
 def resource_roles(log: EventLog, resource: str = "resource", least: float = 0.7) -> DataFrame:
-    """(resource, role): resources whose activity profiles correlate above `least` share a role, numbered by smallest member."""
-    p = resource_profiles(log, resource)
-    kinds = log.events.agg(F.count_distinct("activity").cast("double").alias("k"))
-    norms = p.groupBy("resource").agg(F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q"))
-    a = p.select(F.col("resource").alias("a"), "activity", F.col("n").alias("x"))
-    b = p.select(F.col("resource").alias("b"), "activity", F.col("n").alias("y"))
-    dots = a.join(b, "activity").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("xy"))
-    n = lambda c: norms.select(F.col("resource").alias(c), F.col("s").alias(f"s_{c}"), F.col("q").alias(f"q_{c}"))
-    rows = dots.join(n("a"), "a").join(n("b"), "b").crossJoin(F.broadcast(kinds))
-    k = F.col("k")
-    top = k * F.col("xy") - F.col("s_a") * F.col("s_b")
-    below = F.sqrt((k * F.col("q_a") - F.col("s_a") ** 2) * (k * F.col("q_b") - F.col("s_b") ** 2))
-    edges = rows.where(top > least * below).select("a", "b").collect()
-    names = sorted(r["resource"] for r in norms.select("resource").collect())
-    parent = {x: x for x in names}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for e in edges:
-        x, y = root(e["a"]), root(e["b"])
-        parent[max(x, y)] = min(x, y)
-    roles = {r: i for i, r in enumerate(sorted({root(x) for x in names}))}
-    return log.df.sparkSession.createDataFrame([(x, roles[root(x)]) for x in names], "resource string, role int")
+    """(resource, role): resources whose activity profiles correlate above `least` share a role, numbered by smallest member.
+
+    Profiles that are multiples of each other correlate fully and are one class, unless
+    all their activities are equally frequent, which leaves a correlation undefined: such
+    a resource is a role of its own. Classes are compared in blocks, a task keeps of the
+    links of its two blocks no more than join their parts, and components are found in
+    Spark. Events without a resource are left out.
+    """
+    p = resource_profiles(log, resource).where("resource IS NOT NULL AND activity IS NOT NULL")
+    kinds = p.agg(F.count_distinct("activity").cast("double").alias("k"))
+    step = F.struct("activity", F.col("n").cast("double").alias("n"))
+    rows = p.groupBy("resource").agg(F.array_sort(F.collect_list(step)).alias("profile"), F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q"))
+    rows = rows.crossJoin(F.broadcast(kinds))
+    flat = F.col("k") * F.col("q") <= F.col("s") * F.col("s")
+    shape = F.transform("profile", lambda x: F.struct(x["activity"].alias("activity"), (x["n"] / F.col("s")).alias("share")))
+    rows = rows.withColumn("shape", shape).withColumn("alone", F.when(flat, F.col("resource")))
+    whole = Window.partitionBy("shape", "alone")
+    rows = graphs.stored(rows.withColumn("id", F.min("resource").over(whole)), "profiles")
+    classes = rows.where("id = resource AND alone IS NULL").select("id", F.col("profile.activity").alias("names"), F.col("profile.n").alias("n"), "k", "s", "q")
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        codes, names = pd.factorize(np.concatenate(part["names"].to_numpy()))
+        held = np.zeros((len(part), len(names)))
+        held[np.repeat(np.arange(len(part)), part["names"].map(len)), codes] = np.concatenate(part["n"].to_numpy())
+        k, s, q = part["k"].iloc[0], part["s"].to_numpy(), part["q"].to_numpy()
+        spread = k * q - s**2
+        linked = k * (held @ held.T) - s[:, None] * s > least * np.sqrt(spread[:, None] * spread)
+        if not part["own"].iloc[0]:
+            left = part["left"].to_numpy(bool)
+            linked &= left[:, None] != left
+        found, fresh = [], np.ones(len(part), dtype=bool)
+        for root in range(len(part)):
+            todo = [root] if fresh[root] else []
+            fresh[root] = False
+            while todo:
+                new = np.flatnonzero(linked[todo.pop()] & fresh)
+                fresh[new] = False
+                found += [(root, x) for x in new]
+                todo += list(new)
+        ids = part["id"].to_numpy()
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"])
+
+    text = dict(classes.dtypes)["id"]
+    edges = graphs.in_block_pairs(classes, "id", _BLOCK).groupBy("lo", "hi").applyInPandas(links, f"a {text}, b {text}")
+    found = graphs.components(rows.select("id"), edges)
+    number = found.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).alias("role"))
+    return rows.select("resource", "id").join(found, "id").join(number, "component").select("resource", "role")
 
 
 def weekly_calendar(log: EventLog, resource: str = "resource", support: float = 0.1) -> DataFrame:
@@ -176,6 +204,40 @@ def weekly_calendar(log: EventLog, resource: str = "resource", support: float =
     return rows.withColumn("confidence", F.round(share, 6)).where(F.col("confidence") >= support)
 
 
+def calendar_granules(log: EventLog, resource: str = "resource", minutes: int = 60, confidence: float = 0.1, support: float = 0.7, participation: float = 0.4) -> DataFrame:
+    """(resource, weekday, granule, n, confidence, participation, accepted): parts of the week a resource works in; Sunday is 0.
+
+    A granule is a stretch of `minutes` of the day. Its confidence is that of the
+    activity it suits best: of the days of this weekday on which the resource does the
+    activity, the share with one in the granule. A resource's participation is its
+    events over those of the busiest resource of each of its activities. Granules of
+    enough confidence are accepted; if any is and they hold less than `support` of the
+    resource's events, so are the others with the most events, until they do (equal
+    numbers in order of the week). Resources of too little participation have none.
+    """
+    at = F.hour("timestamp") * 60 + F.minute("timestamp")
+    rows = log.events.where(F.col(resource).isNotNull()).select(
+        F.col(resource).alias("resource"), "activity", F.to_date("timestamp").alias("day"), (F.dayofweek("timestamp") - 1).alias("weekday"), F.floor(at / minutes).cast("int").alias("granule")
+    )
+    # One row for each day a resource does an activity in a granule; all else follows from these.
+    days = rows.groupBy("resource", "activity", "weekday", "granule", "day").agg(F.count("*").alias("n"))
+    cell = days.groupBy("resource", "activity", "weekday", "granule").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+    active = days.groupBy("resource", "activity", "weekday").agg(F.count_distinct("day").alias("of"))
+    cell = cell.join(active, ["resource", "activity", "weekday"])
+    cell = cell.groupBy("resource", "weekday", "granule").agg(F.sum("n").alias("n"), F.round(F.max(F.col("days") / F.col("of")), 6).alias("confidence"))
+    done = days.groupBy("resource", "activity").agg(F.sum("n").alias("n"))
+    most = done.groupBy("activity").agg(F.max("n").alias("most"))
+    part = done.join(most, "activity").groupBy("resource").agg(F.round(F.sum("n") / F.sum("most"), 6).alias("participation"))
+    # At most a week of granules each.
+    whole = Window.partitionBy("resource")
+    sure = F.col("confidence") >= confidence
+    held = cell.withColumn("sure", sure).withColumn("all", F.sum("n").over(whole)).withColumn("held", F.sum(F.when(sure, F.col("n")).otherwise(0)).over(whole))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("resource", "sure").orderBy(F.desc("n"), "weekday", "granule").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("before", before).join(part, "resource")
+    more = (F.col("held") > 0) & (F.col("held") + F.col("before") < support * F.col("all"))
+    return held.select("resource", "weekday", "granule", "n", "confidence", "participation", ((F.col("participation") >= participation) & (F.col("sure") | more)).alias("accepted"))
+
+
 def simulate(log: EventLog, n_cases: int, seed: int = 7, longest: int = 3, limit: int = 200) -> DataFrame:
     """Simulated events (run of cases) by the longest known suffix of the prefix; cases are spread over tasks.
 

@@ -126,6 +126,8 @@ QUERIES = {
     "usage_top": lambda s, d: usage.top(usage_events(s, d), "user_id"),
     "metric_series": lambda s, d: metric_series.metric_series(by_session(s, d), evolution.slices_absolute(by_session(s, d), 6).select("case_id", "slice")),
     "metric_series_sliding": lambda s, d: metric_series.metric_series(by_session(s, d), evolution.slices_sliding(by_session(s, d), 7, 3).select("case_id", "slice")),
+    "calendar_granules": lambda s, d: simulation.calendar_granules(by_session(s, d), minutes=240, confidence=0.55),
+    "net_tree": lambda s, d: miners.net_tree(miners.inductive_net(by_session(s, d), 0.2)),
     "alpha_tree": lambda s, d: miners.alpha_tree(by_session(s, d), loops=True),
     "slice_metrics": lambda s, d: metric_series.slice_metrics(by_session(s, d), evolution.slices_absolute(by_session(s, d), 6).select("case_id", "slice")),
 }
@@ -209,6 +211,18 @@ FROM m JOIN kv ON m.slice = kv.slice LEFT JOIN eg ON m.slice = eg.slice LEFT JOI
 
 
 ORACLE_SQL = {
+    "calendar_granules": f"""WITH {SE}, x AS (SELECT resource, activity, CAST(timestamp AS DATE) AS day, CAST(dayofweek(timestamp) AS INTEGER) AS weekday, CAST((hour(timestamp) * 60 + minute(timestamp)) // 240 AS INTEGER) AS granule FROM ev),
+ac AS (SELECT resource, activity, weekday, count(DISTINCT day) AS d FROM x GROUP BY ALL), ce AS (SELECT resource, activity, weekday, granule, count(DISTINCT day) AS d, count(*) AS n FROM x GROUP BY ALL),
+gr AS (SELECT ce.resource, ce.weekday, granule, CAST(sum(n) AS BIGINT) AS n, round(max(ce.d / CAST(ac.d AS DOUBLE)), 6) AS confidence FROM ce JOIN ac ON ce.resource = ac.resource AND ce.activity = ac.activity AND ce.weekday = ac.weekday GROUP BY ALL),
+fr AS (SELECT resource, activity, count(*) AS n FROM x GROUP BY ALL), pa AS (SELECT resource, round(sum(n) / CAST(sum(m) AS DOUBLE), 6) AS participation FROM (SELECT *, max(n) OVER (PARTITION BY activity) AS m FROM fr) GROUP BY resource),
+su AS (SELECT resource, sum(n) AS t, coalesce(sum(n) FILTER (WHERE confidence >= 0.55), 0) AS h FROM gr GROUP BY resource),
+lo AS (SELECT p.resource, p.weekday, p.granule, coalesce(sum(q.n), 0) AS b FROM gr p LEFT JOIN gr q ON p.resource = q.resource AND q.confidence < 0.55 AND (q.n > p.n OR (q.n = p.n AND (q.weekday < p.weekday OR (q.weekday = p.weekday AND q.granule < p.granule)))) GROUP BY ALL)
+SELECT gr.*, participation, participation >= 0.4 AND (confidence >= 0.55 OR (h > 0 AND h + b < 0.7::DOUBLE * t)) AS accepted FROM gr JOIN pa ON gr.resource = pa.resource JOIN su ON gr.resource = su.resource JOIN lo ON gr.resource = lo.resource AND gr.weekday = lo.weekday AND gr.granule = lo.granule""",
+    "resource_roles": f"""WITH RECURSIVE {SE}, p AS (SELECT resource, activity, CAST(count(*) AS DOUBLE) AS n FROM ev GROUP BY ALL), k AS (SELECT count(DISTINCT activity) AS k FROM ev), s AS (SELECT resource, sum(n) AS s, sum(n * n) AS q FROM p GROUP BY resource),
+lk AS (SELECT a.resource AS a, b.resource AS b FROM p a JOIN p b ON a.activity = b.activity AND a.resource <> b.resource JOIN s x ON x.resource = a.resource JOIN s y ON y.resource = b.resource, k
+  GROUP BY ALL HAVING max(k) * sum(a.n * b.n) - max(x.s) * max(y.s) > 0.7::DOUBLE * sqrt((max(k) * max(x.q) - max(x.s) ** 2) * (max(k) * max(y.q) - max(y.s) ** 2))),
+re AS (SELECT resource AS a, resource AS b FROM s UNION SELECT re.a, lk.b FROM re JOIN lk ON re.b = lk.a)
+SELECT a AS resource, CAST(dense_rank() OVER (ORDER BY min(b)) - 1 AS INTEGER) AS role FROM re GROUP BY a""",
     "metric_series": _series(_SLICED),
     "metric_series_sliding": _series(_SLID),
     "enriched_entropy": f"WITH {_BANDED}, {_LIST}, {_VAR}, {_STATES}, g AS (SELECT head, count(*) AS s, sum(events) AS e FROM hd JOIN st ON hd.path = st.path GROUP BY head) {_ent('g', 's', 'variant')} UNION ALL {_ent('g', 'e', 'sequence')}",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog, ObjectLog
-from caseweave.operators import complexity, metric_series, miners, ocel
+from caseweave.operators import complexity, metric_series, miners, ocel, simulation
 from tests.helpers import of_variants, rows
 
 
@@ -146,3 +146,40 @@ def test_series_of_a_slice_is_the_log_of_its_cases(spark):
         want.pop("activities")
         assert {c: row[c] for c in want} == want, k
     assert metric_series.metric_series(log, slices.limit(0)).count() == 0
+
+
+def test_object_centric_nets_meet_in_activities(spark):
+    """An order with two items: both types pass pack, of which only the item's arcs are variable."""
+    at = lambda h: datetime(2024, 1, 1, h)
+    data = [("e1", "order", "o1", "place", 1), ("e2", "order", "o1", "pack", 3), ("e3", "item", "i1", "pick", 2), ("e4", "item", "i2", "pick", 2), ("e2", "item", "i1", "pack", 3), ("e2", "item", "i2", "pack", 3)]
+    rel = spark.createDataFrame([(e, o, t, a, at(h), None) for e, t, o, a, h in data], "eid string, oid string, type string, activity string, timestamp timestamp_ntz, qualifier string")
+    log = ObjectLog(rel.select("eid", "activity", "timestamp").distinct(), rel.select("oid", "type").distinct(), rel, rel.selectExpr("oid", "oid AS oid_2", "qualifier").limit(0))
+    assert rows(miners.object_centric_net(log)) == {
+        ("place", "order:source", "place", "order", False), ("transition", "place", "order:p1", "order", False), ("place", "order:p1", "pack", "order", False), ("transition", "pack", "order:sink", "order", False),
+        ("place", "item:source", "pick", "item", False), ("transition", "pick", "item:p1", "item", False), ("place", "item:p1", "pack", "item", True), ("transition", "pack", "item:sink", "item", True),
+    }
+
+
+def test_roles_over_blocks(spark, monkeypatch):
+    """Blocks of three profiles, multiples of one profile, flat profiles, chains of links, a null resource."""
+    monkeypatch.setattr(simulation, "_BLOCK", 3)
+    rng = random.Random(11)
+    profiles = {f"r{k:02d}": [rng.choice([0, 0, 1, 4, 9]) for _ in range(6)] for k in range(30)}
+    profiles |= {"m1": [1, 2, 0, 0, 0, 0], "m2": [3, 6, 0, 0, 0, 0], "f1": [2] * 6, "f2": [2] * 6, "f3": [4] * 6}
+    profiles = {r: p for r, p in profiles.items() if any(p)}
+    data = [(r, "abcdef"[j]) for r, p in profiles.items() for j, n in enumerate(p) for _ in range(n)] + [(None, "a")]
+    log = EventLog(spark.createDataFrame([(f"c{i}", a, datetime(2024, 1, 1), i, r) for i, (r, a) in enumerate(data)], "case_id string, activity string, timestamp timestamp_ntz, seq long, resource string"))
+
+    def linked(x, y):
+        sx, sy = sum(x), sum(y)
+        return 6 * sum(a * b for a, b in zip(x, y, strict=True)) - sx * sy > 0.7 * math.sqrt((6 * sum(a * a for a in x) - sx**2) * (6 * sum(b * b for b in y) - sy**2))
+
+    label = {r: r for r in profiles}
+    for _ in profiles:
+        for a, b in itertools.permutations(profiles, 2):
+            if linked(profiles[a], profiles[b]):
+                label[a] = min(label[a], label[b])
+    order = {x: k for k, x in enumerate(sorted(set(label.values())))}
+    got = rows(simulation.resource_roles(log))
+    assert got == {(r, order[x]) for r, x in label.items()} and len(set(label.values())) > 4
+    assert simulation.resource_roles(EventLog(log.df.limit(0))).count() == 0
