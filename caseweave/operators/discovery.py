@@ -125,10 +125,19 @@ def loops_of_two(log: EventLog) -> DataFrame:
     return rows.select("a", "b", "frequency", F.round(total / (total + 1), 6).alias("dependency"))
 
 
+#: The driver holds the edges between at most this many activities.
+MAX_DRAWN = 2_000
+
+
 def visible_dfg(log: EventLog, node_pct: float = 1.0, edge_pct: float = 1.0) -> DataFrame:
-    """Edges to draw: the most frequent share of nodes and edges, with a maximum spanning forest of the kept nodes."""
+    """Edges to draw: the most frequent share of nodes and edges, with a maximum spanning forest of the kept nodes.
+
+    A drawing has at most 2,000 activities; more are an error.
+    """
     nodes = dfg_nodes(log).orderBy(F.desc("frequency"), F.asc("activity"))
-    names = [r["activity"] for r in nodes.collect()]
+    names = [r["activity"] for r in nodes.limit(MAX_DRAWN + 1).collect()]
+    if len(names) > MAX_DRAWN:
+        raise ValueError(f"more than {MAX_DRAWN} activities")
     names = set(names[: max(1, round(node_pct * len(names)))])
     edges = [r for r in edge_counts(log).orderBy(F.desc("frequency"), "source", "target").collect() if r["source"] in names and r["target"] in names]
     parent = {n: n for n in names}
