@@ -55,6 +55,19 @@ def _xes(spark: SparkSession, d: str) -> DataFrame:
     return _by_activity(readers.read_log(spark, path))
 
 
+def _xes_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers, numbers, truth values, times and attributes of cases, by activity, as read back."""
+    path = _place(spark, "log.xes")
+    log = by_session(spark, d)
+    rows = log.df.select("case_id", "activity", "timestamp", "seq", "resource", "cost", F.col("user_id").alias("number"), (F.col("cost") > 50).alias("dear"), (F.col("timestamp") + F.expr("INTERVAL 1 DAY")).alias("due"), (F.col("user_id") % 3).alias("case:group"))
+    writers.write_xes(EventLog(rows), path)
+    back = readers.read_log(spark, path).events
+    assert {"number": "bigint", "dear": "boolean", "due": "timestamp_ntz", "case:group": "bigint", "cost": "double"}.items() <= dict(back.dtypes).items()
+    return back.groupBy("activity").agg(
+        F.sum("number").alias("numbers"), F.count_if("dear").alias("dear"), F.date_format(F.max("due"), "yyyy-MM-dd HH:mm:ss.SSS").alias("last_due"), F.sum("case:group").alias("groups"), F.round(F.sum("cost"), 2).alias("cost"), F.count_distinct("resource").alias("resources")
+    )
+
+
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The stored form: events and cases as Parquet, with the counts of the manifest."""
     folder = _place(spark, "stored")
@@ -83,6 +96,7 @@ QUERIES = {
     "csv_round_trip": _csv,
     "json_lines_round_trip": _json_lines,
     "xes_round_trip": _xes,
+    "xes_typed_round_trip": _xes_typed,
     "stored_log": _stored,
     "object_tables_round_trip": _object_tables,
     "page_total": lambda s, d: access.page_total(by_user(s, d), flt.where([flt.Filter("activity", "contains", "CLI")], by_user(s, d).events.columns)),
@@ -93,6 +107,7 @@ ORACLE_SQL = {
     "csv_round_trip": f"WITH {EV} {_ACTIVITY}, round(sum(cost), 2) AS cost FROM ev GROUP BY activity",
     "json_lines_round_trip": f"WITH {EV} {_ACTIVITY} FROM ev GROUP BY activity",
     "xes_round_trip": f"WITH {SE} {_ACTIVITY} FROM ev GROUP BY activity",
+    "xes_typed_round_trip": f"""WITH {SE} SELECT activity, CAST(sum(user_id) AS BIGINT) AS numbers, count(*) FILTER (WHERE cost > 50) AS dear, strftime(max(timestamp) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%g') AS last_due, CAST(sum(user_id % 3) AS BIGINT) AS groups, round(sum(cost), 2) AS cost, count(DISTINCT resource) AS resources FROM ev GROUP BY activity""",
     "stored_log": f"WITH {SE} SELECT count(*) AS events, count(DISTINCT case_id) AS cases, count(DISTINCT case_id) AS cases_rows, count(*) AS events_rows FROM ev",
     "object_tables_round_trip": f"WITH {OC} SELECT activity, type, count(DISTINCT eid) AS events, count(DISTINCT oid) AS objects FROM rel GROUP BY ALL",
     "page_total": f"WITH {EV} SELECT count(*) AS total FROM ev WHERE activity ILIKE '%CLI%'",

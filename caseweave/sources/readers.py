@@ -122,25 +122,44 @@ def _attributes(prefix: str = "") -> Column:
     return F.map_from_arrays(keys, F.transform(keys, first))
 
 
+def _typed(value: Column, tags: set[str]) -> Column:
+    """An attribute's text as the type its tags name: whole number, number, truth value or time; else text."""
+    if tags == {"int"}:
+        return value.try_cast("bigint")
+    if tags <= {"int", "float"}:
+        return value.try_cast("double")
+    if tags == {"boolean"}:
+        return value.try_cast("boolean")
+    return as_time(value) if tags == {"date"} else value
+
+
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event: case_id, the known keys by role, and every other key of the log as a text column.
+    """One row per event: case_id, the known keys by role, and every other key of the log as a column.
 
-    Trace attributes are copied to each event as case:<key>. Keys are found by one
-    aggregate over the file.
+    Trace attributes are copied to each event as case:<key>. Keys and their tags are
+    found by one aggregate over the file. A key that only integer, float, boolean or date
+    tags carry has that type, null where a value is not of it (integer and float together
+    are floats); keys of other or several tags, and roles of names and times, are text.
     """
     event = T.StructType([T.StructField(t, _attribute()) for t in XES_TYPES])
     schema = T.StructType([*event.fields, T.StructField("event", T.ArrayType(event))])
     traces = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path)
+    none = F.array().cast("array<struct<k:string,tag:string>>")
+    carried = lambda row, prefix: F.concat(*(F.coalesce(F.transform(row(t), lambda a: F.struct(F.concat(F.lit(prefix), a["_key"]).alias("k"), F.lit(t).alias("tag"))), none) for t in XES_TYPES))  # noqa: B023, E731
+    of_events = F.flatten(F.coalesce(F.transform("event", lambda e: carried(lambda t: e[t], "")), F.array().cast("array<array<struct<k:string,tag:string>>>")))
+    found = traces.select(F.explode(F.array_distinct(F.concat(carried(F.col, "case:"), of_events))).alias("x")).distinct()
+    tags: dict[str, set[str]] = {}
+    for r in found.where("x.k IS NOT NULL").collect():
+        tags.setdefault(r["x"]["k"], set()).add(r["x"]["tag"])
     traces = traces.select(_attributes().alias("trace"), "event")
     rows = traces.select("trace", F.posexplode("event").alias("pos", "event")).select("trace", "pos", _attributes("event.").alias("of"))
-    keys = rows.select(F.explode(F.array_union(F.map_keys("of"), F.transform(F.map_keys("trace"), lambda k: F.concat(F.lit("case:"), k)))).alias("k")).distinct()
-    names = sorted(r["k"] for r in keys.collect())
     columns = [F.try_element_at("trace", F.lit("concept:name")).alias("case_id")]
-    for k in names:
+    for k in sorted(tags):
         if k.startswith("case:") and k != "case:concept:name":
-            columns.append(F.try_element_at("trace", F.lit(k.removeprefix("case:"))).alias(k))
+            columns.append(_typed(F.try_element_at("trace", F.lit(k.removeprefix("case:"))), tags[k]).alias(k))
         elif not k.startswith("case:"):
-            columns.append(F.try_element_at("of", F.lit(k)).alias(XES_KEYS.get(k, k)))
+            name, value = XES_KEYS.get(k, k), F.try_element_at("of", F.lit(k))
+            columns.append((value if name in _TEXT_ROLES else _typed(value, tags[k])).alias(name))
     return rows.select(*columns, F.col("pos").alias("seq"))
 
 

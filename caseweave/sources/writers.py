@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.log import EventLog, ObjectLog
 from caseweave.operators import access
+from caseweave.sources.readers import XES_KEYS
 
 
 def write_log(log: EventLog, folder: str) -> dict:
@@ -45,13 +46,35 @@ def _escaped(c: Column) -> Column:
     return c
 
 
+#: Spark types and the XES tags that carry them.
+_XES_TAGS = {"string": "string", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "boolean", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
+
+
 def xes_traces(log: EventLog) -> DataFrame:
-    """(case_id, trace): each case as a XES trace element."""
-    tag = lambda kind, key, value: F.concat(F.lit(f'<{kind} key="{key}" value="'), _escaped(value), F.lit('"/>'))
+    """(case_id, trace): each case as a XES trace element.
+
+    Columns of text, numbers, truth values and times become attributes with the tag of
+    their type, roles under their standard keys; nulls have none. A column case:<key> is
+    an attribute of the trace, with the value of the case's first event. Other types are left out.
+    """
+    keys = {column: key for key, column in XES_KEYS.items()}
+    text = lambda kind, key, value: F.concat(F.lit(f'<{kind} key="'), _escaped(F.lit(key)), F.lit('" value="'), _escaped(value), F.lit('"/>'))
+    kinds = {c: "float" if t.startswith("decimal") else _XES_TAGS.get(t) for c, t in log.events.dtypes}
+
+    def tag(column: str, key: str) -> Column:
+        value = F.col(f"`{column}`")
+        shown = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")) if kinds[column] == "date" else value.cast("string")
+        return F.coalesce(text(kinds[column], key, shown), F.lit(""))
+
+    written = [c for c, kind in kinds.items() if kind and c not in ("case_id", "activity", "timestamp", "seq")]
     time = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
-    event = F.concat(F.lit("<event>"), tag("string", "concept:name", F.col("activity")), tag("date", "time:timestamp", time), F.lit("</event>"))
-    rows = log.events.select("case_id", F.struct("timestamp", "seq", event.alias("xml")).alias("e")).groupBy("case_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return rows.select("case_id", F.concat(F.lit("<trace>"), tag("string", "concept:name", F.col("case_id")), F.array_join(F.transform("es", lambda e: e["xml"]), ""), F.lit("</trace>")).alias("trace"))
+    known = [text("string", "concept:name", F.coalesce("activity", F.lit(""))), text("date", "time:timestamp", time)]
+    event = F.concat(F.lit("<event>"), *known, *(tag(c, keys.get(c, c)) for c in written if not c.startswith("case:")), F.lit("</event>"))
+    case = F.concat(F.lit(""), *(tag(c, c.removeprefix("case:")) for c in written if c.startswith("case:") and c != "case:concept:name"))
+    rows = log.events.select("case_id", F.struct("timestamp", "seq", event.alias("xml")).alias("e"), case.alias("of"))
+    rows = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("e")).alias("es"), F.min_by("of", F.struct("e.timestamp", "e.seq")).alias("of"))
+    name = text("string", "concept:name", F.coalesce("case_id", F.lit("")))
+    return rows.select("case_id", F.concat(F.lit("<trace>"), name, "of", F.array_join(F.transform("es", lambda e: e["xml"]), ""), F.lit("</trace>")).alias("trace"))
 
 
 def write_xes(log: EventLog, path: str) -> None:

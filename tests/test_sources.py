@@ -37,6 +37,24 @@ def test_xes_round_trip(spark, tmp_path):
     _same(log)
 
 
+def test_xes_types(spark, tmp_path):
+    """Tags decide types; a key with a bad value, of two tags, with markup, and nulls."""
+    attribute = '<{} key="{}" value="{}"/>'.format
+    events = [
+        [("string", "concept:name", "a"), ("date", "time:timestamp", "2026-01-01T08:00:00.5+02:00"), ("int", "n", "3"), ("boolean", "ok", "true"), ("date", "due", "2026-02-01T00:00:00Z"), ("int", "mixed", "1"), ("int", "loose", "1"), ("float", "x", "1.5")],
+        [("string", "concept:name", "b"), ("date", "time:timestamp", "2026-01-01T09:00:00"), ("int", "n", "many"), ("string", "mixed", "&lt;two&gt;"), ("float", "loose", "2.5"), ("int", "org:resource", "7")],
+    ]
+    body = "".join(f"<event>{''.join(attribute(*a) for a in e)}</event>" for e in events)
+    (tmp_path / "in.xes").write_text(f'<log><trace>{attribute("string", "concept:name", "c1")}{attribute("int", "size", "12")}{body}</trace></log>')
+    df = readers.read_xes(spark, str(tmp_path / "in.xes"))
+    assert {"n": "bigint", "ok": "boolean", "due": "timestamp_ntz", "mixed": "string", "loose": "double", "x": "double", "case:size": "bigint", "resource": "string", "timestamp": "string"}.items() <= dict(df.dtypes).items()
+    assert rows(df, "activity", "n", "mixed", "loose", "case:size", "ok") == {("a", 3, "1", 1.0, 12, True), ("b", None, "<two>", 2.5, 12, None)}
+    writers.write_xes(readers.to_log(df), str(tmp_path / "out.xes"))
+    again = readers.read_xes(spark, str(tmp_path / "out.xes"))
+    assert rows(again, "activity", "n", "mixed", "loose", "case:size", "due") == rows(df, "activity", "n", "mixed", "loose", "case:size", "due")
+    assert dict(again.dtypes)["ok"] == "boolean"
+
+
 def test_parquet_round_trip(spark, tmp_path):
     meta = writers.write_log(three_cases(spark), str(tmp_path / "log"))
     assert meta["events"] == 9 and meta["cases"] == 3
