@@ -17,10 +17,12 @@ of the sampled texts themselves that touches no base span. On a third of the sam
 the trees have not seen, the lowest score that reaches `precision` is chosen for each
 kind. Candidates at or above it that touch no base span are added.
 
-All text work is one scan without a shuffle: patterns are possessive, so that very
-long runs of digits or letters neither recurse nor rescan; positions follow from
-the lengths of the pieces between matches; the trees are turned into CASE
-expressions. Only fitting runs aggregations, over the sample.
+All text work is one scan without a shuffle, linear in a text and its matches: patterns
+are possessive, so that very long runs of digits or letters neither recurse nor rescan;
+positions and context follow from the pieces between matches, which one pass sums up;
+results gather in blocks, so that no step copies all that came before; spans are held
+against the base by one pass from either side; redaction reads a text in chunks. The
+trees are turned into CASE expressions. Only fitting runs aggregations, over the sample.
 
 Defined results: a null text is empty and has no span; null ids pass through;
 repeated rows are reported each; an empty table gives an empty result and a model
@@ -71,30 +73,71 @@ PRECISION = 0.99
 PLANTED = 4
 
 
+#: Items per block of a fold, and code points per chunk of a text.
+BLOCK, CHUNK = 128, 1024
+#: Code points of context before a candidate.
+AHEAD = 16
+
+
+def _folded(items: Column, kind: str, state: Column, step) -> Column:
+    """array<kind> of what step(state, item) -> (state, result, kept) keeps, in order; time is linear in the items.
+
+    Spark copies an accumulator at every item, so none holds all results: one pass finds the
+    state at the start of each block of items, and each block gathers its own results from there.
+    """
+
+    def block(items: Column) -> Column:
+        each = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+        return F.transform(each, lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+    def through(acc: Column, items: Column) -> Column:
+        after = F.aggregate(items, acc["state"], lambda at, item: step(at, item)[0])
+        return F.struct(after.alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+    def gather(acc: Column, item: Column) -> Column:
+        after, result, kept = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.when(kept, F.concat(acc["out"], F.array(result))).otherwise(acc["out"]).alias("out"))
+
+    def fold(blocks: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.slice(F.array(state), 1, 0).alias("starts"))
+        starts = F.when(F.size(blocks) == 1, F.array(state)).otherwise(F.aggregate(blocks, begin, through, lambda acc: acc["starts"]))
+        none = F.array().cast(f"array<{kind}>").alias("out")
+        return F.flatten(F.zip_with(blocks, starts, lambda items, at: F.aggregate(items, F.struct(at.alias("state"), none), gather, lambda acc: acc["out"])))
+
+    some = F.filter(F.array(items), lambda x: F.size(x) > 0)
+    return F.flatten(F.transform(F.transform(some, block), fold))
+
+
 def _located(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array<struct<start, end, text>> of a pattern's matches, in code points, end exclusive."""
-    pat = F.lit(pattern)
-    matches = F.regexp_extract_all(text, pat, F.lit(0))
+    """array<struct<start, end, text, before, after>> of a pattern's matches, in code points, end exclusive.
+
+    before are up to AHEAD code points in front of a match, after is the one behind it.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needs:
         matches = F.when(F.instr(text, needs) > 0, matches).otherwise(F.array().cast("array<string>"))
+    kind = "struct<start:int,end:int,text:string,before:string,after:string>"
+    last = lambda x: F.substring(x, -AHEAD, AHEAD)
 
-    def place(pieces: Column, found: Column) -> Column:
-        lengths = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("text")))
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    def place(both: Column) -> Column:
+        pieces, found = both["pieces"], both["found"]
 
-        def step(acc: Column, m: Column) -> Column:
-            at = acc["pos"] + m["gap"]
-            end = at + F.length(m["text"])
-            one = F.struct(at.alias("start"), end.alias("end"), m["text"].alias("text"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def one(m: Column, k: Column) -> Column:
+            ahead, behind = F.get(pieces, k), F.get(pieces, k + 1)
+            after = F.substring(F.when(behind != "", behind).otherwise(F.coalesce(F.get(found, k + 1), F.lit(""))), 1, 1)
+            return F.struct(F.length(ahead).alias("gap"), last(ahead).alias("ahead"), F.length(m).alias("n"), m.alias("text"), after.alias("after"))
 
-        return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+        def step(state: Column, m: Column) -> tuple[Column, Column, Column]:
+            start, before = state["pos"] + m["gap"], last(F.concat(state["tail"], m["ahead"]))
+            end = start + m["n"]
+            result = F.struct(start.alias("start"), end.alias("end"), m["text"].alias("text"), before.alias("before"), m["after"].alias("after"))
+            return F.struct(end.alias("pos"), last(F.concat(before, m["text"])).alias("tail")), result, F.lit(True)
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    each = F.transform(
-        F.array(matches), lambda found: F.when(F.size(found) > 0, place(F.split(text, pattern, -1), found)).otherwise(none)
-    )
-    return F.flatten(each)
+        return _folded(F.transform(found, one), kind, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail")), step)
+
+    # One array each of pieces and matches, named once: an expression inside a lambda is worked out for every element.
+    found = F.transform(F.array(matches), lambda found: F.struct(F.when(F.size(found) > 0, F.split(text, pattern, -1)).alias("pieces"), found.alias("found")))
+    return F.flatten(F.transform(found, place))
 
 
 def _digits(text: Column) -> Column:
@@ -139,11 +182,9 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
 
 
-def _candidate(generator: str, text: Column, m: Column) -> Column:
+def _candidate(generator: str, m: Column) -> Column:
     """A candidate span with its kind and features."""
-    before = F.substring(text, F.greatest(m["start"] - 15, F.lit(1)), F.least(m["start"], F.lit(16)))
-    after = F.substring(text, m["end"] + 1, F.lit(1))
-    body = m["text"]
+    body, before, after = m["text"], m["before"], m["after"]
     n = F.length(_digits(body))
     plain = F.regexp_replace(body, r"(?i:dot)|[^0-9.]", "")
     dotted = F.regexp_replace(body, r"[\[({<](?:\.|(?i:dot))[\])}>]", ".")
@@ -185,7 +226,7 @@ def _candidate(generator: str, text: Column, m: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, end, x array<double>>> of all generators; spans may overlap."""
-    of = lambda g: F.transform(_located(text, GENERATORS[g]), lambda m: _candidate(g, text, m))
+    of = lambda g: F.transform(_located(text, GENERATORS[g]), lambda m: _candidate(g, m))
     return F.concat(*map(of, GENERATORS))
 
 
@@ -195,8 +236,27 @@ def _spanned(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names, F.concat(*(base_spans(text, k) for k in KINDS)).alias("cw_base"), candidates(text).alias("cw_wide"))
 
 
-def _apart(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (span["start"] < o["end"]) & (o["start"] < span["end"]))
+def _apart(wide: Column, base: Column, alone: bool = False) -> Column:
+    """Those of wide (kind, start, end, x) that touch no span of base, by start; with alone, no earlier one kept either.
+
+    A pass from the end drops what a later base span begins in, a pass from the front what an earlier one reaches.
+    """
+    kind = "struct<start:int,wide:boolean,end:int,kind:string,x:array<double>>"
+    row = lambda s, is_wide: F.struct(
+        s["start"].alias("start"), F.lit(is_wide).alias("wide"), s["end"].alias("end"), s["kind"].alias("kind"),
+        (s["x"] if is_wide else F.lit(None).cast("array<double>")).alias("x"),
+    )
+    from_end = lambda following, s: (F.when(s["wide"], following).otherwise(s["start"]), s, ~s["wide"] | (s["end"] <= following))
+
+    def from_front(reach: Column, s: Column) -> tuple[Column, Column, Column]:
+        kept = s["wide"] & (s["start"] >= reach)
+        return F.when(kept if alone else F.lit(False), s["end"]).when(s["wide"], reach).otherwise(F.greatest(reach, s["end"])), s, kept
+
+    def clear(wide: Column) -> Column:
+        both = F.array_sort(F.concat(F.transform(base, lambda s: row(s, False)), F.transform(wide, lambda s: row(s, True))))
+        return _folded(F.reverse(_folded(F.reverse(both), kind, F.lit(2**31 - 1), from_end)), kind, F.lit(0), from_front)
+
+    return F.flatten(F.transform(F.filter(F.array(wide), lambda w: F.size(w) > 0), clear))
 
 
 @dataclass(frozen=True)
@@ -311,15 +371,15 @@ def examples(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("personal"), key), F.lit(1 << 30)) < int(share * (1 << 30)))
     some = materialize(some, "pii-sample")
     held = (F.pmod(F.xxhash64(F.lit("calibrate"), key), F.lit(3)) == 0).alias("held")
-    free = lambda c: _apart(c, F.col("cw_base"))
-    given = _spanned(some, "doc_id").select(held, F.explode(F.filter("cw_wide", free)).alias("c"))
+    free = _apart(F.col("cw_wide"), F.col("cw_base"))
+    given = _spanned(some, "doc_id").select(held, F.explode(free).alias("c"))
     given = given.select("c.kind", "c.x", F.lit(0.0).alias("label"), "held", F.lit(False).alias("planted"))
     # Stored, since Spark would work out the snippets anew for each pattern.
     made = _spanned(materialize(_planted(some), "pii-planted"), "doc_id", "cw_from", "cw_to", "cw_label")
     meets = lambda c: (c["start"] < F.col("cw_to")) & (F.col("cw_from") < c["end"])
     # A planted span must be met from end to end; a candidate that runs far beyond it is neither.
     exact = lambda c: (F.abs(c["start"] - F.col("cw_from")) <= 1) & (F.abs(c["end"] - F.col("cw_to")) <= 1)
-    made = made.select(held, "cw_label", F.explode(F.filter("cw_wide", lambda c: free(c) & meets(c) & ((F.col("cw_label") == 0) | exact(c)))).alias("c"))
+    made = made.select(held, "cw_label", F.explode(F.filter(free, lambda c: meets(c) & ((F.col("cw_label") == 0) | exact(c)))).alias("c"))
     made = made.select("c.kind", "c.x", F.col("cw_label").alias("label"), "held", F.lit(True).alias("planted"))
     return given.unionByName(made)
 
@@ -356,10 +416,7 @@ def fit_examples(some: DataFrame, precision: float = PRECISION) -> Model:
 
 def _added(model: Model) -> Column:
     """Accepted candidates that touch no base span and no earlier accepted one."""
-    good = F.filter("cw_wide", lambda c: model.accepts(c) & _apart(c, F.col("cw_base")))
-    good = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return F.aggregate(good, none, lambda acc, c: F.when(_apart(c, acc), F.concat(acc, F.array(c))).otherwise(acc))
+    return _apart(F.filter("cw_wide", model.accepts), F.col("cw_base"), alone=True)
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
@@ -378,20 +435,27 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     given = docs.select(F.struct("*").alias("cw_row"), F.col("text").alias("text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = _spanned(given, "cw_row", "text")
-    spans = F.concat(
-        F.transform("cw_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), _added(model)
-    )
-    wide = wide.withColumn("cw_spans", F.array_sort(spans))
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        more = F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(ahead, more).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("cw_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    wide = wide.withColumn("cw_text", F.when(F.size("cw_spans") > 0, clean).otherwise(F.col("text")))
+    span = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    spans = F.array_sort(F.concat(F.transform("cw_base", span), F.transform(_added(model), span)))
+    wide = wide.withColumn("cw_spans", spans)
+    # A substring is counted from the start of its string, so pieces come from the chunks they lie in.
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+
+    def clean(chunks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / CHUNK).cast("int")
+            some = F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+            return F.when(end > start, F.substring(F.array_join(some, ""), start % CHUNK + 1, end - start)).otherwise("")
+
+        def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+            label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.greatest(at, s["end"]), F.concat(piece(at, s["start"]), label), s["start"] >= at
+
+        rest = piece(F.array_max(F.transform("cw_spans", lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(_folded(F.col("cw_spans"), "string", F.lit(0), step), ""), rest)
+
+    cut = F.element_at(F.transform(F.array(chunks), clean), 1)
+    wide = wide.withColumn("cw_text", F.when(F.size("cw_spans") > 0, cut).otherwise(F.col("text")))
     new = {"text": F.col("cw_text")}
     if "n_chars" in docs.columns:
         length = F.length("cw_text").cast(docs.schema["n_chars"].dataType)

@@ -230,3 +230,37 @@ def test_pii_clashing_columns_and_long_texts(spark):
     assert [r["cw_base"] for r in rows] == ["x", "x", None] and rows[0]["text"] == "word " * 60_000 + "[EMAIL]" and rows[0]["n_chars"] == len(rows[0]["text"])
     found = pii.digest(pii.find(given, pii.Model())).collect()
     assert sorted(r["spans"] for r in found) == ["", "email:300000:300006", "email:300000:300006"]
+
+
+def test_pii_in_dense_texts(spark):
+    """Tens of thousands of matches in one text: positions, overlaps and redaction as in short ones, across blocks and chunks."""
+    n = 20_000
+    text = "".join(f"é call 10.0.{k % 256}.{k % 255} now 😀 " for k in range(n))
+    given = docs(spark, [(1, text, "a"), (2, "x@y.zz" + " " * pii.CHUNK + "x@y.zz", "a"), (3, "1.2.3.4 " * (2 * pii.BLOCK), "a")])
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(given, pii.Model())).collect()}
+    assert found[1] == _brute(text) and found[1].count(",") == n - 1
+    assert found[2] == f"email:0:6,email:{pii.CHUNK + 6}:{pii.CHUNK + 12}" and found[3].count("ip:") == 2 * pii.BLOCK
+    red = {r["doc_id"]: r["text"] for r in pii.redact(given, pii.Model()).collect()}
+    assert red[1] == "é call [IP] now 😀 " * n and red[2] == "[EMAIL]" + " " * pii.CHUNK + "[EMAIL]"
+    assert red[3] == "[IP] " * (2 * pii.BLOCK)
+
+
+def test_pii_spans_apart(spark):
+    """Overlap with the base and with each other agrees with comparing all pairs."""
+    draw = random.Random(3)
+    rows = []
+    for k in range(60):
+        span = lambda kind: (lambda a: (kind, a, a + draw.randint(1, 12), [0.0]))(draw.randint(0, 400 if k % 2 else 40))
+        rows.append((k, [span("ip") for _ in range(draw.randint(0, 9))], [span("phone") for _ in range(draw.randint(0, 12 if k % 3 else 200))]))
+    kind = "array<struct<kind:string,start:int,end:int,x:array<double>>>"
+    df = spark.createDataFrame(rows, f"k long, base {kind}, wide {kind}")
+    got = df.select("k", pii._apart(F.col("wide"), F.col("base")).alias("free"), pii._apart(F.col("wide"), F.col("base"), alone=True).alias("alone")).collect()
+    for r in got:
+        _, base, wide = rows[r["k"]]
+        free = sorted((a, b) for _, a, b, _ in wide if all(b <= s or e <= a for _, s, e, _ in base))
+        assert [(s["start"], s["end"]) for s in r["free"]] == free
+        kept = []
+        for a, b in free:
+            if all(b <= s or e <= a for s, e in kept):
+                kept.append((a, b))
+        assert [(s["start"], s["end"]) for s in r["alone"]] == kept
