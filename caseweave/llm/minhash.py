@@ -23,13 +23,19 @@ Scale and skew
   the next two sketches, with all its members but the leaders (at refined levels up to
   `LEADERS`, of different components where there are such), until it is small or
   connected: so a member unlike a leader still meets the members that are connected
-  through it. Pairs grow with the rows, whatever a group's size, and no member is dropped.
-  What a large group can miss is a link of two members that part at a refinement, in
-  every one of the sketches they share; like a sketch collision that does not
-  happen, it is a miss of the sampling, not a cut.
+  through it. This only connects most of a large group at little cost: two members may
+  part at a refinement in every one of the sketches they share.
+* So what is left of the large groups, the members of those that still hold several
+  components, is joined exactly. A link shares so many of the longer text's words, each
+  labelled with its occurrence number, that it has one among the rarest `most` + 1 of both
+  texts, `most` being the edits that the length allows (prefix filter; any fixed order of
+  the words is exact, rarity makes it quick). Members that share such a word, in blocks of
+  `BLOCK`, are compared by length and by `SLOTS` counts of labelled words, which bound
+  the edits from below; what passes is aligned. Components are thus those of all similar pairs
+  that share a sketch, whatever a group's size.
 * Texts are shuffled once, for members of shared groups only after that.
 * Signatures, pairs, links and components are tables in shared storage; only counts
-  reach the driver.
+  reach the driver, `RARITY` counts of words among them.
 
 Defined results: documents without words (null, empty, punctuation only) and rows
 with a null doc_id are never linked and always kept; rows of one doc_id with different words are
@@ -53,6 +59,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import connected_components, free_name, materialize, table, words_of
+from caseweave.llm.neardup_vectors import _slabs
 
 K = 5
 SKETCHES = 32
@@ -60,6 +67,9 @@ ELL = 2
 SIMILARITY = 0.8
 SMALL = 16
 LEADERS = 4
+BLOCK = 1_024
+SLOTS = 64
+RARITY = 65_536
 
 _RNG = np.random.default_rng(20_240_229)
 _SEEDS = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64)[:, None]
@@ -76,8 +86,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
-    """SKETCHES int64 numbers; hashes keeps the words' hashes between calls."""
+def _hashed(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
+    """The words' hashes; hashes keeps them between calls."""
     ids = []
     for w in words:
         h = hashes.get(w)
@@ -86,19 +96,29 @@ def sketches(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
                 hashes.clear()
             h = hashes[w] = xxhash.xxh3_64_intdigest(w)
         ids.append(h)
-    ids = np.array(ids, np.uint64)
+    return np.array(ids, np.uint64)
+
+
+def _labelled(values: np.ndarray) -> np.ndarray:
+    """A number for each value and its occurrence number."""
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    fresh = np.concatenate(([True], values[order][1:] != values[order][:-1]))
+    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    labels = np.empty(n, np.uint64)
+    labels[order] = (np.arange(n) - first).astype(np.uint64)
+    return _mix(values + labels * _C1)
+
+
+def sketches(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
+    """SKETCHES int64 numbers; hashes keeps the words' hashes between calls."""
+    ids = _hashed(words, hashes)
     k = min(K, len(ids))
     n = len(ids) - k + 1
     kmers = np.zeros(n, np.uint64)
     for j in range(k):
         kmers += ids[j : j + n] * _PLACES[j]
-    kmers = _mix(kmers)
-    order = np.argsort(kmers, kind="stable")
-    fresh = np.concatenate(([True], kmers[order][1:] != kmers[order][:-1]))
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    labels = np.empty(n, np.uint64)
-    labels[order] = (np.arange(n) - first).astype(np.uint64)
-    marked = _mix(kmers + labels * _C1)
+    marked = _labelled(_mix(kmers))
     out = np.empty(SKETCHES, np.uint64)
     step = max(1, _CELLS // n)
     for at in range(0, SKETCHES, step):
@@ -253,6 +273,89 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     return met.groupBy("rep").agg(F.min("text").alias("text"))
 
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How often labelled words of texts fall to each of RARITY places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[bytes, int] = {}
+        counts = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(counts, (_labelled(_hashed(words_of(text), hashes)) % RARITY).astype(np.int64), 1)
+        places = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
+
+    found = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int64)
+    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _rare(texts: DataFrame, similarity: float) -> DataFrame:
+    """(rep, size, bag array<int>, rare array<long>): number of labelled words, their counts by slot, and the rarest of them."""
+    shared = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            sizes, bags, rare = [], [], []
+            for text in batch.column("text").to_pylist():
+                marked = _labelled(_hashed(words_of(text), hashes))
+                sizes.append(len(marked))
+                bags.append(np.bincount((marked >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS))
+                order = np.lexsort((marked, shared.value[(marked % RARITY).astype(np.int64)]))
+                rare.append(marked[order[: int((1 - similarity) * len(marked) + 1e-9) + 1]].view(np.int64))
+            lists = lambda parts, kind: pa.array(parts, pa.list_(kind))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array(sizes, pa.int32()), lists(bags, pa.int32()), lists(rare, pa.int64())],
+                names=["rep", "size", "bag", "rare"],
+            )
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, size int, bag array<int>, rare array<long>")
+
+
+def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of left (rep, home) of different homes: all that may be similar by the words they share."""
+    rare = materialize(_rare(texts.join(left.select("rep"), "rep"), similarity), "omh-rare").join(left, "rep")
+    rows = rare.select("rep", "home", F.explode("rare").alias("word"))
+    groups = rows.groupBy("word").agg(F.count("*").alias("n"), F.min("home").alias("least"), F.max("home").alias("most"))
+    groups = groups.where("least <> most").select("word", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = rows.join(groups, "word").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(F.xxhash64("word", lo, hi).alias("chunk"), "rep", (F.col("block") == lo).alias("low"), (lo == hi).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, groups in _slabs(batches, "chunk"):
+            reps, home, size = (slab.column(c).to_numpy() for c in ("rep", "home", "size"))
+            low, own = (slab.column(c).to_numpy(zero_copy_only=False) for c in ("low", "own"))
+            bags = slab.column("bag").flatten().to_numpy().reshape(-1, SLOTS)
+            least = size - ((1 - similarity) * size + 1e-9).astype(np.int64)
+            found = [np.zeros((2, 0), np.int64)]
+            for begin, end in groups:
+                at = np.arange(begin, end)
+                a, b = (at, at) if own[begin] else (at[low[begin:end]], at[~low[begin:end]])
+                step = max(1, 65_536 // max(1, len(b)))
+                for part in range(0, len(a), step):
+                    x = a[part : part + step, None]
+                    # The shorter text must reach the words that the longer one has to keep.
+                    some = (home[x] != home[b]) & (np.minimum(size[x], size[b]) >= np.maximum(least[x], least[b]))
+                    if own[begin]:
+                        some &= reps[x] < reps[b]
+                    i, j = np.nonzero(some)
+                    i, j = x[i, 0], b[j]
+                    apart = np.abs(bags[i] - bags[j]).sum(axis=1)
+                    near = apart <= size[i] + size[j] - 2 * np.maximum(least[i], least[j])
+                    found.append(np.array([i[near], j[near]]))
+            i, j = np.concatenate(found, axis=1)
+            i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
+            names = ["a", "b", "a_home", "b_home"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (reps[i], reps[j], home[i], home[j])], names=names)
+
+    parts = rows.join(rare.select("rep", "home", "size", "bag"), "rep").repartition("chunk").sortWithinPartitions("chunk")
+    return parts.mapInArrow(run, "a long, b long, a_home long, b_home long").distinct()
+
+
 def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """(rep, home) of reps (rep, doc_id, key, bands): home is the smallest rep connected by verified links."""
     rows = reps.select("rep", F.posexplode("bands").alias("pos", "bucket"), F.col("rep").alias("home"))
@@ -272,7 +375,8 @@ def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, smal
     first = reps.select("rep", F.col("rep").alias("home"))
     first = materialize(_moved(first, step), "omh-homes")
     across, depth = None, 0
-    rows = led.where(F.col("n") > small).select("rep", "pos", "bucket").join(first, "rep")
+    large = led.where(F.col("n") > small).select("rep", "pos", "bucket")
+    rows = large.join(first, "rep")
     while True:
         rows = _mixed(rows).join(reps.select("rep", "bands"), "rep")
         next_ = lambda k: F.element_at("bands", (F.col("pos") + k) % F.size("bands") + 1)
@@ -294,7 +398,14 @@ def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, smal
             edges = near.select(F.col("a_home").alias("src"), F.col("b_home").alias("dst"))
             across = edges if across is None else across.union(edges)
             rows = _moved(rows, connected_components(edges, f"omh-components-{depth}"))
-    return first if across is None else _moved(first, connected_components(across, "omh-across"))
+    if across is not None:
+        first = materialize(_moved(first, connected_components(across, "omh-across")), "omh-refined")
+    # What the refinements have not connected is joined exactly.
+    left = materialize(_mixed(large.select("rep", "bucket").join(first, "rep")).select("rep", "home").distinct(), "omh-left")
+    if left.isEmpty():
+        return first
+    near = materialize(_verified(_alike(left, texts, similarity), texts, similarity), "omh-rest")
+    return _moved(first, connected_components(near.select(F.col("a_home").alias("src"), F.col("b_home").alias("dst")), "omh-rest-components"))
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:

@@ -344,3 +344,26 @@ def test_audit_sees_isolated_vectors(spark):
     parts = spark.createDataFrame([(2 * k + s, 2 * k) for k in range(260) for s in (0, 1)], "id long, component long")
     true, found = neardup_vectors.audit(points, parts)
     assert true > 100 and 0.5 < found / true < 0.8
+
+
+def test_minhash_large_groups_lose_no_link(spark, monkeypatch):
+    """One sketch shared by all, all others unlike: links of members that every refinement parts."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(77)
+    base = [unique(rng, 60).split() for _ in range(25)] + [f"a{k} b{k} c{k} d{k} e{k}".split() for k in range(3)]
+
+    def changed(words):
+        out = list(words)
+        for at in rng.sample(range(len(words)), len(words) // 5):  # at the very bound
+            out[at] = f"z{rng.randrange(10**6)}"
+        return out
+
+    texts = [w for words in base for w in (words, changed(words), changed(words))] + [prose(rng, 30).split() for _ in range(20)]
+    texts += [base[4][:48], base[5][:47], ["alone"], base[6] + ["and"] * 15, base[7] + ["and"] * 16]
+    given = docs(spark, [(k, " ".join(words)) for k, words in enumerate(texts)])
+    bands = F.concat(F.array(F.lit(7)), F.transform(F.sequence(F.lit(1), F.lit(31)), lambda j: F.xxhash64("key", j))).alias("bands")
+    reps = common.materialize(minhash.signatures(given).select(F.col("doc_id").alias("rep"), "doc_id", "key", bands), "test-reps")
+    got = {r["rep"]: r["home"] for r in minhash.homes(given, reps).collect()}
+    words = {k: common.words_of(" ".join(t)) for k, t in enumerate(texts)}
+    edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None]
+    assert len(edges) > 50 and got == components(edges, list(words))
