@@ -67,7 +67,7 @@ ELL = 2
 SIMILARITY = 0.8
 SMALL = 16
 LEADERS = 4
-BLOCK = 1_024
+BLOCK = 4_096
 SLOTS = 64
 RARITY = 65_536
 
@@ -320,8 +320,11 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rows = rare.select("rep", "home", F.explode("rare").alias("word"))
     groups = rows.groupBy("word").agg(F.count("*").alias("n"), F.min("home").alias("least"), F.max("home").alias("most"))
     groups = groups.where("least <> most").select("word", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = rows.join(groups, "word").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = materialize(rows.drop("home").join(groups, "word"), "omh-words")
+    # Only a word of more members than a block is dealt to pairs of blocks.
+    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.where("blocks = 1").withColumn("other", F.lit(0).cast("long")).unionByName(many)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.select(F.xxhash64("word", lo, hi).alias("chunk"), "rep", (F.col("block") == lo).alias("low"), (lo == hi).alias("own"))
 
