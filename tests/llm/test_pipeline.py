@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from caseweave.llm import common, minhash
 from caseweave.llm.common import materialize
-from tests.llm.test_models_and_dedup import DOCS, prose
+from tests.llm.test_models_and_dedup import DOCS, components, prose, unique
 
 
 def test_pipeline(spark, tmp_path):
@@ -59,3 +62,22 @@ def test_stages_keep_columns_and_nulls(spark, tmp_path):
         assert docs.columns[-1] == "hits"
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert sorted(r["hits"] for r in docs.collect()) == [2, 3]
+
+
+def test_near_duplicates_of_a_large_group_all_go(spark, tmp_path, monkeypatch):
+    """Unlike documents that share one sketch, among them near copies that share no other: the stage keeps one of each class."""
+    rng = random.Random(78)
+    base = [unique(rng, 50).split() for _ in range(24)]
+    texts = base + [[*words[:20], f"y{k}", *words[21:]] for k, words in enumerate(base[10:])]
+    docs = spark.createDataFrame([(k, " ".join(words), "en", "s", 1) for k, words in enumerate(texts)], DOCS)
+    own = minhash.signatures
+
+    def one_shared(docs):
+        return own(docs).withColumn("bands", F.concat(F.array(F.lit(7)), F.transform(F.sequence(F.lit(1), F.lit(31)), lambda j: F.xxhash64("key", j))))
+
+    monkeypatch.setattr(minhash, "signatures", one_shared)
+    words = {k: common.words_of(" ".join(t)) for k, t in enumerate(texts)}
+    edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], 10) is not None]
+    want = components(edges, list(words))
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert left == sorted(set(want.values())) == list(range(24))
