@@ -21,16 +21,17 @@ Scale and skew
   members that met in one group count as connected in every other; groups of one
   component are done. A larger group that still holds several components is refined by
   the next two sketches, with all its members but the leaders (at refined levels up to
-  `LEADERS`, of different components where there are such), until it is small or
-  connected: so a member unlike a leader still meets the members that are connected
-  through it. This only connects most of a large group at little cost: two members may
-  part at a refinement in every one of the sketches they share.
+  `LEADERS`, of different components where there are such), as long as a level finds a link for
+  one in `GAIN` of its rows. This only connects most of a large group at little cost: two
+  members may part at a refinement in every one of the sketches they share.
 * So what is left of the large groups, the members of those that still hold several
   components, is joined exactly. A link shares so many of the longer text's words, each
   labelled with its occurrence number, that it has one among the rarest `most` + 1 of both
   texts, `most` being the edits that the length allows (prefix filter; any fixed order of
-  the words is exact, rarity makes it quick). Members that share such a word, in blocks of
-  `BLOCK`, are compared by length and by `SLOTS` counts of labelled words, which bound
+  the words is exact, rarity makes it quick; words of one component come first and are left out).
+  Members are dealt to chunks with about `WORDS` of these words each, all of a word to one chunk (a word
+  of more than `BLOCK` members to pairs of blocks), so they are a few rows each and not a row for a word.
+  Those that share a word are compared by length and by `SLOTS` counts of labelled words, which bound
   the edits from below; what passes is aligned. Components are thus those of all similar pairs
   that share a sketch, whatever a group's size.
 * Texts are shuffled once, for members of shared groups only after that.
@@ -68,8 +69,10 @@ SIMILARITY = 0.8
 SMALL = 16
 LEADERS = 4
 BLOCK = 4_096
-SLOTS = 64
-RARITY = 65_536
+SLOTS = 256
+RARITY = 262_144
+WORDS = 65_536
+GAIN = 16
 
 _RNG = np.random.default_rng(20_240_229)
 _SEEDS = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64)[:, None]
@@ -77,6 +80,18 @@ _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64)[:, None] | np.uint64(1
 _PLACES = _RNG.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CELLS = 2_000_000
+_PAIRS = 262_144
+_DEALT = [
+    ("chunk", pa.int64()),
+    ("rep", pa.int64()),
+    ("home", pa.int64()),
+    ("size", pa.int32()),
+    ("bag", pa.binary()),
+    ("words", pa.list_(pa.int64())),
+    ("before", pa.list_(pa.int64())),
+    ("low", pa.bool_()),
+    ("own", pa.bool_()),
+]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -274,88 +289,114 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
-    """How often labelled words of texts fall to each of RARITY places."""
+    """How often labelled words of texts fall to each of RARITY places; 0 where all of them are of one home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        counts = np.zeros(RARITY, np.int64)
+        counts, least, most = np.zeros(RARITY, np.int64), np.full(RARITY, 2**63 - 1), np.full(RARITY, -1)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(counts, (_labelled(_hashed(words_of(text), hashes)) % RARITY).astype(np.int64), 1)
+            for home, text in zip(batch.column("home").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at = (_labelled(_hashed(words_of(text), hashes)) % RARITY).astype(np.int64)
+                np.add.at(counts, at, 1)
+                least[at], most[at] = np.minimum(least[at], home), np.maximum(most[at], home)
         places = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
+        columns = (places, counts[places], least[places], most[places])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "n", "least", "most"])
 
-    found = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("home", "text").mapInArrow(run, "place long, n long, least long, most long").groupBy("place")
+    found = found.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
+    found = found.select("place", "n").toArrow()
     out = np.zeros(RARITY, np.int64)
     out[found.column("place").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def _rare(texts: DataFrame, similarity: float) -> DataFrame:
-    """(rep, size, bag array<int>, rare array<long>): number of labelled words, their counts by slot, and the rarest of them."""
-    shared = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
+def _dealt(texts: DataFrame, similarity: float) -> DataFrame:
+    """The members (rep, home, text) as rows of chunks, each with those of its rarest labelled words that meet others there.
+
+    A row is chunk, rep, home, size (labelled words), bag (their counts by slot, a byte each), words, before (those of earlier
+    chunks), low and own. Words are dealt to parts of about `WORDS`, so a member has a row for a part and not for a word. Words
+    of more than `BLOCK` members are dealt to pairs of blocks instead, as low or high members, own where both blocks are the same.
+    """
+    counts = _rarity(texts)
+    parts = np.uint64(1 + int((1 - similarity) * counts.sum()) // WORDS)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
         for batch in batches:
-            sizes, bags, rare = [], [], []
-            for text in batch.column("text").to_pylist():
+            rows = []
+            for rep, home, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "home", "text")), strict=True):
                 marked = _labelled(_hashed(words_of(text), hashes))
-                sizes.append(len(marked))
-                bags.append(np.bincount((marked >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS))
-                order = np.lexsort((marked, shared.value[(marked % RARITY).astype(np.int64)]))
-                rare.append(marked[order[: int((1 - similarity) * len(marked) + 1e-9) + 1]].view(np.int64))
-            lists = lambda parts, kind: pa.array(parts, pa.list_(kind))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), pa.array(sizes, pa.int32()), lists(bags, pa.int32()), lists(rare, pa.int64())],
-                names=["rep", "size", "bag", "rare"],
-            )
-
-    return texts.select("rep", "text").mapInArrow(run, "rep long, size int, bag array<int>, rare array<long>")
+                # A count by slot that stops at 255 still differs by no more than the texts do.
+                bag = np.bincount((marked >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS)
+                member = (rep, home, len(marked), np.minimum(bag, 255).astype(np.uint8).tobytes())
+                n = shared.value[(marked % RARITY).astype(np.int64)]
+                order = np.lexsort((marked, n))[: int((1 - similarity) * len(marked) + 1e-9) + 1]
+                order = order[n[order] > 0]
+                words, blocks = marked[order], -(-n[order] // BLOCK)
+                few = words[blocks == 1]
+                part = (few >> np.uint64(20)) % parts
+                rows += [(int(p), *member, few[part == p].view(np.int64), few[part < p].view(np.int64), True, True) for p in np.unique(part)]
+                for word, several in zip(words[blocks > 1], blocks[blocks > 1], strict=True):
+                    block, other = _mix(np.array([rep], np.uint64) ^ word) % np.uint64(several), np.arange(several, dtype=np.uint64)
+                    lo, hi = np.minimum(block, other), np.maximum(block, other)
+                    chunks = _mix(_mix(lo * _C1 + hi) + word).view(np.int64).tolist()
+                    word = np.array([word]).view(np.int64)
+                    rows += [(chunk, *member, word, few.view(np.int64), low, own) for chunk, low, own in zip(chunks, (lo == block).tolist(), (lo == hi).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_DEALT)], names=[c for c, _ in _DEALT])
+
+    schema = "chunk long, rep long, home long, size int, bag binary, words array<long>, before array<long>, low boolean, own boolean"
+    return texts.select("rep", "home", "text").mapInArrow(run, schema)
 
 
 def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs of left (rep, home) of different homes: all that may be similar by the words they share."""
-    rare = materialize(_rare(texts.join(left.select("rep"), "rep"), similarity), "omh-rare").join(left, "rep")
-    rows = rare.select("rep", "home", F.explode("rare").alias("word"))
-    groups = rows.groupBy("word").agg(F.count("*").alias("n"), F.min("home").alias("least"), F.max("home").alias("most"))
-    groups = groups.where("least <> most").select("word", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = materialize(rows.drop("home").join(groups, "word"), "omh-words")
-    # Only a word of more members than a block is dealt to pairs of blocks.
-    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.where("blocks = 1").withColumn("other", F.lit(0).cast("long")).unionByName(many)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(F.xxhash64("word", lo, hi).alias("chunk"), "rep", (F.col("block") == lo).alias("low"), (lo == hi).alias("own"))
+    rows = _dealt(texts.join(left, "rep"), similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab, groups in _slabs(batches, "chunk"):
-            reps, home, size = (slab.column(c).to_numpy() for c in ("rep", "home", "size"))
+        for slab, _ in _slabs(batches, "chunk"):
+            chunk, reps, home, size = (slab.column(c).to_numpy() for c in ("chunk", "rep", "home", "size"))
             low, own = (slab.column(c).to_numpy(zero_copy_only=False) for c in ("low", "own"))
-            bags = slab.column("bag").flatten().to_numpy().reshape(-1, SLOTS)
+            fine = np.frombuffer(b"".join(slab.column("bag").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
+            coarse = fine.reshape(-1, SLOTS // 8, 8).sum(axis=2, dtype=np.int16)
             least = size - ((1 - similarity) * size + 1e-9).astype(np.int64)
-            found = [np.zeros((2, 0), np.int64)]
-            for begin, end in groups:
-                at = np.arange(begin, end)
-                a, b = (at, at) if own[begin] else (at[low[begin:end]], at[~low[begin:end]])
-                step = max(1, 65_536 // max(1, len(b)))
-                for part in range(0, len(a), step):
-                    x = a[part : part + step, None]
-                    # The shorter text must reach the words that the longer one has to keep.
-                    some = (home[x] != home[b]) & (np.minimum(size[x], size[b]) >= np.maximum(least[x], least[b]))
-                    if own[begin]:
-                        some &= reps[x] < reps[b]
-                    i, j = np.nonzero(some)
-                    i, j = x[i, 0], b[j]
+            before = [set(x) for x in slab.column("before").to_pylist()]
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                # The shorter text must reach the words that the longer one has to keep.
+                some = (home[i] != home[j]) & (np.minimum(size[i], size[j]) >= np.maximum(least[i], least[j]))
+                some &= own[i] | (low[i] != low[j])
+                i, j = np.divmod(np.unique(i[some] * len(reps) + j[some]), len(reps))
+                for bags in (coarse, fine):
                     apart = np.abs(bags[i] - bags[j]).sum(axis=1)
-                    near = apart <= size[i] + size[j] - 2 * np.maximum(least[i], least[j])
-                    found.append(np.array([i[near], j[near]]))
-            i, j = np.concatenate(found, axis=1)
+                    some = apart <= size[i] + size[j] - 2 * np.maximum(least[i], least[j])
+                    i, j = i[some], j[some]
+                # A pair that shares a word of an earlier chunk is found there.
+                some = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                return np.array([i[some], j[some]])
+
+            row = np.repeat(np.arange(len(reps)), slab.column("words").value_lengths().to_numpy())
+            word = slab.column("words").flatten().to_numpy()
+            order = np.lexsort((row, word, chunk[row]))
+            row, word = row[order], word[order]
+            # Rows of a chunk that share a word stand together: each meets the next, the next but one, and so on.
+            at, step, met, found = np.arange(len(row)), 0, [], [np.zeros((2, 0), np.int64)]
+            while len(at):
+                step += 1
+                at = at[at + step < len(row)]
+                at = at[(word[at] == word[at + step]) & (chunk[row[at]] == chunk[row[at + step]])]
+                met.append(np.array([row[at], row[at + step]]))
+                if not len(at) or sum(m.shape[1] for m in met) > _PAIRS:
+                    whole = np.concatenate(met, axis=1)
+                    found += [near(*whole[:, k : k + _PAIRS]) for k in range(0, whole.shape[1], _PAIRS)]
+                    met = []
+            i, j = np.unique(np.concatenate(found, axis=1), axis=1)
             i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
             names = ["a", "b", "a_home", "b_home"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (reps[i], reps[j], home[i], home[j])], names=names)
 
-    parts = rows.join(rare.select("rep", "home", "size", "bag"), "rep").repartition("chunk").sortWithinPartitions("chunk")
+    parts = rows.repartition("chunk").sortWithinPartitions("chunk")
     return parts.mapInArrow(run, "a long, b long, a_home long, b_home long").distinct()
 
 
@@ -387,7 +428,8 @@ def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, smal
         rows = _mixed(rows.select("rep", "pos", finer.alias("bucket"), "home"))
         depth += 2
         rows = materialize(rows, f"omh-rows-{depth}")
-        if rows.isEmpty():
+        met = rows.count()
+        if not met:
             break
         kind = F.pmod(F.xxhash64("home"), F.lit(LEADERS))
         lead = [F.min(F.when(kind == k, F.struct("rep", "home"))) for k in range(LEADERS)]
@@ -396,14 +438,16 @@ def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, smal
         to = rows.select("rep", "home", F.explode("leaders").alias("lead")).where((F.col("home") != F.col("lead.home")))
         star = to.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.home").alias("a_home"), F.col("home").alias("b_home"))
         near = materialize(_verified(star.union(_among(rows, small)).distinct(), texts, similarity), f"omh-near-{depth}")
+        edges = near.select(F.col("a_home").alias("src"), F.col("b_home").alias("dst"))
+        across = edges if across is None else across.union(edges)
+        # A level that connects few is the last one: the exact join below takes all that is left.
+        if near.count() * GAIN < met:
+            break
         rows = rows.where((F.col("n") > small) & ~F.exists("leaders", lambda x: x["rep"] == F.col("rep"))).select("rep", "pos", "bucket", "home")
-        if not near.isEmpty():
-            edges = near.select(F.col("a_home").alias("src"), F.col("b_home").alias("dst"))
-            across = edges if across is None else across.union(edges)
-            rows = _moved(rows, connected_components(edges, f"omh-components-{depth}"))
+        rows = _moved(rows, connected_components(edges, f"omh-components-{depth}"))
     if across is not None:
         first = materialize(_moved(first, connected_components(across, "omh-across")), "omh-refined")
-    # What the refinements have not connected is joined exactly.
+    # What the refinement has not connected is joined exactly.
     left = materialize(_mixed(large.select("rep", "bucket").join(first, "rep")).select("rep", "home").distinct(), "omh-left")
     if left.isEmpty():
         return first

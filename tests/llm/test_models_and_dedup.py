@@ -367,3 +367,32 @@ def test_minhash_large_groups_lose_no_link(spark, monkeypatch):
     words = {k: common.words_of(" ".join(t)) for k, t in enumerate(texts)}
     edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None]
     assert len(edges) > 50 and got == components(edges, list(words))
+
+
+def test_minhash_large_groups_take_few_rows(spark, monkeypatch):
+    """Unlike members that share common words: no table has a row for a member and a word, and refinement that finds nothing ends."""
+    rng = random.Random(79)
+    pool = [f"w{k}" for k in range(150)]
+    texts = [[rng.choice(pool) for _ in range(100)] for _ in range(120)]
+    texts += [[*words[:20], f"y{k}", *words[21:]] for k, words in enumerate(texts[100:])]
+    given = docs(spark, [(k, " ".join(words)) for k, words in enumerate(texts)])
+    # The first three sketches are those of all, so two levels do not part them; the others are a text's own.
+    bands = F.concat(F.array(*map(F.lit, (7, 8, 9))), F.transform(F.sequence(F.lit(3), F.lit(31)), lambda j: F.xxhash64("key", j))).alias("bands")
+    reps = common.materialize(minhash.signatures(given).select(F.col("doc_id").alias("rep"), "doc_id", "key", bands), "test-reps")
+    own, rows = minhash.materialize, {}
+
+    def counted(df, tag):
+        out = own(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = {r["rep"]: r["home"] for r in minhash.homes(given, reps).collect()}
+    words = {k: common.words_of(" ".join(t)) for k, t in enumerate(texts)}
+    edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], 20) is not None]
+    assert len(edges) == 20 and got == components(edges, list(words))
+    assert max(rows.values()) <= 3 * len(texts) and "omh-rows-4" not in rows
+    left = common.materialize(given.join(spark.createDataFrame(list(got.items()), "doc_id long, home long"), "doc_id"), "test-left")
+    left = left.select(F.col("doc_id").alias("rep"), "home", "text")
+    met = [(r["chunk"], r["rep"], len(r["words"])) for r in minhash._dealt(left, 0.8).collect()]
+    assert len(met) == len({m[:2] for m in met}) <= len(texts) and sum(m[2] for m in met) > 10 * len(texts)
