@@ -31,9 +31,13 @@ Scale and skew
   the words is exact, rarity makes it quick; words of one component come first and are left out).
   Members are dealt to chunks with about `WORDS` of these words each, all of a word to one chunk (a word
   of more than `BLOCK` members to pairs of blocks), so they are a few rows each and not a row for a word.
-  Those that share a word are compared by length and by `SLOTS` counts of labelled words, which bound
-  the edits from below; what passes is aligned. Components are thus those of all similar pairs
-  that share a sketch, whatever a group's size.
+  Those that share a word are compared by length and by a bitmap of their labelled words, each bit the parity
+  of those in its slot: no more bits differ than words do, and with eight slots or more a word, up to `BITS`, few less.
+  What passes is aligned in tiles of two blocks of about `TILE` members, to which a text goes once and not
+  for each pair, and a tile leaves out pairs that its links already connect. So rows grow with members and
+  tiles and not with pairs, while alignments may still grow with pairs where many texts are just
+  outside the bound of one another. Components are thus those of all similar pairs that share a sketch,
+  whatever a group's size.
 * Texts are shuffled once, for members of shared groups only after that.
 * Signatures, pairs, links and components are tables in shared storage; only counts
   reach the driver, `RARITY` counts of words among them.
@@ -69,10 +73,11 @@ SIMILARITY = 0.8
 SMALL = 16
 LEADERS = 4
 BLOCK = 4_096
-SLOTS = 256
+BITS = 16_384
 RARITY = 262_144
 WORDS = 65_536
 GAIN = 16
+TILE = 512
 
 _RNG = np.random.default_rng(20_240_229)
 _SEEDS = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64)[:, None]
@@ -81,12 +86,13 @@ _PLACES = _RNG.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CELLS = 2_000_000
 _PAIRS = 262_144
+_HELD = 1_000_000
 _DEALT = [
     ("chunk", pa.int64()),
     ("rep", pa.int64()),
     ("home", pa.int64()),
     ("size", pa.int32()),
-    ("bag", pa.binary()),
+    ("bits", pa.binary()),
     ("words", pa.list_(pa.int64())),
     ("before", pa.list_(pa.int64())),
     ("low", pa.bool_()),
@@ -231,6 +237,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
+def _similar(words: list[bytes], bag: Counter, other: list[bytes], similarity: float) -> bool:
+    """Whether two texts are a link; bag counts the words of the first."""
+    longer = max(len(words), len(other))
+    most = int((1 - similarity) * longer + 1e-9)
+    # An alignment keeps at most the words both have, so too few of them refute a pair at once.
+    shared = sum(min(n, bag[w]) for w, n in Counter(other).items() if w in bag)
+    return shared >= longer - most and edit_distance_within(words, other, most) is not None
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, a_home, b_home) whose texts are similar."""
 
@@ -242,12 +257,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 if x != known:
                     known, words = x, words_of(text_a)
                     bag = Counter(words)
-                other = words_of(text_b)
-                longer = max(len(words), len(other))
-                most = int((1 - similarity) * longer + 1e-9)
-                # An alignment keeps at most the words both have, so too few of them refute a pair at once.
-                shared = sum(min(n, bag[w]) for w, n in Counter(other).items() if w in bag)
-                good.append(shared >= longer - most and edit_distance_within(words, other, most) is not None)
+                good.append(_similar(words, bag, words_of(text_b), similarity))
             yield batch.select(["a", "b", "a_home", "b_home"]).filter(pa.array(good, pa.bool_()))
 
     of_b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
@@ -314,7 +324,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
 def _dealt(texts: DataFrame, similarity: float) -> DataFrame:
     """The members (rep, home, text) as rows of chunks, each with those of its rarest labelled words that meet others there.
 
-    A row is chunk, rep, home, size (labelled words), bag (their counts by slot, a byte each), words, before (those of earlier
+    A row is chunk, rep, home, size (labelled words), bits (the parities of their slots), words, before (those of earlier
     chunks), low and own. Words are dealt to parts of about `WORDS`, so a member has a row for a part and not for a word. Words
     of more than `BLOCK` members are dealt to pairs of blocks instead, as low or high members, own where both blocks are the same.
     """
@@ -328,9 +338,9 @@ def _dealt(texts: DataFrame, similarity: float) -> DataFrame:
             rows = []
             for rep, home, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "home", "text")), strict=True):
                 marked = _labelled(_hashed(words_of(text), hashes))
-                # A count by slot that stops at 255 still differs by no more than the texts do.
-                bag = np.bincount((marked >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS)
-                member = (rep, home, len(marked), np.minimum(bag, 255).astype(np.uint8).tobytes())
+                slots = min(BITS, max(1_024, 1 << (8 * len(marked) - 1).bit_length()))
+                odd = np.bincount((marked >> np.uint64(32)).astype(np.int64) % slots, minlength=slots) & 1
+                member = (rep, home, len(marked), np.packbits(odd.astype(np.uint8)).tobytes())
                 n = shared.value[(marked % RARITY).astype(np.int64)]
                 order = np.lexsort((marked, n))[: int((1 - similarity) * len(marked) + 1e-9) + 1]
                 order = order[n[order] > 0]
@@ -346,20 +356,40 @@ def _dealt(texts: DataFrame, similarity: float) -> DataFrame:
                     rows += [(chunk, *member, word, few.view(np.int64), low, own) for chunk, low, own in zip(chunks, (lo == block).tolist(), (lo == hi).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_DEALT)], names=[c for c, _ in _DEALT])
 
-    schema = "chunk long, rep long, home long, size int, bag binary, words array<long>, before array<long>, low boolean, own boolean"
+    schema = "chunk long, rep long, home long, size int, bits binary, words array<long>, before array<long>, low boolean, own boolean"
     return texts.select("rep", "home", "text").mapInArrow(run, schema)
 
 
+def _bitmaps(bits: list[bytes]) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+    """By width in bytes: where a row's bitmap is, and the bitmaps of that width in a quarter of it and whole.
+
+    Rows of twice the width are there too, as halves folded onto one another. A fold is the bitmap of fewer slots.
+    """
+    widths, out = np.array([len(x) for x in bits]), {}
+    for width in np.unique(widths).tolist():
+        own, wide = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        whole, twice = (np.frombuffer(b"".join([bits[k] for k in rows]), np.uint64).reshape(-1, n * width // 8) for n, rows in ((1, own), (2, wide)))
+        at = np.zeros(len(bits), np.int64)
+        at[np.concatenate([own, wide])] = np.arange(len(own) + len(wide))
+        whole = np.concatenate([whole, twice[:, : width // 8] ^ twice[:, width // 8 :]])
+        out[width] = at, [np.bitwise_xor.reduce(whole.reshape(len(whole), 4, -1), axis=1), whole]
+    return out
+
+
 def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of left (rep, home) of different homes: all that may be similar by the words they share."""
+    """Pairs of left (rep, home) of different homes, all that may be similar by the words they share, as (tile, rep, home, others).
+
+    A member has one row for a tile; others are the members there that it is to be aligned with.
+    """
     rows = _dealt(texts.join(left, "rep"), similarity)
+    blocks = 1 + left.count() // TILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, _ in _slabs(batches, "chunk"):
             chunk, reps, home, size = (slab.column(c).to_numpy() for c in ("chunk", "rep", "home", "size"))
             low, own = (slab.column(c).to_numpy(zero_copy_only=False) for c in ("low", "own"))
-            fine = np.frombuffer(b"".join(slab.column("bag").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
-            coarse = fine.reshape(-1, SLOTS // 8, 8).sum(axis=2, dtype=np.int16)
+            bits = slab.column("bits").to_pylist()
+            width, bitmaps = np.array([len(x) for x in bits]), _bitmaps(bits)
             least = size - ((1 - similarity) * size + 1e-9).astype(np.int64)
             before = [set(x) for x in slab.column("before").to_pylist()]
 
@@ -368,10 +398,19 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 some = (home[i] != home[j]) & (np.minimum(size[i], size[j]) >= np.maximum(least[i], least[j]))
                 some &= own[i] | (low[i] != low[j])
                 i, j = np.divmod(np.unique(i[some] * len(reps) + j[some]), len(reps))
-                for bags in (coarse, fine):
-                    apart = np.abs(bags[i] - bags[j]).sum(axis=1)
-                    some = apart <= size[i] + size[j] - 2 * np.maximum(least[i], least[j])
-                    i, j = i[some], j[some]
+                kept = [np.zeros((2, 0), np.int64)]
+                # Lengths so close have widths of one doubling at most.
+                narrow = np.minimum(width[i], width[j])
+                for w in np.unique(narrow).tolist():
+                    (at, maps), all_i, all_j = bitmaps[w], i[narrow == w], j[narrow == w]
+                    for k in range(0, len(all_i), 2**24 // w):
+                        x, y = all_i[k : k + 2**24 // w], all_j[k : k + 2**24 // w]
+                        for bitmap in maps:
+                            apart = np.bitwise_count(bitmap[at[x]] ^ bitmap[at[y]]).sum(axis=1, dtype=np.int64)
+                            some = apart <= size[x] + size[y] - 2 * np.maximum(least[x], least[y])
+                            x, y = x[some], y[some]
+                        kept.append(np.array([x, y]))
+                i, j = np.concatenate(kept, axis=1)
                 # A pair that shares a word of an earlier chunk is found there.
                 some = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
                 return np.array([i[some], j[some]])
@@ -391,13 +430,59 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                     whole = np.concatenate(met, axis=1)
                     found += [near(*whole[:, k : k + _PAIRS]) for k in range(0, whole.shape[1], _PAIRS)]
                     met = []
-            i, j = np.unique(np.concatenate(found, axis=1), axis=1)
-            i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
-            names = ["a", "b", "a_home", "b_home"]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (reps[i], reps[j], home[i], home[j])], names=names)
+            i, j = np.concatenate(found, axis=1)
+            block = (_mix(reps.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            later = (block[i] > block[j]) | ((block[i] == block[j]) & (reps[i] > reps[j]))
+            i, j = np.where(later, j, i), np.where(later, i, j)
+            tile, rep, other, of_rep, of_other = np.unique([block[i] * blocks + block[j], reps[i], reps[j], home[i], home[j]], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (rep[1:] != rep[:-1])])[: len(tile)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(tile)), pa.int32()), pa.array(other))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[starts]) for c in (tile, rep, of_rep)), lists], names=["tile", "rep", "home", "others"])
+            tile, other, of_other = np.unique([tile, other, of_other], axis=1)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(tile) + 1, np.int32)), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (tile, other, of_other)), none], names=["tile", "rep", "home", "others"])
 
     parts = rows.repartition("chunk").sortWithinPartitions("chunk")
-    return parts.mapInArrow(run, "a long, b long, a_home long, b_home long").distinct()
+    parts = parts.mapInArrow(run, "tile long, rep long, home long, others array<long>").groupBy("tile", "rep")
+    return parts.agg(F.min("home").alias("home"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("others"))
+
+
+def _joined(tiles: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): homes that are joined by similar pairs of tiles (see `_alike`), of each tile fewer rows than it has homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, spans in _slabs(batches, "tile"):
+            links: list[tuple[int, int]] = []
+            for lo, hi in spans:
+                reps, home, given, others = (slab.column(c).slice(lo, hi - lo).to_pylist() for c in ("rep", "home", "text", "others"))
+                place, held, cached, to = {rep: k for k, rep in enumerate(reps)}, {}, 0, {}
+
+                def root(x: int) -> int:
+                    while x in to:  # noqa: B023
+                        x = to[x]  # noqa: B023
+                    return x
+
+                for k, partners in enumerate(others):
+                    words = words_of(given[k]) if partners else []
+                    bag = Counter(words)
+                    for m in map(place.__getitem__, partners):
+                        a, b = root(home[k]), root(home[m])
+                        if a == b:
+                            continue
+                        other = held.get(m)
+                        if other is None:
+                            other = words_of(given[m])
+                            cached += len(other)
+                            if cached > _HELD:
+                                held, cached = {}, len(other)
+                            held[m] = other
+                        if _similar(words, bag, other, similarity):
+                            to[max(a, b)] = min(a, b)
+                            links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    rows = tiles.join(texts, "rep").select("tile", "rep", "home", "others", "text").repartition("tile").sortWithinPartitions("tile")
+    return rows.mapInArrow(run, "src long, dst long")
 
 
 def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -451,8 +536,9 @@ def homes(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, smal
     left = materialize(_mixed(large.select("rep", "bucket").join(first, "rep")).select("rep", "home").distinct(), "omh-left")
     if left.isEmpty():
         return first
-    near = materialize(_verified(_alike(left, texts, similarity), texts, similarity), "omh-rest")
-    return _moved(first, connected_components(near.select(F.col("a_home").alias("src"), F.col("b_home").alias("dst")), "omh-rest-components"))
+    tiles = materialize(_alike(left, texts, similarity), "omh-tiles")
+    joined = materialize(_joined(tiles, texts, similarity), "omh-rest")
+    return _moved(first, connected_components(joined, "omh-rest-components"))
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:

@@ -396,3 +396,30 @@ def test_minhash_large_groups_take_few_rows(spark, monkeypatch):
     left = left.select(F.col("doc_id").alias("rep"), "home", "text")
     met = [(r["chunk"], r["rep"], len(r["words"])) for r in minhash._dealt(left, 0.8).collect()]
     assert len(met) == len({m[:2] for m in met}) <= len(texts) and sum(m[2] for m in met) > 10 * len(texts)
+
+
+def test_minhash_large_groups_make_no_row_for_a_pair(spark, monkeypatch):
+    """Members just outside the bound of one another, or all alike: rows grow with members and tiles, and no link is lost."""
+    monkeypatch.setattr(minhash, "TILE", 32, raising=False)
+    rng = random.Random(80)
+    passage, base = unique(rng, 300).split(), unique(rng, 300).split()
+    pool = [f"y{k}" for k in range(2_000)]  # so that the rarest words are shared as well
+    texts = [passage + rng.sample(pool, 100) for _ in range(60)]
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(300), 30):
+            words[at] = f"z{rng.randrange(10**6)}"
+        texts.append(words)
+    for _ in range(10):  # their bitmaps differ in width
+        words = unique(rng, 140).split()
+        texts += [words, [w for at, w in enumerate(words) if at % 5]]
+    given = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(texts)], "rep long, text string")
+    tiles = common.materialize(minhash._alike(given.select("rep", F.col("rep").alias("home")), given, 0.8), "test-tiles")
+    blocks = 1 + len(texts) // 32
+    assert tiles.count() <= blocks * 80 and tiles.where("rep < 60").count() < 60
+    assert tiles.select("tile", "rep").distinct().count() == tiles.count() and tiles.select("tile").distinct().count() > 1
+    joined = [tuple(r) for r in minhash._joined(tiles, given, 0.8).collect()]
+    words = {k: common.words_of(" ".join(t)) for k, t in enumerate(texts)}
+    edges = [(a, b) for a in words for b in words if a < b and minhash.edit_distance_within(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None]
+    assert len(edges) > 1_700 and len(joined) < tiles.count()
+    assert components(joined, list(words)) == components(edges, list(words))
