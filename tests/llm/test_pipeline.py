@@ -81,3 +81,27 @@ def test_near_duplicates_of_a_large_group_all_go(spark, tmp_path, monkeypatch):
     want = components(edges, list(words))
     left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
     assert left == sorted(set(want.values())) == list(range(24))
+
+
+def test_near_duplicates_make_no_row_for_a_pair(spark, tmp_path, monkeypatch):
+    """Documents that share a passage and one sketch, just unlike enough to stay, and near copies of some: the stage's candidates grow with documents."""
+    rng = random.Random(81)
+    passage = unique(rng, 300).split()
+    pool = [f"y{k}" for k in range(2_000)]  # so that the rarest words are shared as well
+    base = [passage + rng.sample(pool, 100) for _ in range(50)]
+    texts = base + [[*words[:20], f"z{k}", *words[21:]] for k, words in enumerate(base[30:])]
+    docs = spark.createDataFrame([(k, " ".join(words), "en", "s", 1) for k, words in enumerate(texts)], DOCS)
+    signatures, alike, rows = minhash.signatures, minhash._alike, []
+
+    def one_shared(docs):
+        return signatures(docs).withColumn("bands", F.concat(F.array(F.lit(7)), F.transform(F.sequence(F.lit(1), F.lit(31)), lambda j: F.xxhash64("key", j))))
+
+    def counted(*given):
+        out = common.materialize(alike(*given), "test-alike")
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "signatures", one_shared)
+    monkeypatch.setattr(minhash, "_alike", counted)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert left == list(range(50)) and len(rows) == 1 and 0 < rows[0] <= len(texts)
