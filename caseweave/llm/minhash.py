@@ -34,9 +34,9 @@ Scale and skew
   Those that share a word are compared by length and by a bitmap of their labelled words, each bit the parity
   of those in its slot: no more bits differ than words do, and with eight slots or more a word, up to `BITS`, few less.
   What passes is aligned in tiles of two blocks of about `TILE` members, to which a text goes once and not
-  for each pair, and a tile leaves out pairs that its links already connect. So rows grow with members and
-  tiles and not with pairs, while alignments may still grow with pairs where many texts are just
-  outside the bound of one another. Components are thus those of all similar pairs that share a sketch,
+  for each pair, and a tile leaves out pairs that its links already connect. A member has a row for each block
+  in which it has partners: few where pairs are few, but where many texts are just outside the bound of one
+  another, these rows and the alignments still grow with the square of their number. Components are thus those of all similar pairs that share a sketch,
   whatever a group's size.
 * Texts are shuffled once, for members of shared groups only after that.
 * Signatures, pairs, links and components are tables in shared storage; only counts
