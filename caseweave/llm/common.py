@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator marks for broadcast after counting it.
 BROADCAST_ROWS = 20_000
 
+#: Rows and bytes of an Arrow batch that a task works on at once (see `slices`).
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
+#: Most bytes of an Arrow batch between the JVM and Python (see `small_batches`).
+BATCH_BYTES = 4 << 20
+
 #: Bytes that separate words become a space and A-Z become a-z; UTF-8 bytes above 0x7F stay.
 WORD_BYTES = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -23,6 +31,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, in views of about SLICE_BYTES and at most SLICE_ROWS.
+
+    A batch may hold 10,000 texts; so only a few of them are Python objects at once, and what is
+    made of them goes back to the JVM in batches as small.
+    """
+    for batch in batches:
+        step = min(SLICE_ROWS, max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends rows to Python in Arrow batches of about BATCH_BYTES, instead of 64 MB or 10,000 rows.
+
+    Each task holds a batch in the JVM and in Python, a few times over. The setting is read when a
+    result is worked out, so it is not put back; no result depends on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import WORD_BYTES, materialize, table, words_of
+from caseweave.llm.common import WORD_BYTES, materialize, slices, table, words_of
 
 N = 10
 BLOCK_CHARS = 8_000_000
@@ -204,7 +204,7 @@ def clean(
         rows = rows.join(hits, "cw_row").drop("cw_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep, changed = batch.column("text").to_pylist(), [], False
             found = None if shared else batch.column("cw_hits").to_pylist()
             batch = batch.select(names)

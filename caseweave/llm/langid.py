@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import table
+from caseweave.llm.common import slices, table
 
 SIZES = (1, 2, 3)
 PROFILE_SIZE = 400
@@ -41,7 +41,7 @@ _SPACE, _BITS = 32, 21
 
 @cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, profile_size: int = PROFI
     rows = rows.where(lot < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found.setdefault(lang, []).append(ngrams(text))
@@ -160,7 +160,7 @@ def keep(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE) -> D
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 

@@ -63,7 +63,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import connected_components, free_name, materialize, table, words_of
+from caseweave.llm.common import connected_components, free_name, materialize, slices, table, words_of
 from caseweave.llm.neardup_vectors import _slabs
 
 K = 5
@@ -86,7 +86,8 @@ _PLACES = _RNG.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CELLS = 2_000_000
 _PAIRS = 262_144
-_HELD = 1_000_000
+_HELD = 500_000
+_HASHES = 65_536
 _DEALT = [
     ("chunk", pa.int64()),
     ("rep", pa.int64()),
@@ -113,7 +114,7 @@ def _hashed(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
     for w in words:
         h = hashes.get(w)
         if h is None:
-            if len(hashes) > 500_000:
+            if len(hashes) >= _HASHES:
                 hashes.clear()
             h = hashes[w] = xxhash.xxh3_64_intdigest(w)
         ids.append(h)
@@ -218,7 +219,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, bands = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
@@ -250,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """The pairs (a, b, a_home, b_home) whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, ta, tb = (batch.column(c).to_pylist() for c in ("a", "ta", "tb"))
             good, known, words, bag = [], None, [], Counter()
             for x, text_a, text_b in zip(a, ta, tb, strict=True):
@@ -288,7 +289,7 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(rep, text) of members (rep, doc_id, key), from the rows of docs with that doc_id and these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
             own = [hashlib.md5(b" ".join(words_of(t))).digest() == k for k, t in zip(keys, texts, strict=True)]
             yield batch.select(["rep", "text"]).filter(pa.array(own, pa.bool_()))
@@ -304,7 +305,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
         counts, least, most = np.zeros(RARITY, np.int64), np.full(RARITY, 2**63 - 1), np.full(RARITY, -1)
-        for batch in batches:
+        for batch in slices(batches):
             for home, text in zip(batch.column("home").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 at = (_labelled(_hashed(words_of(text), hashes)) % RARITY).astype(np.int64)
                 np.add.at(counts, at, 1)
@@ -334,7 +335,7 @@ def _dealt(texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for rep, home, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "home", "text")), strict=True):
                 marked = _labelled(_hashed(words_of(text), hashes))
@@ -403,8 +404,8 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 narrow = np.minimum(width[i], width[j])
                 for w in np.unique(narrow).tolist():
                     (at, maps), all_i, all_j = bitmaps[w], i[narrow == w], j[narrow == w]
-                    for k in range(0, len(all_i), 2**24 // w):
-                        x, y = all_i[k : k + 2**24 // w], all_j[k : k + 2**24 // w]
+                    for k in range(0, len(all_i), 2**22 // w):
+                        x, y = all_i[k : k + 2**22 // w], all_j[k : k + 2**22 // w]
                         for bitmap in maps:
                             apart = np.bitwise_count(bitmap[at[x]] ^ bitmap[at[y]]).sum(axis=1, dtype=np.int64)
                             some = apart <= size[x] + size[y] - 2 * np.maximum(least[x], least[y])

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in shared storage and read again as the next stage's docs. All but the
 last return the columns of documents; the last adds copies, in place of such a column
-where there is one.
+where there is one. Stages that work in Python make Arrow batches smaller, for the session (`small_batches`).
 
 Defined results, besides those of the operators: a document whose text is null or has
 no letters has no language and goes in the first stage; a null doc_id is never a
@@ -18,21 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import decontaminate, langid, minhash, mixing, pii
-from caseweave.llm.common import free_name, materialize, table
+from caseweave.llm.common import free_name, materialize, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that resemble a known language."""
+    small_batches(spark)
     return langid.keep(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return minhash.dedup(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that mostly consist of them go."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -105,3 +107,43 @@ def test_near_duplicates_make_no_row_for_a_pair(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(minhash, "_alike", counted)
     left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
     assert left == list(range(50)) and len(rows) == 1 and 0 < rows[0] <= len(texts)
+
+
+def test_slices_hold_all_rows_in_order():
+    texts = ["x" * (k % 7 * 3_000) for k in range(1_500)] + ["y" * 5_000_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    parts = list(common.slices(iter([batch.slice(0, 0), batch, batch.slice(3, 2)])))
+    assert [x for part in parts for x in part.column("text").to_pylist()] == texts + texts[3:5]
+    assert all(0 < part.num_rows <= common.SLICE_ROWS for part in parts)
+    assert max(sum(len(x or "") for x in part.column("text").to_pylist()) for part in parts) <= 5_000_000 + 2 * common.SLICE_BYTES
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "decontaminate"])
+def test_tasks_hold_few_texts_at_once(spark, tmp_path, monkeypatch, name):
+    """A partition of some 13 MB of texts: no Python task of the stage holds that much, and no document is lost."""
+    rng = random.Random(83)
+    rows = [(k, prose(rng, 1_000, "en", [f"w{k}x{j}" for j in range(400)]), "en", "s", 1) for k in range(2_000)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    frame = type(docs)
+    own = frame.mapInArrow
+
+    def watched(self, run, schema, *more):
+        def checked(batches):
+            import tracemalloc
+
+            pa.array(["x"])  # imports what Arrow needs
+            tracemalloc.start()
+            try:
+                for out in run(batches):
+                    peak = tracemalloc.get_traced_memory()[1]
+                    assert peak < 20_000_000, f"held {peak} bytes"
+                    yield out
+            finally:
+                tracemalloc.stop()
+
+        return own(self, checked, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).count() == len(rows)
