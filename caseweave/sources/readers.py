@@ -133,6 +133,21 @@ def _typed(value: Column, tags: set[str]) -> Column:
     return as_time(value) if tags == {"date"} else value
 
 
+def _xes_traces(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Trace elements of XES files, or of the parts of one document, each parsed alone.
+
+    Text is cut where traces close, so a file may be split anywhere, and a part needs no root. A comment that itself
+    closes a trace would be cut too: files with one are read whole, by Spark's reader of documents.
+    """
+    pieces = spark.read.option("lineSep", "</trace").text(path)
+    plain = F.regexp_replace(F.regexp_replace("value", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", ""), r"<trace\s*/>", "")
+    pieces = pieces.select(plain.alias("value"))
+    if not pieces.where(F.col("value").contains("<!--") | F.col("value").contains("<![CDATA[")).isEmpty():
+        return spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path)
+    found = pieces.select(F.regexp_extract("value", r"(?s)<trace[\s>].*", 0).alias("value")).where("value <> ''")
+    return found.select(F.from_xml(F.concat("value", F.lit("</trace>")), schema).alias("x")).select("x.*")
+
+
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
     """One row per event: case_id, the known keys by role, and every other key of the log as a column.
 
@@ -143,7 +158,7 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     """
     event = T.StructType([T.StructField(t, _attribute()) for t in XES_TYPES])
     schema = T.StructType([*event.fields, T.StructField("event", T.ArrayType(event))])
-    traces = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path)
+    traces = _xes_traces(spark, path, schema)
     none = F.array().cast("array<struct<k:string,tag:string>>")
     carried = lambda row, prefix: F.concat(*(F.coalesce(F.transform(row(t), lambda a: F.struct(F.concat(F.lit(prefix), a["_key"]).alias("k"), F.lit(t).alias("tag"))), none) for t in XES_TYPES))  # noqa: B023, E731
     of_events = F.flatten(F.coalesce(F.transform("event", lambda e: carried(lambda t: e[t], "")), F.array().cast("array<array<struct<k:string,tag:string>>>")))
@@ -152,7 +167,8 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     for r in found.where("x.k IS NOT NULL").collect():
         tags.setdefault(r["x"]["k"], set()).add(r["x"]["tag"])
     traces = traces.select(_attributes().alias("trace"), "event")
-    rows = traces.select("trace", F.posexplode("event").alias("pos", "event")).select("trace", "pos", _attributes("event.").alias("of"))
+    # Outer, as the filter that Spark infers from an inner explode would parse every trace twice.
+    rows = traces.select("trace", F.posexplode_outer("event").alias("pos", "event")).where("pos IS NOT NULL").select("trace", "pos", _attributes("event.").alias("of"))
     columns = [F.try_element_at("trace", F.lit("concept:name")).alias("case_id")]
     for k in sorted(tags):
         if k.startswith("case:") and k != "case:concept:name":

@@ -95,3 +95,28 @@ def test_constraints(spark, tmp_path):
 
 def test_formats():
     assert [readers.detect_format(x) for x in ("a.csv", "a.XES.gz", "b.jsonocel", "c.parquet")] == ["csv", "xes", "ocel-json", "parquet"]
+
+
+def test_xes_of_many_parts_is_read_whole(spark, tmp_path):
+    """A document in several parts of many traces, each read in splits; the reader took one trace of every part but the first."""
+    body = spark.range(4000).selectExpr("concat('c', id % 800) AS case_id", "concat('a', id % 3) AS activity", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS timestamp", "id AS seq")
+    out = str(tmp_path / "out.xes")
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        writers.write_xes(EventLog(body), out)
+        parts = len(list((tmp_path / "out.xes").glob("part-*")))
+        back = rows(readers.read_log(spark, out).events, "case_id", "activity", "timestamp")
+    finally:
+        for key, value in (("spark.sql.shuffle.partitions", 2), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.files.maxPartitionBytes", "128m")):
+            spark.conf.set(key, value)
+    assert parts > 2 and back == rows(body, "case_id", "activity", "timestamp")
+
+
+@pytest.mark.parametrize("inside", ["", "<!-- <trace><event/> -->", "<!-- <trace><event/></trace> <trace></trace> -->", "<![CDATA[<trace>]]>"])
+def test_xes_traces_beside_other_markup(spark, tmp_path, inside):
+    """Empty traces, space in tags, comments and character data that hold or close traces."""
+    trace = '<trace>{0}<string key="concept:name" value="c{1}"/><event><string key="concept:name" value="a &gt; b"/><date key="time:timestamp" value="2026-01-0{1}T08:00:00"/></event></trace >'
+    (tmp_path / "in.xes").write_text(f'<?xml version="1.0"?>\n<!-- one --><log xes.version="1.0"><global scope="trace"><string key="concept:name" value="x"/></global>{inside}<trace/><trace />{trace.format(inside, 1)}\n{inside}{trace.format("", 2)}</log>')
+    assert rows(readers.read_xes(spark, str(tmp_path / "in.xes")), "case_id", "activity") == {("c1", "a > b"), ("c2", "a > b")}
