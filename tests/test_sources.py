@@ -120,3 +120,19 @@ def test_xes_traces_beside_other_markup(spark, tmp_path, inside):
     trace = '<trace>{0}<string key="concept:name" value="c{1}"/><event><string key="concept:name" value="a &gt; b"/><date key="time:timestamp" value="2026-01-0{1}T08:00:00"/></event></trace >'
     (tmp_path / "in.xes").write_text(f'<?xml version="1.0"?>\n<!-- one --><log xes.version="1.0"><global scope="trace"><string key="concept:name" value="x"/></global>{inside}<trace/><trace />{trace.format(inside, 1)}\n{inside}{trace.format("", 2)}</log>')
     assert rows(readers.read_xes(spark, str(tmp_path / "in.xes")), "case_id", "activity") == {("c1", "a > b"), ("c2", "a > b")}
+
+
+def test_xes_types_and_trace_attributes_of_many_parts(spark, tmp_path):
+    """Types and attributes of traces come from all parts, not from the first."""
+    body = spark.range(2000).selectExpr("concat('c', lpad(id % 400, 3, '0')) AS case_id", "'a' AS activity", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS timestamp", "id AS seq", "CASE WHEN id % 400 > 200 THEN id END AS number", "id % 400 % 3 AS `case:group`")
+    out = str(tmp_path / "out.xes")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    try:
+        writers.write_xes(EventLog(body), out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    back = readers.read_log(spark, out).events
+    assert {"number": "bigint", "case:group": "bigint"}.items() <= dict(back.dtypes).items()
+    assert rows(back, "case_id", "timestamp", "number", "case:group") == rows(body, "case_id", "timestamp", "number", "case:group")
