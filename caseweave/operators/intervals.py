@@ -12,12 +12,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.log import EventLog
+from caseweave.operators import gaps
 from caseweave.operators.calendars import SECOND, instant, micros
 
 DAY = 86_400 * SECOND
@@ -190,6 +193,51 @@ def disjoint_sets(log: EventLog, resource: str = "resource", end: str = "end_tim
     return sizes.withColumn("kept", kept)
 
 
+def _day_gaps(rows: DataFrame, gap: int) -> DataFrame:
+    """(case_id, seq, first, lo, hi, end, z) of each wait's day: `gaps.free_times`.
+
+    rows is (r, day, wait, case_id, seq, b, e, rest): waits and intervals on days of resources; rest holds the bounds of a day's
+    off-duty stretches, one after another. A task keeps the rows of some days at a time, a single one's at least.
+    """
+    names = ("first", "lo", "hi", "end", "z")
+    types = rows.schema
+    schema = T.StructType([types["case_id"], types["seq"], *(T.StructField(c, T.LongType()) for c in names)])
+
+    def starts(table: pa.Table) -> np.ndarray:
+        """Whether a row is the first of its resource and day."""
+        r, day = table["r"].combine_chunks(), table["day"].to_numpy()
+        return np.append(True, pc.not_equal(r[1:], r[:-1]).to_numpy(zero_copy_only=False) | (day[1:] != day[:-1]))
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        new, wait = starts(table), table["wait"].to_numpy()
+        group, b, e = np.cumsum(new) - 1, table["b"].to_numpy(), table["e"].to_numpy()
+        day = table["day"].to_numpy()[new] * DAY
+        of, first = np.unique(group[wait], return_index=True)
+        rest = table["rest"].take(pa.array(np.flatnonzero(wait)[first])).to_pylist()
+        off = np.array([(g, day[g] + p[k], day[g] + p[k + 1]) for g, p in zip(of, rest, strict=True) if p for k in range(0, len(p), 2)], np.int64).reshape(-1, 3)
+        out = gaps.free_times(group[~wait], day, b[~wait], e[~wait], group[wait], b[wait], e[wait], off[:, 0], off[:, 1], off[:, 2], gap, DAY)
+        keys = table.select(["case_id", "seq"]).filter(pa.array(wait)).combine_chunks()
+        columns = [keys[c].combine_chunks() if keys[c].num_chunks else pa.array([], keys[c].type) for c in keys.column_names]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(out[c], mask=out[c] == np.iinfo(np.int64).min) for c in names)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, 1 << 17
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                table = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(starts(table))[-1])
+                if cut:
+                    yield found(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+                most = max(1 << 17, 2 * n)
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return rows.repartition("r", "day").sortWithinPartitions("r", "day").mapInArrow(run, schema)
+
+
 def availability(waits: DataFrame, busy: DataFrame, off: DataFrame | None = None, gap_s: float = 1.0, extrapolate: bool = False) -> DataFrame:
     """(case_id, seq, first_available, last_available): when a resource was first and last free during a wait.
 
@@ -200,39 +248,33 @@ def availability(waits: DataFrame, busy: DataFrame, off: DataFrame | None = None
     first such stretch begins, last where the last one ends. Without one both are where all that
     occupies it ends. extrapolate moves both half-way to the ends of the wait.
 
-    Days deal a resource into many groups: a wait meets the intervals of its first and last day, and of the days
-    between only what is left after joining those that lie closer than gap_s.
+    Days deal a resource into many groups: intervals and waits go to the days they meet, where free stretches
+    are found by searches in order of time (`gaps`), so waits are not paired with intervals.
     """
-    gap = int(gap_s * SECOND)
-    w = waits.where(F.col("enabled_at").isNotNull()).select("case_id", "seq", F.col("resource").alias("r"), micros(F.col("enabled_at")).alias("b"), micros(F.col("started_at")).alias("e"))
-    day = lambda c: F.call_function("div", F.col(c) - F.pmod(F.col(c), F.lit(DAY)), F.lit(DAY))
-    w = w.where("b <= e").withColumn("bd", day("b")).withColumn("ed", day("e"))
-    x = busy.select(F.col("resource").alias("r"), micros(F.col("start")).alias("s"), micros(F.col("end")).alias("t")).where("s <= t").withColumn("sd", day("s"))
-    edges = w.withColumn("day", F.explode(F.array_distinct(F.array("bd", "ed"))))
-    spread = x.withColumn("day", F.explode(F.sequence("sd", day("t"))))
-    starts = (F.col("day") == F.col("sd")) & (F.col("s") >= F.col("b")) & (F.col("s") < F.col("e"))
-    running_on = (F.col("day") == F.col("bd")) & (F.col("s") < F.col("b")) & (F.col("t") > F.col("b")) & (F.col("t") <= F.col("e"))
-    near = edges.join(spread, ["r", "day"]).where(starts | running_on).select("case_id", "seq", "s", "t")
-    # Of whole days: stretches joined over gaps too short to count.
-    order = Window.partitionBy("r", "sd").orderBy("s", "t")
-    reached = F.max("t").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = x.withColumn("opens", F.coalesce(((F.col("s") - reached >= gap) & (F.col("s") > reached)).cast("int"), F.lit(1)))
-    parts = parts.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.groupBy("r", F.col("sd").alias("day"), "part").agg(F.min("s").alias("s"), F.max("t").alias("t"))
-    between = w.where("ed > bd + 1").withColumn("day", F.explode(F.sequence(F.col("bd") + 1, F.col("ed") - 1)))
-    far = between.join(parts, ["r", "day"]).select("case_id", "seq", "s", "t")
-    points = w.select("case_id", "seq", F.explode(F.array("b", "e")).alias("s")).withColumn("t", F.col("s"))
-    every = near.unionByName(far).unionByName(points)
+    gap = max(int(gap_s * SECOND), 1)
+    w = waits.where(F.col("enabled_at").isNotNull()).select("case_id", "seq", F.col("resource").alias("r"), micros(F.col("enabled_at")).alias("b"), micros(F.col("started_at")).alias("e")).where("b <= e")
+    day = lambda c: F.call_function("div", c - F.pmod(c, F.lit(DAY)), F.lit(DAY))
+    x = busy.where(F.col("resource").isNotNull()).select(F.col("resource").alias("r"), micros(F.col("start")).alias("b"), micros(F.col("end")).alias("e")).where("b <= e")
+    x = x.withColumn("day", F.explode(F.sequence(day(F.col("b")), day(F.col("e") + gap))))
+    days = w.withColumn("day", F.explode(F.sequence(day(F.col("b")), day(F.col("e")))))
+    # Off-duty stretches that reach into a day, or end less than gap before it; in microseconds from its midnight.
+    rest = F.lit(None).cast("array<bigint>")
     if off is not None:
-        rest = off.select(F.col("resource").alias("r"), F.col("weekday").cast("long").alias("weekday"), "begin_s", "end_s")
-        days = w.withColumn("day", F.explode(F.sequence("bd", "ed"))).withColumn("weekday", F.pmod(F.col("day"), F.lit(7)))
-        clip = lambda c: F.least(F.greatest(F.col("day") * DAY + F.col(c).cast("long") * SECOND, F.col("b")), F.col("e"))
-        every = every.unionByName(days.join(rest, ["r", "weekday"]).select("case_id", "seq", clip("begin_s").alias("s"), clip("end_s").alias("t")).where("s < t"))
-    sweep = Window.partitionBy("case_id", "seq").orderBy("s", "t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = every.withColumn("reached", F.max("t").over(sweep))
-    free = (F.col("s") - F.col("reached") >= gap) & (F.col("s") > F.col("reached"))
-    found = rows.groupBy("case_id", "seq").agg(F.min(F.when(free, F.col("reached"))).alias("lo"), F.max(F.when(free, F.col("s"))).alias("hi"), F.max("t").alias("end"))
-    found = found.select("case_id", "seq", F.coalesce("lo", "end").alias("lo"), F.coalesce("hi", "end").alias("hi"))
+        us = lambda c: F.col(c).cast("long") * SECOND
+        rows = off.select(F.col("resource").alias("cw_r"), F.struct(F.pmod(F.col("weekday").cast("long"), F.lit(7)).alias("weekday"), us("begin_s").alias("lo"), us("end_s").alias("hi")).alias("p"))
+        days = days.join(rows.groupBy("cw_r").agg(F.collect_list("p").alias("week")), F.col("r") == F.col("cw_r"), "left")
+        on = lambda k: F.filter("week", lambda p: (p["weekday"] == F.pmod(F.col("day") - k, F.lit(7))) & (p["lo"] < p["hi"]) & (p["hi"] - k * DAY > -gap))
+        rest = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(-(-gap // DAY)).cast("long")), lambda k: F.transform(on(k), lambda p: F.array(p["lo"] - k * DAY, p["hi"] - k * DAY)))))
+    # Null resources have no intervals.
+    days = days.select(F.coalesce(F.concat(F.lit("r"), F.col("r").cast("string")), F.concat(F.lit("c"), F.col("case_id").cast("string")), F.lit("")).alias("r"), "day", "case_id", "seq", "b", "e", rest.alias("rest"))
+    none = [F.lit(None).cast(days.schema[c].dataType).alias(c) for c in ("case_id", "seq")]
+    x = x.select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("r"), "day", *none, "b", "e", F.lit(None).cast("array<bigint>").alias("rest"))
+    rows = days.withColumn("wait", F.lit(True)).unionByName(x.withColumn("wait", F.lit(False)))
+    parts = _day_gaps(rows, gap).groupBy("case_id", "seq")
+    parts = parts.agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "lo"))).alias("f"), F.max("hi").alias("hi"), F.max("end").alias("end"), F.collect_list("z").alias("z"))
+    # What ended on the days before the first free stretch's end may have ended last before it.
+    lo = F.greatest(F.col("f.lo"), F.array_max(F.filter("z", lambda z: z < F.col("f.first"))))
+    found = parts.select("case_id", "seq", F.coalesce(lo, "end").alias("lo"), F.coalesce("hi", "end").alias("hi"))
     if extrapolate:
         found = found.join(w.select("case_id", "seq", "b", "e"), ["case_id", "seq"])
         both = (F.col("lo") != F.col("e")) & (F.col("hi") != F.col("e"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caseweave.log import EventLog
-from caseweave.operators import calendars, intervals, resources
+from caseweave.operators import calendars, gaps, intervals, resources
 
 START = datetime(2024, 1, 1)
 SCHEMA = "case_id string, activity string, timestamp timestamp_ntz, end_timestamp timestamp_ntz, seq long, resource string"
@@ -188,3 +189,41 @@ def test_calendar_without_working_time(spark):
     assert tuple(row) == (0, None, None)
     df = spark.range(1).select(F.lit(3).cast("long").alias("a"), F.lit(9).cast("long").alias("b"))
     assert [tuple(r)[2:] for r in calendars.idle_intervals(df, lit, "a", "b").collect()] == [(3, 9)]
+
+
+def test_availability_does_not_pair_waits_with_intervals(spark):
+    """One resource, one day: the plan joins nothing, and the result is that of a walk; background intervals and instants included."""
+    rng = random.Random(11)
+    at = lambda m: START + timedelta(minutes=m)
+    taken = [("r", at(s := rng.randrange(1400)), at(s + rng.choice([0, 1, 2, 9, 700]))) for _ in range(250)] + [("r", at(-5000), at(5000)), ("r", at(30), at(1300))]
+    waits = [("c", k, "r", at(b := rng.randrange(1300)), at(b + rng.randrange(140))) for k in range(400)] + [("c", 1000, "r", at(-9000), at(9000)), ("c", 1001, None, at(0), at(3)), ("c", 1002, None, at(0), at(0)), ("c", 1003, "q", at(0), at(3000))]
+    w = spark.createDataFrame(waits, "case_id string, seq long, resource string, enabled_at timestamp_ntz, started_at timestamp_ntz")
+    x = spark.createDataFrame(taken, "resource string, start timestamp_ntz, end timestamp_ntz")
+    for gap in (0.0, 1.0, 300.0, 200_000.0):
+        df = intervals.availability(w, x, gap_s=gap)
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["seq"]: (r["first_available"], r["last_available"]) for r in df.collect()}
+        for _, k, r, b, e in waits:
+            own = sorted([(s, t) for o, s, t in taken if o == r and (b < t <= e or b <= s < e)] + [(b, b), (e, e)])
+            reached, free = own[0][1], []
+            for s, t in own[1:]:
+                if s > reached and s - reached >= timedelta(seconds=gap):
+                    free.append((reached, s))
+                reached = max(reached, t)
+            assert got[k] == ((free[0][0], free[-1][1]) if free else (reached, reached)), (gap, k)
+
+
+def test_free_times_of_many_groups(monkeypatch):
+    """Groups taken in turns give what they give at once."""
+    rng = np.random.default_rng(12)
+    n, m, day = 900, 600, 1000
+    group, of = rng.integers(0, 40, n), np.sort(rng.integers(0, 40, m))
+    days = rng.integers(0, 5, 40) * day
+    s = days[group] + rng.integers(0, day, n)
+    b = days[of] + rng.integers(0, day, m)
+    rows = (group, days, s, s + rng.integers(0, 300, n), of, b, b + rng.integers(0, 2000, m), np.arange(0, 40, 3), days[::3] + 100, days[::3] + 200)
+    want = gaps.free_times(*rows, 5, day)
+    monkeypatch.setattr(gaps, "_MOST", 40_000)
+    got = gaps.free_times(*rows, 5, day)
+    assert all((got[k] == want[k]).all() for k in want)
+    assert (want["first"] > 0).any() and (want["first"] < 0).any()
