@@ -227,3 +227,28 @@ def test_free_times_of_many_groups(monkeypatch):
     got = gaps.free_times(*rows, 5, day)
     assert all((got[k] == want[k]).all() for k in want)
     assert (want["first"] > 0).any() and (want["first"] < 0).any()
+
+
+def test_availability_on_duty_joins_calendars_alone(spark):
+    """Off-duty time comes by one join with resources; also where gaps are longer than a night, a day or a weekend."""
+    rng = random.Random(13)
+    week = [(1, 28_800, 43_200), (1, 46_800, 61_200), (2, 0, 86_400), (3, 32_400, 54_000), (5, 32_400, 54_000)]
+    at = lambda m: START + timedelta(minutes=m)
+    taken = [("r", at(s := rng.randrange(12_000)), at(s + rng.choice([0, 5, 60]))) for _ in range(40)] + [("r", at(-5000), at(30_000))]
+    waits = [("c", k, "r", at(b := rng.randrange(9000)), at(b + rng.randrange(9000))) for k in range(150)]
+    w = spark.createDataFrame(waits, "case_id string, seq long, resource string, enabled_at timestamp_ntz, started_at timestamp_ntz")
+    x = spark.createDataFrame(taken, "resource string, start timestamp_ntz, end timestamp_ntz")
+    off = intervals.off_duty(spark.createDataFrame([("r", *d) for d in week], "resource string, weekday int, begin_s int, end_s int"))
+    found = dict.fromkeys((1.0, 3600.0, 20_000.0, 80_000.0, 100_000.0), 0)
+    for gap in found:
+        df = intervals.availability(w, x, off, gap_s=gap)
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "cw_r#" in line]
+        assert len(joins) == 1
+        got = {r["seq"]: (r["first_available"], r["last_available"]) for r in df.collect()}
+        for _, k, _, b, e in waits:
+            own = [(s, t) for _, s, t in taken if b < t <= e or b <= s < e] + off_duty(b, e, week)
+            want = first_and_last(b, e, own, timedelta(seconds=gap))
+            last = max([t for _, t in own] + [e])
+            assert got[k] == want or (got[k] == (last, last) and want[0] == want[1]), (gap, k)
+            found[gap] += want[0] != want[1]
+    assert found[80_000.0] and not found[100_000.0]
