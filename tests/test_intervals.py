@@ -252,3 +252,13 @@ def test_availability_on_duty_joins_calendars_alone(spark):
             assert got[k] == want or (got[k] == (last, last) and want[0] == want[1]), (gap, k)
             found[gap] += want[0] != want[1]
     assert found[80_000.0] and not found[100_000.0]
+
+
+def test_delays_join_events_by_key_alone(spark):
+    """Waits meet no interval in a join: all joins but that of concurrent activities are by event."""
+    _, log = timed(spark, 14)
+    none = spark.createDataFrame([("a", "b")], "a string, b string")
+    plan = intervals.activity_timers(intervals.complex_delays(log, none))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("seq#" in line or "activity#" in line for line in joins)
+    assert "day#" not in "".join(joins)
