@@ -8,6 +8,7 @@ rows in order and keep only a map by activity, or the lanes that are open.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
@@ -168,20 +169,83 @@ def lanes(log: EventLog, resource: str = "resource", end: str = "end_timestamp",
     rows = busy_periods(rows, "cw_resource", "timestamp", end)
     rows = rows.select("cw_resource", micros(F.col("period")).alias("period"), micros(F.col("timestamp")).alias("s"), micros(F.col(end)).alias("t"), F.col("seq").cast("long").alias("seq"), "case_id")
     order = ["t", "s", "seq"] if by == "end" else ["s", "t", "seq"]
+    deal = _by_end if by == "end" else _by_start
+    schema = T.StructType([rows.schema["case_id"], T.StructField("seq", T.LongType()), T.StructField("resource", rows.schema["cw_resource"].dataType), T.StructField("lane", T.IntegerType())])
 
-    def step():
-        free: list[int] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, known = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, period, s, t = (batch[c] for c in ("cw_resource", "period", "s", "t"))
+            new = [name[0].as_py() != known[0] or period[0].as_py() != known[1]] if known else [True]
+            null = name.is_null()
+            other = pc.fill_null(pc.or_(pc.not_equal(null[1:], null[:-1]), pc.or_(pc.fill_null(pc.not_equal(name[1:], name[:-1]), False), pc.not_equal(period[1:], period[:-1]))), True)
+            new += other.to_pylist()
+            out = []
+            for fresh, x, y in zip(new, s.to_pylist(), t.to_pylist(), strict=True):
+                if fresh:
+                    lane = deal()
+                out.append(lane(x, y))
+            known = (name[-1].as_py(), period[-1].as_py())
+            yield pa.RecordBatch.from_arrays([batch["case_id"], batch["seq"], name, pa.array(out, pa.int32())], names=schema.names)
+
+    dealt = rows.repartition("cw_resource", "period").sortWithinPartitions("cw_resource", "period", *order)
+    return dealt.mapInArrow(run, schema)
 
-        def sweep(row):
-            name, _, s, t, seq, case = row
-            k = next((k for k, at in enumerate(free) if at <= s), len(free))
-            free[k:k + 1] = [t]
-            return ((case, seq, name, k + 1),)
 
-        return sweep
+def _by_start() -> Callable[[int, int], int]:
+    """Lanes for intervals in order of their starts: each call gives the lowest lane that is free. A lane once free stays so until it is taken."""
+    taken: list[tuple[int, int]] = []
+    free: list[int] = []
+    n = 0
 
-    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("resource", T.StringType()), T.StructField("lane", T.IntegerType())])
-    return _swept(rows, ["cw_resource", "period"], order, step, schema)
+    def lane(s: int, t: int) -> int:
+        nonlocal n
+        while taken and taken[0][0] <= s:
+            heapq.heappush(free, heapq.heappop(taken)[1])
+        if free:
+            k = heapq.heappop(free)
+        else:
+            k = n = n + 1
+        heapq.heappush(taken, (t, k))
+        return k
+
+    return lane
+
+
+def _by_end() -> Callable[[int, int], int]:
+    """Lanes for intervals in order of their ends: each call gives the lowest lane whose last interval ended by the start.
+
+    Lanes are the leaves of a tree of least ends, which doubles when it is full; a lane without intervals is free from ever.
+    """
+    never = float("-inf")
+    size, least = 1, [never, never]
+
+    def lane(s: int, t: int) -> int:
+        nonlocal size, least
+        if least[1] > s:
+            # All are taken: the tree so far becomes the left half of one of twice the size.
+            more = [never] * (4 * size)
+            at = 1
+            while at <= size:
+                more[2 * at : 3 * at] = least[at : 2 * at]
+                at *= 2
+            size, least = 2 * size, more
+        k = 1
+        while k < size:
+            k *= 2
+            if least[k] > s:
+                k += 1
+        least[k] = t
+        found = k - size + 1
+        while k > 1:
+            k >>= 1
+            a, b = least[2 * k], least[2 * k + 1]
+            least[k] = a if a < b else b
+        return found
+
+    return lane
 
 
 def disjoint_sets(log: EventLog, resource: str = "resource", end: str = "end_timestamp") -> DataFrame:

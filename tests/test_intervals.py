@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -262,3 +263,24 @@ def test_delays_join_events_by_key_alone(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and all("seq#" in line or "activity#" in line for line in joins)
     assert "day#" not in "".join(joins)
+
+
+@pytest.mark.parametrize("deal, order", [(intervals._by_start, lambda x: x), (intervals._by_end, lambda x: x[::-1])])
+def test_lanes_take_the_lowest_free_one(deal, order):
+    """Against a look at all lanes, with ties, instants and more lanes at once than any power of two that was full before."""
+    rng = random.Random(15)
+    rows = sorted(((s := rng.randrange(400), s + rng.choice([0, 1, 5, 60, 300])) for _ in range(2500)), key=order)
+    free, lane, found = [], deal(), []
+    for s, t in rows:
+        k = next((k for k, at in enumerate(free) if at <= s), len(free))
+        free[k : k + 1] = [t]
+        found.append(lane(s, t) == k + 1)
+    assert all(found) and len(free) > 256
+
+
+@pytest.mark.parametrize("deal", [intervals._by_start, intervals._by_end])
+def test_lanes_of_many_events_at_once_take_time_in_proportion(deal):
+    """50,000 events that all overlap: looking at each lane for each of them would be more than a thousand million steps."""
+    lane, began = deal(), time.perf_counter()
+    assert [lane(k, 10**6 + k) for k in range(50_000)] == list(range(1, 50_001))
+    assert time.perf_counter() - began < 10
