@@ -1,8 +1,17 @@
 from __future__ import annotations
 
+import os
+import re
+from dataclasses import replace
+
+import pytest
+
 from caseweave.operators import compare, ocel, simulation
+from caseweave.plans.tables import object_log
 from tests.helpers import of_variants, orders_and_items, rows, three_cases
 
+DIR = "/root/testdata/sf0.001"
+
 
 def test_object_log(spark):
     log = orders_and_items(spark)
@@ -35,3 +44,18 @@ def test_simulation_inputs(spark):
     sim = simulation.simulate(log, 30)
     assert sim.select("case_id").distinct().count() == 30
     assert rows(sim.select("activity").distinct()) <= {("register order",), ("check stock",), ("ship",), ("cancel",)}
+
+
+def exchanges(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("kind", ["descendants", "inheritance", "cobirth", "codeath"])
+def test_object_graphs_exchange_lines_by_event_once(spark, kind):
+    """Relations are neither exchanged spelled out nor by several keys, and births come from rows before repeats are dropped."""
+    log = object_log(spark, DIR)
+    df = ocel.object_graph(log, kind)
+    keys = [re.sub(r"#\d+L?", "", line.split("Exchange hashpartitioning(", 1)[1]) for line in exchanges(df)]
+    assert keys and not [k for k in keys if k.startswith(("eid, oid", "eid, type")) and kind == "descendants"]
+    assert rows(df) == rows(ocel.object_graph(replace(log, repeated=None), kind))
