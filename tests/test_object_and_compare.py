@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 
+from caseweave.log import ObjectLog
 from caseweave.operators import compare, ocel, simulation
 from caseweave.plans.tables import object_log
 from tests.helpers import of_variants, orders_and_items, rows, three_cases
@@ -59,3 +62,30 @@ def test_object_graphs_exchange_lines_by_event_once(spark, kind):
     keys = [re.sub(r"#\d+L?", "", line.split("Exchange hashpartitioning(", 1)[1]) for line in exchanges(df)]
     assert keys and not [k for k in keys if k.startswith(("eid, oid", "eid, type")) and kind == "descendants"]
     assert rows(df) == rows(ocel.object_graph(replace(log, repeated=None), kind))
+
+
+def shared(seed, events, objects, most):
+    rng = random.Random(seed)
+    return sorted({(f"e{e}", f"o{o}", f"t{o % 3}") for e in range(events) for o in rng.choices(range(objects), k=rng.randrange(1, most))} | {("e0", "o1", "t2")})
+
+
+@pytest.mark.parametrize("most, classes", [(4, False), (40, True)])
+def test_interaction_with_few_and_many_pairs(spark, monkeypatch, most, classes):
+    """Few pairs are formed by event without classes of objects; many go by classes; both as a look at all pairs."""
+    data = shared(16, 60, 90, most)
+    relations = spark.createDataFrame([(*x, "a", datetime(2024, 1, 1), None) for x in data] * 2, "eid string, oid string, type string, activity string, timestamp timestamp_ntz, qualifier string")
+    log = ObjectLog(None, None, relations, None)
+    want: dict = {}
+    for x, y in {((p[2], p[1]), (q[2], q[1])) for p in data for q in data if p[0] == q[0] and (p[2], p[1]) < (q[2], q[1])}:
+        want[x[0], y[0]] = want.get((x[0], y[0]), 0) + 1
+    df = ocel.interaction_graph(log)
+    assert rows(df, "source", "target", "pairs") == {(*k, n) for k, n in want.items()}
+    assert ("bit_xor" in df._jdf.queryExecution().optimizedPlan().toString()) == classes
+    assert rows(ocel._interaction_of_classes(relations.select("eid", "oid", "type").distinct())) == rows(df)
+    assert ocel.interaction_graph(ObjectLog(None, None, relations.limit(0), None)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_interaction_exchanges_lines_by_event_and_pairs(spark):
+    keys = [re.sub(r"#\d+L?", "", line.split("Exchange hashpartitioning(", 1)[1]) for line in exchanges(ocel.interaction_graph(object_log(spark, DIR)))]
+    assert keys and all(k.startswith(("concat_ws(", "oid_a, oid_b, type_a, type_b", "type_a, type_b, ")) for k in keys)
